@@ -15,5 +15,43 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("same_text")
 
 
-QUERIES = {"op10_sentencepiece": op10_sentencepiece}
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents stored in tar shards and read back."""
+    from strikeloom.llm.media import media_columns
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return media_columns(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts are control strings, formatted and read back."""
+    from strikeloom.llm.chat import format_conversations, read_back
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.unionByName(odd)))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written into archives and read back."""
+    from strikeloom.llm.warc import round_trip
+
+    records = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on 24 even shards by key, and where one more shard would put them."""
+    from strikeloom.llm.shards import slots
+
+    return slots(spark.read.parquet(f"{sf_dir}/documents.parquet"), [1.0] * 24, [1.0] * 25)
+
+
+QUERIES = {
+    "op1_media": op1_media,
+    "op6_chat": op6_chat,
+    "op8_warc": op8_warc,
+    "op9_sharding": op9_sharding,
+    "op10_sentencepiece": op10_sentencepiece,
+}
 ORACLE: dict[str, str] = {}
