@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strikeloom.llm import hostrules
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,14 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source: 97 % of the largest entropy, no source twice as often as another."""
+    from strikeloom.llm.mixing import mix
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return mix(docs).select("doc_id", "source", F.col("tokens_").alias("n_tokens"), "epoch", "block", "slot")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one whose texts are control strings, formatted and read back."""
     from strikeloom.llm.chat import format_conversations, read_back
@@ -32,6 +43,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(odd)))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and host verdicts of all documents."""
+    from strikeloom.llm.hostrules import COUNTS, judge
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept", "n_failed")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written into archives and read back."""
     from strikeloom.llm.warc import round_trip
@@ -49,9 +68,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media": op1_media,
+    "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
+    "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_quality_rules": hostrules.SQL}
