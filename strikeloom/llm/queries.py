@@ -26,6 +26,13 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: five-word shingles, similarity 0.8 and more."""
+    from strikeloom.llm.ordermin import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source: 97 % of the largest entropy, no source twice as often as another."""
     from strikeloom.llm.mixing import mix
@@ -68,6 +75,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media": op1_media,
+    "op2_near_dedup": op2_near_dedup,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
     "op7_quality_rules": op7_quality_rules,
