@@ -33,6 +33,14 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a scorer trained on weak labels."""
+    from strikeloom.llm.weaklabels import classify, fit
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return classify(docs, fit(docs)).select("doc_id", "quality_score", "weak_label", F.col("quality_kept").alias("kept"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source: 97 % of the largest entropy, no source twice as often as another."""
     from strikeloom.llm.mixing import mix
@@ -76,6 +84,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media": op1_media,
     "op2_near_dedup": op2_near_dedup,
+    "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
     "op7_quality_rules": op7_quality_rules,
