@@ -61,7 +61,7 @@ def signs(text: str) -> Signs:
     lower = data.lower().split()
     known = Counter(lower)
     function = sum(known[w] for w in _FUNCTION if w in known)
-    return Signs(n, words, symbols / m, words.count(b"|") / m, data.count(b"!!") / m, (letters - small) / max(1, letters), len(known) / m, len(set(windows)) / max(1, len(windows)), sum(a == b for a, b in zip(words, words[1:], strict=False)) / m, function / m, (len(data) - n) / m, 1 - len(set(lines)) / max(1, len(lines)))
+    return Signs(n, words, symbols / m, words.count(b"|") / m, data.count(b"!!") / m, (letters - small) / max(1, letters), len(known) / m, len(set(windows)) / len(windows) if windows else 1.0, sum(a == b for a, b in zip(words, words[1:], strict=False)) / m, function / m, (len(data) - n) / m, 1 - len(set(lines)) / max(1, len(lines)))
 
 
 _FUNCTION = frozenset(w.encode() for w in FUNCTION_WORDS)
