@@ -41,6 +41,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs)).select("doc_id", "quality_score", "weak_label", F.col("quality_kept").alias("kept"))
 
 
+#: Rules of the URL query.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs, by rules and by models of what rules accept and reject."""
+    from strikeloom.llm.urls import fit, judge
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge(pages, URL_RULES, fit(pages, URL_RULES))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source: 97 % of the largest entropy, no source twice as often as another."""
     from strikeloom.llm.mixing import mix
@@ -85,6 +97,7 @@ QUERIES = {
     "op1_media": op1_media,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality": op3_quality,
+    "op4_url_filter": op4_url_filter,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
     "op7_quality_rules": op7_quality_rules,

@@ -238,7 +238,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     return QualityModel(labels, train([(np.array(a, np.int32), np.array(x, np.float32), y) for a, x, y in found], bits), bits)
 
 
-def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.2) -> DataFrame:
     """``docs`` with ``quality_score`` (good, 0 to 1, six places), ``weak_label`` (posterior) and ``quality_kept``, replacing columns of those names.
 
     Row by row, without a shuffle: null and empty texts are scored as empty ones,
