@@ -65,7 +65,7 @@ def _excluded(spark: SparkSession, d: str) -> DataFrame:
     return R.exclusions(A.contracts(spark, d), _checked(spark, d), _reconciled(spark, d))
 
 
-@query(sql("hours days contracts sessions", f"WITH {CHECKED}, {RECONCILED}, {EXCLUDED} SELECT grain, contract, "at"::VARCHAR AS "at", reason, n FROM excluded"))
+@query(sql("hours days contracts sessions", f'WITH {CHECKED}, {RECONCILED}, {EXCLUDED} SELECT grain, contract, "at"::VARCHAR AS "at", reason, n FROM excluded'))
 def exclusion_union(spark: SparkSession, d: str) -> DataFrame:
     return _excluded(spark, d).withColumn("at", F.col("at").cast("string"))
 
@@ -85,12 +85,12 @@ def _fetches(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
-@query(f"WITH {FETCHES} SELECT contract, count(*) AS fetches, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, max("at")::DATE::VARCHAR AS last_at, CASE WHEN count(*) = 1 THEN max(kind) END AS only_kind FROM fetches GROUP BY contract")
+@query(f"""WITH {FETCHES} SELECT contract, count(*) AS fetches, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, max("at")::DATE::VARCHAR AS last_at, CASE WHEN count(*) = 1 THEN max(kind) END AS only_kind FROM fetches GROUP BY contract""")
 def fetch_provenance(spark: SparkSession, d: str) -> DataFrame:
     return R.provenance(_fetches(spark, d)).withColumn("last_at", F.to_date("last_at").cast("string"))
 
 
-@query(f"WITH {FETCHES} SELECT kind, count(*) AS n, count(*) FILTER (results = 0) AS empty, count(*) FILTER (results > 4) AS many, min("at")::DATE::VARCHAR AS first_at, max("at")::DATE::VARCHAR AS last_at, count(DISTINCT contract) AS contracts FROM fetches GROUP BY kind")
+@query(f"""WITH {FETCHES} SELECT kind, count(*) AS n, count(*) FILTER (results = 0) AS empty, count(*) FILTER (results > 4) AS many, min("at")::DATE::VARCHAR AS first_at, max("at")::DATE::VARCHAR AS last_at, count(DISTINCT contract) AS contracts FROM fetches GROUP BY kind""")
 def fetch_audit_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return R.fetch_audit(_fetches(spark, d)).withColumns({"first_at": F.to_date("first_at").cast("string"), "last_at": F.to_date("last_at").cast("string")})
 
