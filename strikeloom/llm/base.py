@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,14 +44,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, rows: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes of text, one row at least."""
+    lengths = np.ones(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            lengths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType, rows: int = 1000) -> DataFrame:
-    """``mapInArrow`` in slices of at most ``rows`` rows; ``make`` runs once in each task."""
+    """``mapInArrow`` in slices bounded in rows and bytes; ``make`` runs once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = step(batch.slice(at, rows))
+            for part in slices(batch, rows):
+                out = step(part)
                 if out is not None and out.num_rows:
                     yield out
 

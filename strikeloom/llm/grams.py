@@ -30,28 +30,55 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, starts - starts[0]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (lower-case ASCII, split at ASCII blanks) of the texts, and where each text's words begin."""
-    raw, starts = utf8(column)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    low = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
-    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+def _blank(raw: np.ndarray) -> np.ndarray:
+    return (raw == 32) | ((raw >= 9) & (raw <= 13))
+
+
+def _hashed(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each word; ``begins`` are places where a word ends even without a blank."""
+    inside = ~_blank(raw)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    text_starts = starts[:-1][starts[:-1] < len(raw)]
-    first[text_starts] = inside[text_starts]
+    first[begins] = inside[begins]
     at = np.flatnonzero(first)
+    if not len(at):
+        return np.zeros(0, np.uint64), at
     # a word's hash: its bytes times powers of BASE counted from the word's start, summed
-    group = np.cumsum(first) - 1
-    offset = np.arange(len(raw)) - at[np.maximum(group, 0)] if len(at) else np.zeros(len(raw), np.int64)
-    longest = int(offset[inside].max()) + 1 if len(at) else 1
-    powers = np.ones(longest, np.uint64)
-    if longest > 1:
-        powers[1:] = np.cumprod(np.full(longest - 1, BASE, np.uint64))
-    value = np.where(inside, (low.astype(np.uint64) + np.uint64(1)) * powers[np.where(inside, offset, 0)], np.uint64(0))
-    hashes = mixed(np.add.reduceat(value, at)) if len(at) else np.zeros(0, np.uint64)
-    return hashes, np.searchsorted(at, starts)
+    group = np.maximum(np.cumsum(first, dtype=np.int32) - 1, 0)
+    offset = np.where(inside, np.arange(len(raw)) - at[group], 0).astype(np.int32)
+    powers = np.ones(int(offset.max()) + 1, np.uint64)
+    powers[1:] = np.cumprod(np.full(len(powers) - 1, BASE, np.uint64))
+    low = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
+    value = powers[offset]
+    value *= low.astype(np.uint64) + np.uint64(1)
+    value[~inside] = 0
+    return mixed(np.add.reduceat(value, at)), at
+
+
+def words(column: pa.Array, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word (lower-case ASCII, split at ASCII blanks) of the texts, and where each text's words begin.
+
+    Works through the bytes in blocks that end at blanks, so that memory follows
+    the block and not the longest text.
+    """
+    raw, starts = utf8(column)
+    begins = np.unique(starts[:-1][starts[:-1] < len(raw)])
+    hashes, places, at = [], [], 0
+    while at < len(raw):
+        stop = min(at + block, len(raw))
+        while stop < len(raw):
+            blanks = np.flatnonzero(_blank(raw[at:stop]))
+            if len(blanks):
+                stop = at + int(blanks[-1]) + 1
+                break
+            stop = min(stop + block, len(raw))
+        inner = begins[np.searchsorted(begins, at) : np.searchsorted(begins, stop)] - at
+        h, p = _hashed(raw[at:stop], inner)
+        hashes.append(h)
+        places.append(p + at)
+        at = stop
+    found = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    return found, np.searchsorted(np.concatenate(places) if places else np.zeros(0, np.int64), starts)
 
 
 def runs(hashes: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strikeloom.llm.base import fresh_dir, text_of, written
+from strikeloom.llm.base import fresh_dir, slices, text_of, written
 
 WIDTH = 64
 MAGIC = b"\x89PNG\r\n\x1a\n"  # fixed value of the format
@@ -147,8 +147,7 @@ def _mapped(df: DataFrame, more: list[tuple[str, T.DataType]], start: Callable,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, end = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 found = [step(r) for r in part.to_pylist()]
                 new = [pa.array([x[i] for x in found], arrow[t]) for i, (_, t) in enumerate(more)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
@@ -171,8 +170,8 @@ def store_texts(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = ShardWriter(folder)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, found = batch.slice(at, 500), []
+            for part in slices(batch, 500):
+                found = []
                 for text in part.column(1).to_pylist():
                     data = text.encode()
                     media = to_png(pad(data), len(data), level)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeloom.llm.base import text_of, written
+from strikeloom.llm.base import slices, text_of, written
 from strikeloom.llm.grams import mixed, runs, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -117,8 +117,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
+            for part in slices(batch, 500):
                 found, at = words(part.column(1))
                 shingles, begins = runs(found, at, shingle)
                 keys = np.zeros((part.num_rows, bands), np.uint64)
@@ -139,8 +138,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 200):
-                part = batch.slice(begin, 200)
+            for part in slices(batch, 200):
                 sides = []
                 for k in (2, 3):
                     found, at = words(part.column(k))

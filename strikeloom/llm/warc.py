@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeloom.llm.base import fresh_dir, text_of, written
+from strikeloom.llm.base import fresh_dir, slices, text_of, written
 
 DICTIONARY_FRAME = 0x184D2A5D  # fixed value of the format: the skippable frame that holds the dictionary
 FRAME, DICTIONARY = b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"  # fixed values: how frames and dictionaries begin
@@ -233,8 +233,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
 
         for rows in batches:
             found = []
-            for at in range(0, rows.num_rows, 500):
-                for r in rows.slice(at, 500).to_pylist():
+            for part in slices(rows, 500):
+                for r in part.to_pylist():
                     first = r["first_id"]
                     revisit = first is not None and r["page_id"] != first
                     found += writer.add(r["page_id"], record_bytes(r["page_id"], r["url"], r["html"].encode(), r["payload_bytes"], r["payload_digest"], first, revisit))
