@@ -8,10 +8,12 @@ meet are aligned; two are near-duplicates when the shingles that the alignment
 pairs are at least ``similarity`` of all that either has:
 paired / (n1 + n2 - paired).
 
-Equal texts are one from the start. Within a bucket nobody is compared with
-everybody: first all with two pivots; then, after components were formed, only
-texts of a bucket that are still in different components, which lose no link. The
-class is the component, its id the smallest document id in it.
+Equal texts are one from the start. Within a bucket, first all are compared with
+two pivots; then, after components were formed, only texts of a bucket that are
+still in different components, which loses no link: in small buckets pair by
+pair, in larger ones block by block, where pairs are ruled out by matrices of
+shared shingles and never become rows. The class is the component, its id the
+smallest document id in it.
 """
 
 from __future__ import annotations
@@ -152,6 +154,104 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """How many labelled shingles each left text shares with each right one, by products of 0-1 matrices ``step`` columns wide."""
+    both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
+    total = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for texts in (left, right):
+        size = [len(x) for x in texts]
+        row, every = np.repeat(np.arange(len(texts)), size), np.concatenate(texts)
+        at = np.searchsorted(both, every)
+        hit = at < len(both)
+        hit[hit] = both[at[hit]] == every[hit]
+        order = np.argsort(at[hit], kind="stable")
+        places.append((row[hit][order], at[hit][order], len(texts)))
+    for begin in range(0, len(both), step):
+        width = min(step, len(both) - begin)
+        sides = []
+        for row, at, n in places:
+            lo, hi = np.searchsorted(at, [begin, begin + width])
+            side = np.zeros((n, width), np.float32)
+            side[row[lo:hi], at[lo:hi] - begin] = 1
+            sides.append(side)
+        total += sides[0] @ sides[1].T
+    return total
+
+
+def linked(ids: list[int], roots: list[int], blocks: list[int], texts: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between texts of two blocks (or within one, if all are of one) that join different components.
+
+    Only pairs whose shared shingles allow it are aligned, and no pair whose
+    components a link found here has joined already.
+    """
+    first = blocks[0]
+    x = [k for k, b in enumerate(blocks) if b == first]
+    y = [k for k, b in enumerate(blocks) if b != first] or x
+    same = y is x
+    marked = [labelled(t) for t in texts]
+    shared = shared_counts([marked[k] for k in x], [marked[k] for k in y])
+    size = np.array([len(t) for t in texts])
+    nx, ny, rx, ry = size[x][:, None], size[y][None, :], np.array(roots)[x][:, None], np.array(roots)[y][None, :]
+    good = (shared * (1 + similarity) >= similarity * (nx + ny) - 1e-6) & (rx != ry)
+    if same:
+        good &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+    joined: dict[int, int] = {}
+
+    def root(r: int) -> int:
+        while r in joined:
+            r = joined[r]
+        return r
+
+    out = []
+    for i, j in zip(*np.nonzero(good), strict=True):
+        a, b = root(roots[x[i]]), root(roots[y[j]])
+        if a != b and near(texts[x[i]], texts[y[j]], similarity):
+            joined[max(a, b)] = min(a, b)
+            out.append((ids[x[i]], ids[y[j]]))
+    return out
+
+
+def block_links(members: DataFrame, texts: DataFrame, similarity: float, shingle: int, block: int) -> DataFrame:
+    """Links (a, b) between different components within each bucket of ``members`` (key_, rep_, root_, size_).
+
+    A bucket is dealt into blocks of about ``block`` texts and every two blocks meet
+    in one group of bounded size, whatever the bucket's: pairs never become rows.
+    """
+    count = F.ceil(F.col("size_") / block)
+    own = F.pmod(F.xxhash64("rep_"), count)
+    rows = members.withColumn("own_", own).withColumn("other_", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    rows = rows.select("key_", F.least("own_", "other_").alias("i_"), F.greatest("own_", "other_").alias("j_"), "own_", "rep_", "root_")
+    rows = rows.join(texts.withColumnRenamed("id_", "rep_"), "rep_").select("key_", "i_", "j_", "own_", "rep_", "root_", "text_")
+    dealt = rows.repartition("key_", "i_", "j_").sortWithinPartitions("key_", "i_", "j_", "own_", "rep_")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [], [])
+
+        def ended() -> pa.RecordBatch:
+            found = linked(*held, similarity) if len(held[0]) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=schema.names)
+
+        for batch in batches:
+            for part in slices(batch, 500):
+                found, at = words(part.column(6))
+                sh, begins = runs(found, at, shingle)
+                columns = [part.column(c).to_pylist() for c in range(6)]
+                for k in range(part.num_rows):
+                    key = columns[0][k], columns[1][k], columns[2][k]
+                    if key != now:
+                        if now is not None:
+                            yield ended()
+                        now, held = key, ([], [], [], [])
+                    for values, value in zip(held, (columns[4][k], columns[5][k], columns[3][k], sh[begins[k] : begins[k + 1]].copy()), strict=True):
+                        values.append(value)
+        if now is not None:
+            yield ended()
+
+    return dealt.mapInArrow(run, schema).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id_ and root_ (the smallest id of its component) of every id in ``edges`` (a, b).
 
@@ -178,7 +278,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id_"), F.col("b").alias("root_")).unionByName(roots.select("id_", F.col("id_").alias("root_")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, width: int = WIDTH, seed: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, width: int = WIDTH, seed: int = 1, small: int = 32, block: int = 256) -> DataFrame:
     """id, ``class_id`` (smallest id of its class) and ``class_size`` (rows) of each row.
 
     Texts are compared by their words in lower case. Null and empty texts,
@@ -187,6 +287,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id come back with a null class and no size. Other columns are left out;
     an empty table gives an empty table.
 
+    Buckets of up to ``small`` texts are compared pair by pair, larger ones in blocks
+    of ``block``; both compare all that may be near.
+
     With 18 bands of four, two texts that share 0.8 of their shingles meet with
     probability 0.9999.
     """
@@ -215,12 +318,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(verified(pairs, texts, similarity, shingle), "links")
     roots = written(components(links), "roots")
     placed = members.join(roots.withColumnRenamed("id_", "rep_"), "rep_", "left").withColumn("root_", F.coalesce("root_", "rep_"))
-    open_ = placed.groupBy("key_").agg(F.min("root_").alias("r1"), F.max("root_").alias("r2")).filter("r1 < r2").select("key_")
-    rest = written(placed.join(open_, "key_").select("key_", "rep_", "n_", "root_"), "open-buckets")
-    left = rest.select("key_", F.col("rep_").alias("a"), F.col("n_").alias("na"), F.col("root_").alias("ra"))
-    right = rest.select("key_", F.col("rep_").alias("b"), F.col("n_").alias("nb"), F.col("root_").alias("rb"))
+    open_ = placed.groupBy("key_").agg(F.min("root_").alias("r1"), F.max("root_").alias("r2"), F.count("*").alias("size_")).filter("r1 < r2").select("key_", "size_")
+    rest = written(placed.join(open_, "key_").select("key_", "rep_", "n_", "root_", "size_"), "open-buckets")
+    few = rest.filter(F.col("size_") <= small)
+    left = few.select("key_", F.col("rep_").alias("a"), F.col("n_").alias("na"), F.col("root_").alias("ra"))
+    right = few.select("key_", F.col("rep_").alias("b"), F.col("n_").alias("nb"), F.col("root_").alias("rb"))
     late = fitting(left.join(right, "key_").filter("a < b and ra <> rb")).join(pairs, ["a", "b"], "left_anti")
     more = written(verified(written(late, "late-pairs"), texts, similarity, shingle), "late-links")
+    many = block_links(rest.filter(F.col("size_") > small), texts, similarity, shingle, block)
+    more = more.unionByName(written(many, "block-links"))
     final = roots if more.isEmpty() else written(components(links.unionByName(more)), "roots")
     of_rep = same.select("digest_", "rep_").join(final.withColumnRenamed("id_", "rep_"), "rep_", "left").select("digest_", F.coalesce("root_", "rep_").alias("class_"))
     placed = marks.select("id_", "digest_", "n_").join(of_rep, "digest_", "left")
