@@ -98,3 +98,14 @@ def test_edges(spark):
     assert O.near_duplicates(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "z")], "doc_id long, text string")
     assert sorted((x.doc_id, x.class_id, x.class_size) for x in O.near_duplicates(twice).collect()) == [(1, 1, 2), (1, 1, 2), (2, 2, 1)]
+
+
+def test_blocks_find_what_pairs_find(spark):
+    """Every bucket through blocks of four, against brute force."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    rows = [(i, " ".join(edited(base, r, r.randrange(1, 6)))) for i in range(90)]
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in O.near_duplicates(df, small=1, block=4).collect()} == want
+    assert {x.doc_id: x.class_id for x in O.near_duplicates(df, small=10**6).collect()} == want
