@@ -122,3 +122,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tok
     cut = cut.withColumn("slot", F.row_number().over(W.partitionBy("block").orderBy("deal_", F.col(id_col).asc_nulls_first(), "tokens_")).cast("long") - 1)
     names = [c for c in docs.columns if c not in ("tokens_", "epoch", "block", "slot")]
     return cut.select(*names, "tokens_", "epoch", "block", "slot")
+
+
+#: The mixing query in SQL, with the defaults of ``mix``.
+SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, source, greatest(ceil(coalesce(octet_length(encode(text)), 0) / 4.0), 1)::BIGINT AS n_tokens FROM documents),
+t AS (SELECT source, sum(n_tokens)::BIGINT AS n FROM d GROUP BY source),
+p AS (SELECT list(n::DOUBLE / total ORDER BY n) AS ps, count(*)::DOUBLE AS k FROM t, (SELECT sum(n)::DOUBLE AS total FROM t)),
+m AS (SELECT 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 1.0::DOUBLE AS e
+      UNION ALL
+      SELECT step + 1, CASE WHEN good AND step > 0 THEN e ELSE lo END, CASE WHEN good OR step = 0 THEN hi ELSE e END,
+             CASE WHEN step = 0 AND good THEN NULL ELSE ((CASE WHEN good AND step > 0 THEN e ELSE lo END) + (CASE WHEN good OR step = 0 THEN hi ELSE e END)) / 2 END
+      FROM (SELECT m.*, ln(list_sum(list_transform(ps, lambda x: pow(x, e)))) - e * list_sum(list_transform(ps, lambda x: pow(x, e) * ln(x))) / list_sum(list_transform(ps, lambda x: pow(x, e))) >= 0.97::DOUBLE * ln(k) AS good FROM m, p WHERE step <= 60 AND e IS NOT NULL)),
+x AS (SELECT CASE WHEN bool_or(e IS NULL) THEN 1.0::DOUBLE ELSE max(lo) END AS wanted FROM m),
+r AS (SELECT CASE WHEN list_max(ps) / list_min(ps) > 2 THEN 1 - ln(2.0::DOUBLE) / ln(list_max(ps) / list_min(ps)) ELSE 0.0::DOUBLE END AS least FROM p),
+w AS (SELECT source, n, round(pow(n::DOUBLE, e) / sum(pow(n::DOUBLE, e)) OVER (), 9) AS weight FROM t, (SELECT round(greatest(wanted, least), 6) AS e FROM x, r)),
+q AS (SELECT source, n, greatest(round(weight * budget)::BIGINT, n) AS quota FROM w, (SELECT ceil(max(n / weight))::DOUBLE AS budget FROM w)),
+b AS (SELECT greatest(1, ceil(sum(quota) / 1048576.0))::DOUBLE AS blocks FROM q),
+e AS (SELECT d.*, n, quota, unnest(range(ceil(quota / n)::BIGINT)) AS epoch FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+o AS (SELECT *, md5('0:' || epoch || ':' || coalesce(doc_id::VARCHAR, 'null')) AS ord FROM e),
+a AS (SELECT *, epoch * n + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY ord, doc_id NULLS FIRST, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM o),
+c AS (SELECT *, floor(pos * blocks / quota)::BIGINT AS block FROM a, b WHERE pos < quota)
+SELECT doc_id, source, n_tokens, epoch::INT AS epoch, block, row_number() OVER (PARTITION BY block ORDER BY md5('0:' || block || ':' || ord), doc_id NULLS FIRST, n_tokens) - 1 AS slot FROM c
+"""

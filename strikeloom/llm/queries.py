@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeloom.llm import hostrules
+from strikeloom.llm import hostrules, mixing, shards
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,4 +105,4 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE: dict[str, str] = {"op7_quality_rules": hostrules.SQL}
+ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL, "op7_quality_rules": hostrules.SQL, "op9_sharding": shards.SQL}

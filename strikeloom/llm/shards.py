@@ -78,3 +78,18 @@ def slots(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     numbered = placed.withColumn("first_", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(starts, ["shard", "bucket_"])
     out = numbered.withColumn("copy_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return out.select(F.col(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start_") + F.col("first_") + F.col("copy_")).alias("slot"), "grown_shard")
+
+
+#: The sharding query in SQL; the checksum is reduced over the bytes with a table of 256 made from its polynomial.
+SQL = """
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT rid, doc_id, octet_length(encode(text))::BIGINT + 8 AS size,
+      xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+k AS (SELECT *, coalesce(doc_id::VARCHAR, 'null') AS key FROM b),
+s AS (SELECT rid, s, -ln((('0x' || substr(md5(key || ':' || s), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS score FROM k, range(25) r(s)),
+p AS (SELECT rid, arg_min(s, score) FILTER (s < 24) AS shard, arg_min(s, score) AS grown_shard FROM s GROUP BY rid)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(key || ':' || size || ':' || text_crc32), doc_id NULLS FIRST) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM k JOIN p USING (rid)
+"""
