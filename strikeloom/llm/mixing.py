@@ -110,10 +110,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tok
     spread = spread.withColumn("bucket_", F.substring("order_", 1, digits))
     sums = spread.groupBy("source_", "epoch", "bucket_").agg(F.sum("tokens_").alias("sum_"))
     before = W.partitionBy("source_", "epoch").orderBy("bucket_").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(F.col("source_").alias("s_"), F.col("epoch").alias("e_"), F.col("bucket_").alias("b_"), F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("start_"))
-    inside = W.partitionBy("source_", "epoch", "bucket_").orderBy("order_", F.col(id_col).asc_nulls_first(), "tokens_").rowsBetween(W.unboundedPreceding, -1)
-    placed = spread.withColumn("run_", F.coalesce(F.sum("tokens_").over(inside), F.lit(0)))
-    placed = placed.join(starts, placed["source_"].eqNullSafe(starts["s_"]) & (placed["epoch"] == starts["e_"]) & (placed["bucket_"] == starts["b_"]))
+    # one plain key for window and join, so that rows with their texts are shuffled once
+    part = F.concat_ws(":", F.coalesce(F.concat(F.lit("s"), F.col("source_").cast("string")), F.lit("n")), F.col("epoch").cast("string"), F.col("bucket_"))
+    starts = sums.select(part.alias("part_"), F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("start_"))
+    inside = W.partitionBy("part_").orderBy("order_", F.col(id_col).asc_nulls_first(), "tokens_").rowsBetween(W.unboundedPreceding, -1)
+    placed = spread.withColumn("part_", part).withColumn("run_", F.coalesce(F.sum("tokens_").over(inside), F.lit(0))).join(starts, "part_")
     at = F.col("epoch") * F.col("total_") + F.col("start_") + F.col("run_")
     cut = placed.withColumn("at_", at).filter(F.col("at_") < F.col("quota_"))
     cut = cut.withColumn("block", F.floor(F.col("at_") * F.lit(float(blocks)) / F.col("quota_")).cast("long"))
