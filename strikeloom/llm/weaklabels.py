@@ -219,7 +219,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     total = sum(counts.values())
     most = int(min(1.0, sample / max(1, total)) * (1 << 62))
     posterior = {p: labels.posterior(p) for p in counts}
-    kind = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType())), T.StructField("y", T.DoubleType())])
+    kind = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType())), T.StructField("y", T.DoubleType()), T.StructField("hash_", T.LongType())])
 
     def feature():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -228,14 +228,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 s = signs(t)
                 p = votes(s)
                 out.append((*featured(s, bits), posterior[p] if p in posterior else labels.posterior(p)))
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _, _ in out], pa.list_(pa.int32())), pa.array([x for _, x, _ in out], pa.list_(pa.float32())), pa.array([y for *_, y in out], pa.float64())], names=kind.names)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _, _ in out], pa.list_(pa.int32())), pa.array([x for _, x, _ in out], pa.list_(pa.float32())), pa.array([y for *_, y in out], pa.float64()), batch.column(1)], names=kind.names)
 
         return step
 
     chosen = rows.filter(F.col("hash_").bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(most) if most < 1 << 62 else F.lit(True))
-    table = written(arrow_map(chosen, feature, kind), "sample").toArrow()
-    found = sorted(zip(table["at"].to_pylist(), table["x"].to_pylist(), table["y"].to_pylist(), strict=True))
-    return QualityModel(labels, train([(np.array(a, np.int32), np.array(x, np.float32), y) for a, x, y in found], bits), bits)
+    table = written(arrow_map(chosen, feature, kind), "sample").toArrow().combine_chunks().sort_by("hash_")
+    at, x, y = (table[c].combine_chunks() for c in ("at", "x", "y"))
+    ends, numbers, values = np.asarray(at.offsets), at.values.to_numpy(), x.values.to_numpy()
+    found = [(numbers[ends[i] : ends[i + 1]], values[ends[i] : ends[i + 1]], float(label)) for i, label in enumerate(y.to_numpy())]
+    return QualityModel(labels, train(found, bits), bits)
 
 
 def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.2) -> DataFrame:
