@@ -151,18 +151,18 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return S.scored(A.issuances(spark, d).join(last.select("contract", "itm"), "contract").withColumnsRenamed({"probability": "p", "itm": "y"}))
 
 
-@query(sql("issuances revisions", f"WITH {SCORED} SELECT ticker, model, count(*) AS n, {up('avg((p - y::INT) * (p - y::INT))', 1000000)} AS brier, {up('avg(-ln(CASE WHEN y THEN least(greatest(p, 1e-6), 1 - 1e-6) ELSE 1 - least(greatest(p, 1e-6), 1 - 1e-6) END))', 1000000)} AS log_loss FROM s GROUP BY ALL"))
+@query(sql("issuances revisions", f"WITH {SCORED} SELECT ticker, model, count(*) AS n, {up('sum((p - y::INT) * (p - y::INT))', 1000000)} AS brier_sum, {up('avg(-ln(CASE WHEN y THEN least(greatest(p, 1e-6), 1 - 1e-6) ELSE 1 - least(greatest(p, 1e-6), 1 - 1e-6) END))', 1000000)} AS log_loss FROM s GROUP BY ALL"))
 def brier_log_loss(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).groupBy("ticker", "model").agg(F.count("*").alias("n"), M.half_up(F.avg("brier"), 1_000_000).alias("brier"), M.half_up(F.avg("log_loss"), 1_000_000).alias("log_loss"))
+    return _scored(spark, d).groupBy("ticker", "model").agg(F.count("*").alias("n"), M.half_up(F.sum("brier"), 1_000_000).alias("brier_sum"), M.half_up(F.avg("log_loss"), 1_000_000).alias("log_loss"))
 
 
 def _bins(n: int) -> str:
-    return sql("issuances revisions", f"WITH {SCORED} SELECT model, least(greatest(floor(p * {n}), 0), {n - 1})::INT AS bin, count(*) AS n, {up('avg(p)', 1000000)} AS forecast, {up('avg(y::INT)', 1000000)} AS observed FROM s GROUP BY ALL")
+    return sql("issuances revisions", f"WITH {SCORED} SELECT model, least(greatest(floor(p * {n}), 0), {n - 1})::INT AS bin, count(*) AS n, {up('sum(p)', 1000)} AS forecast_sum, sum(y::INT)::BIGINT AS observed_sum FROM s GROUP BY ALL")
 
 
 def _calibrated(spark: SparkSession, d: str, n: int) -> DataFrame:
     c = S.calibration(_scored(spark, d), ["model"], n)
-    return c.select("model", "bin", "n", M.half_up(F.col("forecast"), 1_000_000).alias("forecast"), M.half_up(F.col("observed"), 1_000_000).alias("observed"))
+    return c.select("model", "bin", "n", M.half_up(F.col("forecast") * F.col("n"), 1000).alias("forecast_sum"), M.half_up(F.col("observed") * F.col("n"), 1).alias("observed_sum"))
 
 
 @query(_bins(10))
@@ -175,17 +175,17 @@ def loss_bins(spark: SparkSession, d: str) -> DataFrame:
     return _calibrated(spark, d, 5)
 
 
-@query(sql("issuances revisions", f"WITH {SCORED}, u AS (SELECT 'all' AS panel, * FROM s UNION ALL SELECT 'recent', * FROM s WHERE issued_at >= TIMESTAMP '1999-01-01') SELECT panel, model, ticker, count(*) AS n, count(DISTINCT issued_at::DATE) AS dates, {up('avg((p - y::INT) * (p - y::INT))', 1000000)} AS brier, {up('avg(p - y::INT)', 1000000)} AS bias FROM u GROUP BY ALL"))
+@query(sql("issuances revisions", f"WITH {SCORED}, u AS (SELECT 'all' AS panel, * FROM s UNION ALL SELECT 'recent', * FROM s WHERE issued_at >= TIMESTAMP '1999-01-01') SELECT panel, model, ticker, count(*) AS n, count(DISTINCT issued_at::DATE) AS dates, {up('sum((p - y::INT) * (p - y::INT))', 1000000)} AS brier_sum, {up('sum(p - y::INT)', 1000)} AS bias_sum FROM u GROUP BY ALL"))
 def forecast_descriptives(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(spark, d)
     panels = F.when(F.col("issued_at") >= F.lit("1999-01-01").cast("timestamp_ntz"), F.array(F.lit("all"), F.lit("recent"))).otherwise(F.array(F.lit("all")))
-    return s.withColumn("panel", F.explode(panels)).groupBy("panel", "model", "ticker").agg(F.count("*").alias("n"), F.count_distinct(F.to_date("issued_at")).alias("dates"), M.half_up(F.avg("brier"), 1_000_000).alias("brier"), M.half_up(F.avg(F.col("p") - F.col("y").cast("int")), 1_000_000).alias("bias"))
+    return s.withColumn("panel", F.explode(panels)).groupBy("panel", "model", "ticker").agg(F.count("*").alias("n"), F.count_distinct(F.to_date("issued_at")).alias("dates"), M.half_up(F.sum("brier"), 1_000_000).alias("brier_sum"), M.half_up(F.sum(F.col("p") - F.col("y").cast("int")), 1000).alias("bias_sum"))
 
 
-@query(sql("issuances revisions", f"WITH {SCORED} SELECT ticker, issued_at::DATE::VARCHAR AS date, {up('avg(CASE WHEN p > 0.1 THEN (p - y::INT) * (p - y::INT) END)', 1000000)} AS mean, count(*) FILTER (p > 0.1) AS n, count(*) AS rows FROM s GROUP BY ALL"))
+@query(sql("issuances revisions", f"WITH {SCORED} SELECT ticker, issued_at::DATE::VARCHAR AS date, {up('sum(CASE WHEN p > 0.1 THEN (p - y::INT) * (p - y::INT) END)', 1000000)} AS total, count(*) FILTER (p > 0.1) AS n, count(*) AS rows FROM s GROUP BY ALL"))
 def paired_units(spark: SparkSession, d: str) -> DataFrame:
     u = S.unit_means(_scored(spark, d).withColumn("date", F.to_date("issued_at").cast("string")), ["ticker", "date"], "brier", F.col("p") > 0.1)
-    return u.withColumn("mean", M.half_up(F.col("mean"), 1_000_000))
+    return u.select("ticker", "date", M.half_up(F.col("mean") * F.col("n"), 1_000_000).alias("total"), "n", "rows")
 
 
 TAIL = "SELECT ticker, side, floor((close / entry - 1) * 10000 + 0.5::DOUBLE)::BIGINT AS x, oi::BIGINT AS w FROM entries"
