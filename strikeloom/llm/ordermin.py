@@ -331,6 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_rep = same.select("digest_", "rep_").join(final.withColumnRenamed("id_", "rep_"), "rep_", "left").select("digest_", F.coalesce("root_", "rep_").alias("class_"))
     placed = marks.select("id_", "digest_", "n_").join(of_rep, "digest_", "left")
     rows = placed.select("id_", F.when((F.col("n_") > 0) & F.col("id_").isNotNull(), F.col("class_")).otherwise(F.col("id_")).alias("class_"))
-    sizes = rows.groupBy("class_").agg(F.count("*").alias("size_"))
+    # written, so that both sides of the join are shuffled by it and large classes can be split
+    sizes = written(rows.groupBy("class_").agg(F.count("*").alias("size_")), "class-sizes")
     out = rows.join(sizes, "class_", "left")
     return out.select(F.col("id_").cast(kind).alias(id_col), F.col("class_").cast(kind).alias("class_id"), F.col("size_").alias("class_size"))
