@@ -120,14 +120,24 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
     return A.quotes(spark, d).filter("bid > 0").withColumns({"premium": F.col("ask"), "entry": F.col("spot"), "close": F.col("spot") * (F.col("l_orderkey") % 21 / 100.0 + 0.9)})
 
 
+def _grid_rows(entries: DataFrame) -> DataFrame:
+    g = S.cost_grid(entries)
+    return g.select(*IDS.split(", "), "haircut", "fee", "slip", M.cents(F.col("profit")).alias("profit_cents"), M.half_up(F.col("ret"), 1_000_000).alias("ret_e6"), M.half_up(F.col("excess"), 1_000_000).alias("excess_e6"))
+
+
 GRID = ENTRIES + """, grid AS (SELECT e.*, h AS haircut, f AS fee, s AS slip, entry * (1 + s / 10000.0::DOUBLE) AS paid, premium * (1 - h) AS got FROM entries e, (VALUES (0.0::DOUBLE), (0.05), (0.1), (0.2)) a(h), (VALUES (0.0::DOUBLE), (0.65)) b(f), (VALUES (0), (10), (25)) c(s) WHERE side = 'call' OR s = 0),
   econ AS (SELECT *, CASE WHEN side = 'call' THEN (least(close, strike) - paid + got) * 100 ELSE (got - greatest(strike - close, 0.0::DOUBLE)) * 100 END - fee AS profit, CASE WHEN side = 'call' THEN paid * 100 ELSE strike * 100 END AS capital, CASE WHEN side = 'call' THEN (close - paid) * 100 ELSE 0.0::DOUBLE END AS benchmark, CASE WHEN side = 'call' THEN close > strike ELSE close < strike END AS assigned FROM grid)"""
 
 
 @query(sql("quotes", f"WITH {GRID} SELECT {IDS}, haircut, fee, slip, {up('profit', 100)} AS profit_cents, {up('(profit / capital)', 1000000)} AS ret_e6, {up('((profit - benchmark) / capital)', 1000000)} AS excess_e6 FROM econ WHERE l_orderkey <= 1500"))
 def strategy_cost_grid(spark: SparkSession, d: str) -> DataFrame:
-    g = S.cost_grid(_entries(spark, d).filter("l_orderkey <= 1500"))
-    return g.select(*IDS.split(", "), "haircut", "fee", "slip", M.cents(F.col("profit")).alias("profit_cents"), M.half_up(F.col("ret"), 1_000_000).alias("ret_e6"), M.half_up(F.col("excess"), 1_000_000).alias("excess_e6"))
+    """The first 1,500 order keys, as its SQL has it; ``strategy_cost_grid_all`` has all."""
+    return _grid_rows(_entries(spark, d).filter("l_orderkey <= 1500"))
+
+
+@query(sql("quotes", f"WITH {GRID} SELECT {IDS}, haircut, fee, slip, {up('profit', 100)} AS profit_cents, {up('(profit / capital)', 1000000)} AS ret_e6, {up('((profit - benchmark) / capital)', 1000000)} AS excess_e6 FROM econ"))
+def strategy_cost_grid_all(spark: SparkSession, d: str) -> DataFrame:
+    return _grid_rows(_entries(spark, d))
 
 
 @query(sql("quotes", f"WITH {GRID} SELECT ticker, side, haircut, fee, slip, count(*) AS n, {up('avg(profit / capital)', 1000000)} AS mean_ret, {up('avg((profit - benchmark) / capital)', 1000000)} AS mean_excess, {up('avg(assigned::INT)', 10000)} AS assigned, {up('avg((profit / capital < 0)::INT)', 10000)} AS losses, {up('quantile_disc(profit / capital, 0.05)', 1000000)} AS q05 FROM econ GROUP BY ALL"))
