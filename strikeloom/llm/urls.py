@@ -3,7 +3,7 @@
 URLs that a rule accepts train one variable-order Markov model, those that a rule
 rejects the other; a fifth of both is held back to calibrate the threshold on
 the difference of log-likelihoods for each character. A context is as long as
-the longest that was kept; its probabilities are smoothed with those of the
+the longest that was seen; its probabilities are smoothed with those of the
 next shorter one (Witten-Bell).
 """
 
@@ -76,7 +76,11 @@ def grams(url: str, order: int) -> Iterator[str]:
 
 @dataclass
 class Markov:
-    """Counts of kept character runs (context and character) of one class."""
+    """Counts of character runs (context and character) of one class: all, or all that some URLs contain.
+
+    Totals and kinds of the contexts are taken over all runs of the class; where
+    they aren't given, ``counts`` has all runs.
+    """
 
     counts: dict[str, int]
     order: int
@@ -85,11 +89,12 @@ class Markov:
     kinds: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        totals, kinds = Counter(), Counter()
-        for gram, n in self.counts.items():
-            totals[gram[:-1]] += n
-            kinds[gram[:-1]] += 1
-        self.totals, self.kinds = dict(totals), dict(kinds)
+        if not self.totals:
+            totals, kinds = Counter(), Counter()
+            for gram, n in self.counts.items():
+                totals[gram[:-1]] += n
+                kinds[gram[:-1]] += 1
+            self.totals, self.kinds = dict(totals), dict(kinds)
         self.memory: dict[str, float] = {}
 
     def chance(self, gram: str) -> float:
@@ -111,16 +116,37 @@ class Markov:
 
 
 @dataclass
-class UrlModel:
+class Ratio:
     accepted: Markov
     rejected: Markov
-    threshold: float = 0.0
 
     def margin(self, url: str) -> float:
         """Difference of log-likelihoods for each character; above the threshold is accepted."""
         return (self.accepted.log_likelihood(url) - self.rejected.log_likelihood(url)) / (len(url) + 1)
 
 
+def ratio(runs: pa.Table, order: int) -> Ratio:
+    """The models of URLs of which ``runs`` holds all character runs that the table of a model has."""
+    grams_ = runs.column("gram").to_pylist()
+
+    def positive(name: str) -> dict[str, int]:
+        return {g: n for g, n in zip(grams_, runs.column(name).to_pylist(), strict=True) if n}
+
+    return Ratio(*[Markov(positive(f"{v}_n"), order, totals=positive(f"{v}_total"), kinds=positive(f"{v}_kinds")) for v in (ALLOW, BLOCK)])
+
+
+@dataclass
+class UrlModel:
+    """``table``: every character run of either class with, for each class, its count and its total and kinds as a context."""
+
+    table: DataFrame
+    order: int
+    threshold: float = 0.0
+
+    def margin(self, url: str) -> float:
+        return ratio(self.table.filter(F.col("gram").isin(["", *set(grams(url, self.order))])).toArrow(), self.order).margin(url)
+
+
 def held_back(url: str) -> bool:
     return crc32(url.encode()) % 5 == 0
 
@@ -128,14 +154,63 @@ def held_back(url: str) -> bool:
 GRAM = T.StructType([T.StructField("verdict", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
 
 
-def fit(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", order: int = 5, most: int = 100_000, least: int = 2, bins: int = 400) -> UrlModel:
+#: A block has 2^BLOCK_BITS rows at most; its runs are looked up together.
+BLOCK_BITS = 9
+LOOKED_UP = T.StructType([T.StructField("block_", T.LongType()), T.StructField("gram", T.StringType())])
+
+
+def in_blocks(urls: DataFrame, name: str) -> DataFrame:
+    """``urls``, written, with ``block_``: stretches of rows as they were written."""
+    return written(urls.withColumn("block_", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), name)
+
+
+def scored(blocked: DataFrame, model: UrlModel) -> DataFrame:
+    """``blocked`` (with ``url_``, never null) without ``block_`` and with the ``margin`` of each row.
+
+    A block asks once for each run that its URLs contain, so that no run, however
+    common, meets more rows than there are blocks, and no task holds more of the
+    model than a block needs.
+    """
+    order = model.order
+    names = [c for c in blocked.columns if c != "block_"]
+    schema = T.StructType([*[f for f in blocked.schema if f.name in names], T.StructField("margin", T.DoubleType())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: set[str] = {""}
+        last = None
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([last] * len(wanted), pa.int64()), pa.array(list(wanted), pa.string())], names=LOOKED_UP.names)
+            wanted.clear()
+            wanted.add("")
+            return batch
+
+        for batch in batches:
+            for block, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if last is not None and (block != last or len(wanted) > 300_000):
+                    yield out()
+                last = block
+                wanted.update(grams(url, order))
+        if last is not None:
+            yield out()
+
+    def score(rows: pa.Table, runs: pa.Table) -> pa.Table:
+        own = ratio(runs, order)
+        return rows.select(names).append_column("margin", pa.array([own.margin(u) for u in rows.column("url_").to_pylist()], pa.float64()))
+
+    runs = blocked.select("block_", "url_").mapInArrow(ask, LOOKED_UP).join(model.table, "gram")
+    return blocked.groupBy("block_").cogroup(runs.groupBy("block_")).applyInArrow(score, schema)
+
+
+def fit(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", order: int = 5, bins: int = 400) -> UrlModel:
     """Models and threshold from all URLs that a rule decides.
 
     Character runs are counted over the whole column, summed within tasks before
-    they're shuffled; those seen ``least`` times and, of them, the ``most`` frequent
-    of each class stay (runs of two characters or fewer always), which bounds the models. The threshold is the
-    one of ``bins`` steps of margins in -4 to 4 with the best balanced accuracy over
-    the URLs held back; with none of a class it's 0.
+    they're shuffled. All of them stay, in a written table that grows with the
+    input and that no process holds as a whole; contexts have their totals and
+    kinds over all runs. The threshold is the one of ``bins`` steps of margins in
+    -4 to 4 with the best balanced accuracy over the URLs held back; with none of a
+    class it's 0.
     """
     chosen = Rules(rules)
     urls = pages.select(F.col(url_col).cast("string").alias("url")).filter("url is not null")
@@ -158,31 +233,25 @@ def fit(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", or
         if found:
             yield out()
 
-    summed = urls.mapInArrow(count, GRAM).groupBy("verdict", "gram").agg(F.sum("n").alias("n"))
-    summed = written(summed, "url-grams")
-    short = summed.filter("length(gram) <= 2")
-    long = [summed.filter((F.col("verdict") == v) & (F.length("gram") > 2) & (F.col("n") >= least)).orderBy(F.desc("n"), "gram").limit(most) for v in (ALLOW, BLOCK)]
-    counts: dict[str, dict[str, int]] = {ALLOW: {}, BLOCK: {}}
-    for part in (short, *long):
-        for r in part.collect():
-            counts[r["verdict"]][r["gram"]] = r["n"]
-    model = UrlModel(Markov(counts[ALLOW], order), Markov(counts[BLOCK], order))
-    shared = pages.sparkSession.sparkContext.broadcast((counts, order))
-    kind = T.StructType([T.StructField("verdict", T.StringType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType())])
-
-    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, k = shared.value
-        own = UrlModel(Markov(c[ALLOW], k), Markov(c[BLOCK], k))
-        found: Counter[tuple[str, int]] = Counter()
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for url in batch.column(0).to_pylist():
-                _, verdict = chosen.find(*host_path(url))
-                if verdict is not None and held_back(url):
-                    found[verdict, int((min(3.999, max(-4.0, own.margin(url))) + 4) * bins / 8)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.string()), pa.array([b for _, b in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=kind.names)
+            pairs = [(chosen.find(*host_path(url))[1], url) for url in batch.column(0).to_pylist() if held_back(url)]
+            pairs = [x for x in pairs if x[0] is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.string()) for i in (0, 1)], names=kept.names)
+
+    summed = urls.mapInArrow(count, GRAM).groupBy("verdict", "gram").agg(F.sum("n").alias("n"))
+    none = F.lit(0).cast("long")
+    run = F.struct("gram", "n", none.alias("total"), none.alias("kinds"))
+    context = F.struct(F.expr("substring(gram, 1, length(gram) - 1)").alias("gram"), none.alias("n"), F.col("n").alias("total"), F.lit(1).cast("long").alias("kinds"))
+    both = summed.select("verdict", F.explode(F.array(run, context)).alias("x")).select("verdict", "x.*")
+    sums = [F.sum(F.when(F.col("verdict") == v, F.col(c)).otherwise(0)).alias(f"{v}_{c}") for v in (ALLOW, BLOCK) for c in ("n", "total", "kinds")]
+    model = UrlModel(written(both.groupBy("gram").agg(*sums), "url-runs"), order)
+    kept = T.StructType([T.StructField("verdict", T.StringType()), T.StructField("url_", T.StringType())])
+    margins = scored(in_blocks(urls.mapInArrow(held, kept), "url-held"), model)
+    step = F.floor((F.least(F.lit(3.999), F.greatest(F.lit(-4.0), F.col("margin"))) + 4) * bins / 8).cast("int")
 
     steps: dict[str, Counter[int]] = {ALLOW: Counter(), BLOCK: Counter()}
-    for r in urls.mapInArrow(margins, kind).groupBy("verdict", "bin").agg(F.sum("n").alias("n")).collect():
+    for r in margins.groupBy("verdict", step.alias("bin")).agg(F.count("*").alias("n")).collect():
         steps[r["verdict"]][r["bin"]] += r["n"]
     good, bad = steps[ALLOW].total(), steps[BLOCK].total()
     if good and bad:
@@ -194,36 +263,32 @@ def fit(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", or
     return model
 
 
-JUDGED = [("host", T.StringType()), ("path", T.StringType()), ("rule", T.StringType()), ("verdict", T.StringType()), ("margin", T.DoubleType())]
+JUDGED = [("url_", T.StringType()), ("host", T.StringType()), ("path", T.StringType()), ("rule", T.StringType()), ("verdict", T.StringType())]
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule, verdict, margin (six places; null where a rule decides) of each row.
 
-    Row by row, without a shuffle. A null URL, and one without ``://``, has an empty
-    host and path and no rule; it's judged by the models as it is, a null one as
-    empty. Repeated rows are judged alike, other columns left out, an empty table
-    gives an empty table.
+    Rules decide row by row; the other rows are scored in blocks (``scored``). A null
+    URL, and one without ``://``, has an empty host and path and no rule; it's judged
+    by the models as it is, a null one as empty. Repeated rows are judged alike,
+    other columns left out, an empty table gives an empty table.
     """
-    source = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"))
+    source = pages.select(F.col(id_col), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url_"))
     schema = T.StructType([pages.schema[id_col], *[T.StructField(n, t) for n, t in JUDGED]])
     chosen = Rules(rules)
-    shared = pages.sparkSession.sparkContext.broadcast((model.accepted.counts, model.rejected.counts, model.accepted.order, model.threshold))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, order, threshold = shared.value
-        own = UrlModel(Markov(a, order), Markov(b, order), threshold)
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for url in batch.column(1).to_pylist():
                 host, path = host_path(url)
-                rule, verdict = chosen.find(host, path)
-                margin = None
-                if verdict is None:
-                    margin = own.margin(url or "")
-                    verdict = ALLOW if margin >= threshold else BLOCK
-                rows.append((host, path, rule, verdict, None if margin is None else round(margin, 6)))
-            columns = [pa.array([r[i] for r in rows], pa.float64() if n == "margin" else pa.string()) for i, (n, _) in enumerate(JUDGED)]
+                rows.append((url, host, path, *chosen.find(host, path)))
+            columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(len(JUDGED))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    decided = in_blocks(source.mapInArrow(decide, schema), "url-rules")
+    verdict = F.when(F.col("margin") >= model.threshold, ALLOW).otherwise(BLOCK)
+    rest = scored(decided.filter("verdict is null"), model).withColumns({"verdict": verdict, "margin": F.round("margin", 6)})
+    ruled = decided.filter("verdict is not null").withColumn("margin", F.lit(None).cast("double"))
+    return ruled.select(*rest.columns).unionByName(rest).drop("url_")
