@@ -313,3 +313,14 @@ def forward_schedule_extract(spark: SparkSession, d: str) -> DataFrame:
 
     t = F.col("text")
     return A.table(spark, d, "documents").select("doc_id", F.regexp_extract(t, r"([0-9]{4})-([0-9]{2})-([0-9]{2})", 0).alias("found"), F.size(dates_in(t)).cast("long").alias("dates"), F.size(sentences(t)).cast("long").alias("sentences"))
+
+
+@query()
+def sec_release_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Announced and actual release dates of all documents, each accepted on a day by its id and retrieved an hour later."""
+    from strikeloom.functions.text import actual_results, forward_schedule
+
+    at = F.lit("2025-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("doc_id") % 365).cast("int"))
+    rows = A.table(spark, d, "documents").select("doc_id", "text", at.alias("at"), (at + F.make_dt_interval(hours=F.lit(1))).alias("got"))
+    x = rows.select("doc_id", forward_schedule(F.col("text"), F.col("at"), F.col("got")).alias("f"), actual_results(F.col("text"), F.col("at"), F.col("got")).alias("a"))
+    return x.select("doc_id", F.col("f.event_date").cast("string").alias("announced"), iso("f.event_at").alias("announced_at"), F.col("f.series_key").alias("quarter"), F.col("a.event_date").cast("string").alias("released"))
