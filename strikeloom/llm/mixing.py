@@ -36,8 +36,13 @@ def bisect(holds, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(holds(F.lit(high)), F.lit(high)).otherwise(searched)
 
 
+def rounded(weight: Column) -> Column:
+    """Rounded to nine places, under 0.001 to nine significant digits, so that no positive weight becomes 0."""
+    return F.when(weight < 0.001, F.format_string("%.8e", weight).cast("double")).otherwise(F.round(weight, 9))
+
+
 def weigh(sources: DataFrame, entropy: float | None = 0.97, repeats: float | None = 2.0, most_sources: int = 100_000) -> DataFrame:
-    """``sources`` (source, n_tokens) with the ``weight`` of each, rounded to nine places, and the ``exponent``, to six.
+    """``sources`` (source, n_tokens) with the ``weight`` of each, rounded (``rounded``), and the ``exponent``, to six places.
 
     ``entropy`` is the target as a part of the largest, that of equal weights;
     the exponent is the largest that reaches it, 1 where the shares reach it
@@ -66,7 +71,7 @@ def weigh(sources: DataFrame, entropy: float | None = 0.97, repeats: float | Non
     if row is None:
         return sources.withColumns({"weight": F.lit(1.0), "exponent": F.lit(1.0)})
     sums = sources.agg(F.sum("n_tokens").alias("n"), F.sum(F.pow(F.col("n_tokens").cast("double"), F.lit(row["e"]))).alias("z")).first()
-    return sources.withColumns({"weight": F.round(F.pow(F.col("n_tokens").cast("double"), F.lit(row["e"])) / F.lit(sums["z"]), 9), "exponent": F.lit(row["e"])})
+    return sources.withColumns({"weight": rounded(F.pow(F.col("n_tokens").cast("double"), F.lit(row["e"])) / F.lit(sums["z"])), "exponent": F.lit(row["e"])})
 
 
 def plan(sources: DataFrame, budget: int | None) -> DataFrame:
