@@ -17,11 +17,13 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach, as a URI.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (single-machine tests) a temporary folder is made and remembered.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset, a local
+    master gets a temporary folder, which is remembered, and any other raises ValueError.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strikeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -44,6 +46,69 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Work:
+    """Tables that an operator writes in the shared folder and that go when it has its result.
+
+    Used as a context: what ``written`` wrote is deleted at its end, whether it
+    failed or not, so results must be written elsewhere before.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, fresh_dir(spark, name)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``written``, in this context's folder."""
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Work:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a few numbers or one digest each that may be broadcast; they are counted first.
+MOST_BROADCAST = 1_000_000
+#: Keys that hold more than one in so many rows; there can't be more of them than this.
+SHARE = 100_000
+
+
+def small(rows: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``rows``, counted, and marked to be broadcast if they are ``most`` at most; beyond that joins shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def join_keys(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``per_key``, which has one row for each key and in ``count`` how many of ``rows`` it has.
+
+    Keys with more than one in SHARE of all ``total`` rows (and over 1,000) go by
+    a broadcast, as there are fewer than SHARE of them at any size; the other
+    rows are shuffled by key, so that no task gets a hot one. Both should be
+    written tables. ``count`` isn't among the columns returned.
+    """
+    limit = max(1000, total // SHARE)
+    hot = per_key.filter(F.col(count) > limit)
+    if hot.isEmpty():
+        return rows.join(per_key.drop(count), key, how)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.filter(F.col(count) <= limit).drop(count), key, how)
+    return rows.join(F.broadcast(hot.drop(count)), key).unionByName(cold)
+
+
+def column(name: str) -> F.Column:
+    """The top-level column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def set_apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[F.Column]]:
+    """``docs`` with all columns but ``used`` under names that no operator has, and the columns that bring the old names back in order."""
+    names = {c: c if c in used else f"own column {i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[column(c).alias(n) for c, n in names.items()]), [column(n).alias(c) for c, n in names.items()]
+
+
 def slices(batch: pa.RecordBatch, rows: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``size`` bytes of text, one row at least."""
     lengths = np.ones(batch.num_rows, np.int64)
