@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strikeloom.llm.base import text_of, written
+from strikeloom.llm.base import column, join_keys, set_apart, text_of, written
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -30,21 +30,30 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words stand in three-word windows that the array has twice or more.
 
-    Windows are hashed to 64 bits, sorted with their places, compared with
-    their neighbours, and the places that repeat are merged from left to right.
+    Windows are hashed to 64 bits and sorted with their places; those whose hash
+    is a neighbour's are compared by their words in the same way, and the places
+    that repeat are merged from left to right.
     """
     size = F.size(words)
     windows = F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
+    def repeats(placed: Column, name: str) -> Column:
+        """Those of ``placed``, sorted, whose field ``name`` is a neighbour's too."""
+        return F.filter(placed, lambda x, j: (F.get(placed, j - 1)[name].eqNullSafe(x[name])) | (F.get(placed, j + 1)[name].eqNullSafe(x[name])))
+
     def covered(placed: Column) -> Column:
-        again = F.filter(placed, lambda x, j: (F.get(placed, j - 1)["h"].eqNullSafe(x["h"])) | (F.get(placed, j + 1)["h"].eqNullSafe(x["h"])))
-        places = F.sort_array(F.transform(again, lambda x: x["i"]))
+        places = F.sort_array(F.transform(repeats(placed, "t"), lambda x: x["i"]))
         start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
         return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n"), (p + 3).alias("end")))["n"]
 
+    def exact(placed: Column) -> Column:
+        """Of windows with a hash that occurs again, those whose words do."""
+        window = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+        return F.sort_array(F.transform(repeats(placed, "h"), lambda x: F.struct(window(x["i"]).alias("t"), x["i"].alias("i"))))
+
     def count(hashed: Column) -> Column:
         placed = F.sort_array(F.transform(hashed, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(hashed)) == F.size(hashed), F.lit(0)).otherwise(bound(placed, covered))
+        return F.when(F.size(F.array_distinct(hashed)) == F.size(hashed), F.lit(0)).otherwise(bound(placed, lambda p: bound(exact(p), covered)))
 
     return F.when(size < 3, F.lit(0)).otherwise(bound(windows, count))
 
@@ -52,9 +61,10 @@ def repeated_words(words: Column) -> Column:
 def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the rule counts of each text and which rules it fails (replacing columns of those names).
 
-    A null or empty text has no words: all counts are 0 and it fails. Adds
-    COUNTS (long), ``base_failed``, and ``n_failed`` (how many of the rules fail:
-    few words, repetition, symbols, repeated lines, word length).
+    A null or empty text has no words: all counts are 0 and it fails. Texts are
+    counted whole, however long. Adds COUNTS (long), ``base_failed``, and
+    ``n_failed`` (how many of the rules fail: few words, repetition, symbols,
+    repeated lines, word length).
     """
     text = text_of(text_col)
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.translate(line, BLANKS, "") != "")
@@ -64,9 +74,10 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
         bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
     )
+    docs, back = set_apart(docs.drop(*COUNTS, "base_failed", "n_failed"), text_col)
     out = docs.withColumn("counts_", counts)
     c = F.col("counts_")
-    out = out.withColumns({"n_words": c["w"]["n_words"].cast("long"), "word_chars": c["word_chars"].cast("long"), "n_symbols": c["n_symbols"].cast("long"), "n_dup_lines": c["n_dup_lines"].cast("long"), "n_repeat_words": c["w"]["n_repeat_words"].cast("long")}).drop("counts_")
+    out = out.select(*back, c["w"]["n_words"].cast("long").alias("n_words"), c["word_chars"].cast("long").alias("word_chars"), c["n_symbols"].cast("long").alias("n_symbols"), c["n_dup_lines"].cast("long").alias("n_dup_lines"), c["w"]["n_repeat_words"].cast("long").alias("n_repeat_words"))
     few, again = F.col("n_words") < 50, F.col("n_repeat_words") * 100 > F.col("n_words") * 50
     others = [F.col("n_symbols") * 5 > F.col("n_words"), F.col("n_dup_lines") * 20 > F.col("n_words"), F.col("word_chars") > F.col("n_words") * 12]
     return out.withColumns({"base_failed": few | again, "n_failed": sum((x.cast("int") for x in [few, again, *others]), F.lit(0))})
@@ -89,20 +100,32 @@ def host_rates(counts: DataFrame, host_col: str = "source", strongest: float = 1
     return hosts.withColumn("rate", (F.col("n_bad") + mean * strength) / (F.col("n_docs") + strength))
 
 
-def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit: float = 0.5, broadcast_hosts: int = 100_000) -> DataFrame:
-    """``docs`` with counts, ``base_failed``, ``n_failed`` and ``kept``.
+def verdicts(counts: DataFrame, host_col: str = "source", limit: float = 0.5) -> DataFrame:
+    """``counts`` (of ``counted``; written, so that texts are counted once) with ``kept``, see ``judge``."""
+    counts, back = set_apart(counts, host_col, "base_failed", "n_failed")
+    hosts = host_rates(counts, host_col)
+    bad = written(hosts.filter(F.col("rate") > limit).select(host_key(F.col("host")).alias("host of row"), F.lit(True).alias("bad host"), "n_docs"), "bad-hosts")
+    joined = join_keys(counts.withColumn("host of row", host_key(column(host_col))), bad, "host of row", "n_docs", hosts.agg(F.sum("n_docs").alias("n")).first()["n"] or 0, "left")
+    return joined.select(*back, (~F.col("base_failed") & F.col("bad host").isNull()).alias("kept"))
+
+
+def host_key(host: Column) -> Column:
+    """A host as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit("n"))
+
+
+def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit: float = 0.5, with_text: bool = True) -> DataFrame:
+    """``docs`` with counts, ``base_failed``, ``n_failed`` and ``kept`` (replacing columns of those names).
 
     ``kept`` is false if ``base_failed``, or if the host's shrunk rate is above
-    ``limit``. A null host is a host of its own. Repeated rows are counted and
-    judged each; an empty table gives an empty table. Rejected hosts are broadcast
-    when they are counted and are ``broadcast_hosts`` at most; otherwise the join
-    shuffles, and adaptive execution splits large hosts.
+    ``limit``. A null host is a host of its own; null and empty texts fail; repeated
+    rows are counted and judged each; other columns may have any name; an empty
+    table gives an empty table. The counts are written with the columns of ``docs``,
+    without the text unless ``with_text``. Verdicts on large hosts are broadcast,
+    others joined by host (``join_keys``), so that no host lands in one task.
     """
-    counts = written(counted(docs, text_col), "rule-counts")
-    bad = written(host_rates(counts, host_col).filter(F.col("rate") > limit).select(F.col("host").alias("host_"), F.lit(True).alias("bad_")), "bad-hosts")
-    small = F.broadcast(bad) if bad.count() <= broadcast_hosts else bad
-    joined = counts.join(small, counts[host_col].eqNullSafe(small["host_"]), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("bad_").isNull()).drop("host_", "bad_")
+    counts = counted(docs.drop("kept"), text_col)
+    return verdicts(written(counts if with_text else counts.drop(text_col), "rule-counts"), host_col, limit)
 
 
 SQL = r"""

@@ -75,7 +75,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strikeloom.llm.hostrules import COUNTS, judge
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept", "n_failed")
+    return judge(docs, with_text=False).select("doc_id", *COUNTS, "base_failed", "kept", "n_failed")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
