@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strikeloom.llm.base import fresh_dir, slices, text_of, written
@@ -217,7 +218,24 @@ def read_payloads(index: DataFrame) -> DataFrame:
     return _mapped(index, more, start, 500)
 
 
+def dealt(index: DataFrame, most: int = 64 << 20, least: int = 2 << 20) -> DataFrame:
+    """``index`` dealt by the bytes to read: about ``most`` a task, less (``least`` at the least) while cores are free; what a task reads lies together."""
+    size = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(1, -(-size // most), min(-(-size // least), 2 * index.sparkSession.sparkContext.defaultParallelism))
+    stretch = max(1, size // (8 * tasks))
+    return index.repartition(int(tasks), "shard", F.floor(F.col("offset") / stretch)).sortWithinPartitions("shard", "offset")
+
+
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts stored in the shared folder, then every metadata column read back from the shards."""
+    """Texts stored in the shared folder, then every metadata column read back from the shards.
+
+    The id, ``media_sha256``, ``shard``, ``offset``, ``length``, then the columns of
+    ``read_headers`` and ``read_payloads``, one row for each row of ``docs``. A null
+    and an empty text are 64 zeros; whole texts are stored, however long (one payload
+    is in memory at a time); equal texts have equal media, stored once for each shard
+    that a task writes, so that every shard can be read by itself; repeated rows and
+    null ids stay as they are; other columns, whatever their names, are left out; an
+    empty table gives an empty table.
+    """
     index = store_texts(docs, fresh_dir(docs.sparkSession, "media"), id_col, text_col)
-    return read_payloads(read_headers(index))
+    return read_payloads(read_headers(dealt(index)))
