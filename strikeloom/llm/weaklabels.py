@@ -148,13 +148,14 @@ def fit_labels(patterns: dict[str, int], prior: float = 0.85, rounds: int = 200,
 
 
 def featured(s: Signs, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed feature numbers and their values: word shapes and words as shares, signs in steps."""
+    """Hashed feature numbers and their values: whole words and their shapes as shares, signs in steps."""
     mask, found = (1 << bits) - 1, Counter()
     m = max(1, s.n)
     shapes: Counter[bytes] = Counter()
     for w, k in Counter(s.words).items():
-        shapes[_RUN.sub(rb"\1+", w.translate(_SHAPE))[:16]] += k
-        if w.isalpha():
+        shape = w.translate(_SHAPE)
+        shapes[_RUN.sub(rb"\1+", shape)] += k
+        if not shape.strip(b"Aa"):  # letters of any script
             found[crc32(b"w" + w.lower()) & mask] += k / m
     for w, k in shapes.items():
         found[crc32(b"s" + w) & mask] += 3 * k / m
@@ -189,19 +190,38 @@ class QualityModel:
     labels: LabelModel
     weights: np.ndarray
     bits: int
+    threshold: float = 0.5
 
     def score(self, s: Signs) -> float:
-        at, x = featured(s, self.bits)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ x + self.weights[-1], -30, 30))))
+        return chance(self.weights, *featured(s, self.bits))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, bits: int = 17) -> QualityModel:
-    """Label model from all documents, scorer from a sample of about ``sample`` of them.
+def chance(weights: np.ndarray, at: np.ndarray, x: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip(weights[at] @ x + weights[-1], -30, 30))))
+
+
+def cut(scored: list[tuple[float, float]], good_cost: float) -> float:
+    """The score from which on to keep, of hundredths: where ``good_cost`` for each good document lost and 1 for each bad one kept are least.
+
+    ``scored`` has scores and posteriors; of several such scores it's the middle one.
+    """
+    steps = [k / 100 for k in range(1, 100)]
+    costs = [round(sum(good_cost * y if s < t else 1 - y for s, y in scored), 9) for t in steps]
+    least = [t for t, c in zip(steps, costs, strict=True) if c == min(costs)]
+    return least[len(least) // 2]
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, bits: int = 17, features: int = 8_000_000, good_cost: float = 4.0) -> QualityModel:
+    """Label model from all documents, scorer from a sample of about ``sample`` different ones.
 
     The sample takes documents whose hash of id and text is below a bound set by
-    the count of all, so its size doesn't grow with the input. What reaches the
-    driver is the pattern counts (at most 3 to the number of labellers) and the
-    sample's features.
+    the count of all, equal ones once, so its size doesn't grow with the input; in
+    order of the hash, it ends before ``features`` features. What reaches the driver
+    is the pattern counts (at most 3 to the number of labellers) and the sample's
+    features. The threshold comes from the fifth of the sample that isn't trained
+    on: losing a good document costs ``good_cost`` times keeping a bad one.
+    Null texts are empty ones, null ids choose like any other; other columns aren't
+    read; an empty table gives a model that knows nothing.
     """
     shape = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("hash_", T.LongType())])
     text = text_of(text_col)
@@ -233,20 +253,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         return step
 
     chosen = rows.filter(F.col("hash_").bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(most) if most < 1 << 62 else F.lit(True))
-    table = written(arrow_map(chosen, feature, kind), "sample").toArrow().combine_chunks().sort_by("hash_")
+    chosen = chosen.groupBy("hash_").agg(F.first("text_").alias("text_")).select("text_", "hash_")
+    table = written(arrow_map(chosen, feature, kind), "sample")
+    sizes = table.select("hash_", F.size("at").alias("n")).toPandas().sort_values("hash_")
+    last = sizes["hash_"][sizes["n"].cumsum() <= features].max() if len(sizes) else None
+    table = table.filter(F.col("hash_") <= F.lit(int(last)) if last == last and last is not None else F.lit(False)).toArrow().combine_chunks().sort_by("hash_")
     at, x, y = (table[c].combine_chunks() for c in ("at", "x", "y"))
     ends, numbers, values = np.asarray(at.offsets), at.values.to_numpy(), x.values.to_numpy()
     found = [(numbers[ends[i] : ends[i + 1]], values[ends[i] : ends[i + 1]], float(label)) for i, label in enumerate(y.to_numpy())]
-    return QualityModel(labels, train(found, bits), bits)
+    weights = train([r for i, r in enumerate(found) if i % 5], bits)
+    return QualityModel(labels, weights, bits, cut([(chance(weights, a, v), label) for a, v, label in found[::5]], good_cost))
 
 
-def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.2) -> DataFrame:
+def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float | None = None) -> DataFrame:
     """``docs`` with ``quality_score`` (good, 0 to 1, six places), ``weak_label`` (posterior) and ``quality_kept``, replacing columns of those names.
 
-    Row by row, without a shuffle: null and empty texts are scored as empty ones,
-    equal texts alike, an empty table gives an empty table. The model's size is
-    bounded by its bits.
+    Kept is what scores ``threshold`` or more, the model's own unless given. Row by
+    row, without a shuffle: null and empty texts are scored as empty ones, equal texts
+    alike, whole, however long; repeated rows stay; other columns may have any name;
+    an empty table gives an empty table. The model's size is bounded by its bits.
     """
+    threshold = model.threshold if threshold is None else threshold
     more = [T.StructField("quality_score", T.DoubleType()), T.StructField("weak_label", T.DoubleType()), T.StructField("quality_kept", T.BooleanType())]
     rest = docs.drop(*[f.name for f in more])
     at = rest.columns.index(text_col)
