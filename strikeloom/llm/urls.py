@@ -84,7 +84,7 @@ class Markov:
 
     counts: dict[str, int]
     order: int
-    alphabet: int = 256
+    alphabet: int = 0x110000  # all code points
     totals: dict[str, int] = field(default_factory=dict)
     kinds: dict[str, int] = field(default_factory=dict)
 
@@ -202,15 +202,16 @@ def scored(blocked: DataFrame, model: UrlModel) -> DataFrame:
     return blocked.groupBy("block_").cogroup(runs.groupBy("block_")).applyInArrow(score, schema)
 
 
-def fit(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", order: int = 5, bins: int = 400) -> UrlModel:
+def fit(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", order: int = 5, steps_a_unit: int = 50) -> UrlModel:
     """Models and threshold from all URLs that a rule decides.
 
     Character runs are counted over the whole column, summed within tasks before
     they're shuffled. All of them stay, in a written table that grows with the
     input and that no process holds as a whole; contexts have their totals and
-    kinds over all runs. The threshold is the one of ``bins`` steps of margins in
-    -4 to 4 with the best balanced accuracy over the URLs held back; with none of a
-    class it's 0.
+    kinds over all runs. The threshold is that multiple of 1 / ``steps_a_unit`` with
+    the best balanced accuracy over the URLs held back, of several the one nearest
+    to 0; with none of a class it's 0. Only how many margins fall between two
+    multiples reaches the driver, a number bounded by the range of margins.
     """
     chosen = Rules(rules)
     urls = pages.select(F.col(url_col).cast("string").alias("url")).filter("url is not null")
@@ -248,21 +249,27 @@ def fit(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", or
     model = UrlModel(written(both.groupBy("gram").agg(*sums), "url-runs"), order)
     kept = T.StructType([T.StructField("verdict", T.StringType()), T.StructField("url_", T.StringType())])
     margins = scored(in_blocks(urls.mapInArrow(held, kept), "url-held"), model)
-    step = F.floor((F.least(F.lit(3.999), F.greatest(F.lit(-4.0), F.col("margin"))) + 4) * bins / 8).cast("int")
-
-    steps: dict[str, Counter[int]] = {ALLOW: Counter(), BLOCK: Counter()}
-    for r in margins.groupBy("verdict", step.alias("bin")).agg(F.count("*").alias("n")).collect():
-        steps[r["verdict"]][r["bin"]] += r["n"]
-    good, bad = steps[ALLOW].total(), steps[BLOCK].total()
-    if good and bad:
-        best, middle = -1.0, bins / 2
-        for cut in range(bins + 1):
-            value = sum(n for b, n in steps[ALLOW].items() if b >= cut) / good + sum(n for b, n in steps[BLOCK].items() if b < cut) / bad
-            if (value, -abs(cut - middle)) > (best, -abs(model.threshold * bins / 8)):
-                best, model.threshold = value, cut * 8 / bins - 4
+    step = F.floor(F.col("margin") * steps_a_unit).cast("long")
+    found: dict[str, Counter[int]] = {ALLOW: Counter(), BLOCK: Counter()}
+    for r in margins.groupBy("verdict", step.alias("step")).agg(F.count("*").alias("n")).collect():
+        found[r["verdict"]][r["step"]] += r["n"]
+    model.threshold = best_cut(found[ALLOW], found[BLOCK]) / steps_a_unit
     return model
 
 
+def best_cut(good: Counter[int], bad: Counter[int]) -> int:
+    """The step from which on to accept, for the best sum of both classes' shares judged right; 0 if a class is empty."""
+    if not good or not bad:
+        return 0
+    right_good, right_bad, n_good, n_bad = 1.0, 0.0, good.total(), bad.total()
+    best = (-1.0, 0, 0)
+    for cut in range(min(*good, *bad, 0), max(*good, *bad, 0) + 2):
+        best = max(best, (round(right_good + right_bad, 12), -abs(cut), cut))
+        right_good -= good[cut] / n_good
+        right_bad += bad[cut] / n_bad
+    return best[2]
+
+
 JUDGED = [("url_", T.StringType()), ("host", T.StringType()), ("path", T.StringType()), ("rule", T.StringType()), ("verdict", T.StringType())]
 
 
