@@ -42,6 +42,7 @@ class Flat:
     text: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
     tokens: int = 0
+    text_tokens: int = 0
 
 
 class PartVisitor:
@@ -49,7 +50,9 @@ class PartVisitor:
 
     An attachment's tokens are what its placeholder expands to: an image's
     ``patch`` squares, an audio's ``rate`` frames a second, a document's
-    ``page_tokens`` a page. Unknown kinds raise ValueError.
+    ``page_tokens`` a page; text is estimated apart, at a token for four bytes. A part of an unknown
+    kind is an attachment of no tokens with a placeholder ``unknown`` that has its
+    kind noted; a null part is left out; missing sizes count as 0.
     """
 
     def __init__(self, patch: int = 28, rate: float = 12.5, page_tokens: int = 256):
@@ -58,14 +61,14 @@ class PartVisitor:
     def visit(self, parts: Iterable[dict]) -> Flat:
         flat = Flat()
         for part in parts:
-            method = getattr(self, f"visit_{part.get('type') or 'text'}", None)
-            if method is None:
-                raise ValueError(f"unknown content part {part['type']!r}")
-            method(part, flat)
+            if part is not None:
+                VISITS.get(part.get("type") or "text", PartVisitor.visit_other)(self, part, flat)
         return flat
 
     def visit_text(self, part: dict, flat: Flat) -> None:
-        flat.text.append(escape(part.get("text") or ""))
+        text = part.get("text") or ""
+        flat.text.append(escape(text))
+        flat.text_tokens += -(-len(text.encode()) // 4)
 
     def visit_image(self, part: dict, flat: Flat) -> None:
         self.attach("image", part, math.ceil((part.get("width") or 0) / self.patch) * math.ceil((part.get("height") or 0) / self.patch), flat)
@@ -76,19 +79,23 @@ class PartVisitor:
     def visit_document(self, part: dict, flat: Flat) -> None:
         self.attach("document", part, (part.get("pages") or 0) * self.page_tokens, flat)
 
+    def visit_other(self, part: dict, flat: Flat) -> None:
+        self.attach("unknown", part, 0, flat)
+
     def attach(self, kind: str, part: dict, tokens: int, flat: Flat) -> None:
         at = sum(map(len, flat.text))
         flat.text.append(f"<|{kind}:{self.count}|>")
-        flat.attachments.append({"number": self.count, "kind": kind, "ref": part.get("ref"), "at": at, "tokens": tokens})
+        flat.attachments.append({"number": self.count, "kind": kind if kind != "unknown" else part["type"], "ref": part.get("ref"), "at": at, "tokens": tokens})
         flat.tokens += tokens
         self.count += 1
 
 
+VISITS = {"text": PartVisitor.visit_text, "image": PartVisitor.visit_image, "audio": PartVisitor.visit_audio, "document": PartVisitor.visit_document}
 PART = T.StructType([T.StructField(n, t) for n, t in (("type", T.StringType()), ("text", T.StringType()), ("ref", T.StringType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("seconds", T.DoubleType()), ("pages", T.IntegerType()))])
 ATTACHMENT = T.StructType([T.StructField(n, t) for n, t in (("number", T.LongType()), ("kind", T.StringType()), ("ref", T.StringType()), ("at", T.LongType()), ("tokens", T.LongType()))])
-SEGMENT = T.StructType([T.StructField(n, t) for n, t in (("conv_id", T.LongType()), ("position", T.LongType()), ("start", T.LongType()), ("segment", T.StringType()), ("loss_start", T.LongType()), ("loss_end", T.LongType()), ("attachments", T.ArrayType(ATTACHMENT)), ("expanded_tokens", T.LongType()))])
+SEGMENT = T.StructType([T.StructField(n, t) for n, t in (("conv_id", T.LongType()), ("position", T.LongType()), ("start", T.LongType()), ("segment", T.StringType()), ("loss_start", T.LongType()), ("loss_end", T.LongType()), ("attachments", T.ArrayType(ATTACHMENT)), ("expanded_tokens", T.LongType()), ("text_tokens", T.LongType()))])
 _ATTACHMENT = pa.struct([("number", pa.int64()), ("kind", pa.string()), ("ref", pa.string()), ("at", pa.int64()), ("tokens", pa.int64())])
-_SEGMENT = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("start", pa.int64()), ("segment", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("attachments", pa.list_(_ATTACHMENT)), ("expanded_tokens", pa.int64())])
+_SEGMENT = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("start", pa.int64()), ("segment", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("attachments", pa.list_(_ATTACHMENT)), ("expanded_tokens", pa.int64()), ("text_tokens", pa.int64())])
 
 
 def format_conversations(turns: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -127,7 +134,7 @@ def format_conversations(turns: DataFrame, learned: tuple[str, ...] = ("assistan
                     for x in flat.attachments:
                         x["at"] += inside
                     mask = (inside, inside + len(body)) if r["role"] in learned else (None, None)
-                    out.append({"conv_id": r["conv_id"], "position": position, "start": at, "segment": segment, "loss_start": mask[0], "loss_end": mask[1], "attachments": flat.attachments, "expanded_tokens": flat.tokens})
+                    out.append({"conv_id": r["conv_id"], "position": position, "start": at, "segment": segment, "loss_start": mask[0], "loss_end": mask[1], "attachments": flat.attachments, "expanded_tokens": flat.tokens, "text_tokens": flat.text_tokens})
                     position, at = position + 1, at + len(segment)
                 yield pa.RecordBatch.from_pylist(out, schema=_SEGMENT)
 
@@ -148,7 +155,12 @@ READ = T.StructType([T.StructField(n, t) for n, t in (("conv_id", T.LongType()),
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of roles, texts and learned texts of each conversation, read from its segments (in the order and tasks in which format_conversations leaves them)."""
+    """Digests of roles, texts and learned texts of each conversation, read from its segments, in whatever order they are stored.
+
+    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars; a null
+    conv_id is a conversation; an empty table gives an empty table. A conversation is
+    read by one task, because its digests are of one stream, one segment at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
@@ -179,4 +191,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_pylist([ended()], schema=fields)
 
-    return formatted.mapInArrow(run, READ)
+    dealt = formatted.select("conv_id", "position", "start", "segment", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    return dealt.mapInArrow(run, READ)

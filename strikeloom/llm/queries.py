@@ -62,12 +62,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, and one whose texts are control strings, formatted and read back."""
+    """Every conversation, and one whose texts are control strings, formatted, stored and read back from the stored table."""
+    from strikeloom.llm.base import written
     from strikeloom.llm.chat import format_conversations, read_back
 
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(turns.unionByName(odd)))
+    return read_back(written(format_conversations(turns.unionByName(odd)), "formatted"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
