@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeloom.llm.base import fresh_dir, slices, text_of, written
+from strikeloom.llm.base import fresh_dir, join_keys, slices, text_of, written
 
 DICTIONARY_FRAME = 0x184D2A5D  # fixed value of the format: the skippable frame that holds the dictionary
 FRAME, DICTIONARY = b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"  # fixed values: how frames and dictionaries begin
@@ -29,7 +29,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 class WarcError(ValueError):
-    """What is wrong with a record."""
+    """What is wrong with a record, and where it begins if that is known."""
+
+    at: int | None = None
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, date: str = "1970-01-01T00:00:00Z") -> bytes:
@@ -183,15 +185,20 @@ def frames_of(uri: str, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
         decoder = zstandard.ZstdDecompressor(dict_data=words) if words else zstandard.ZstdDecompressor()
         while data or (data := file.read(chunk)):
             frame, parts, began = decoder.decompressobj(), [], at
-            while True:
-                parts.append(frame.decompress(data))
-                if frame.eof:
-                    at += len(data) - len(frame.unused_data)
-                    data = frame.unused_data
-                    break
-                at += len(data)
-                if not (data := file.read(chunk)):
-                    raise WarcError("the last frame is cut off")
+            try:
+                while True:
+                    parts.append(frame.decompress(data))
+                    if frame.eof:
+                        at += len(data) - len(frame.unused_data)
+                        data = frame.unused_data
+                        break
+                    at += len(data)
+                    if not (data := file.read(chunk)):
+                        raise WarcError("the last frame is cut off")
+            except (WarcError, zstandard.ZstdError) as fault:
+                error = WarcError(str(fault))
+                error.at = began
+                raise error from fault
             yield began, b"".join(parts)
 
 
@@ -200,18 +207,28 @@ RECORD = T.StructType([T.StructField(n, t) for n, t in (("file", T.StringType())
 
 
 def mark_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, first_id of each row.
+    """page_id, url, html, payload_bytes, first_id of each row, and payload_digest.
 
     ``first_id`` is the smallest page_id among rows of the same payload, where
-    that has at least ``least`` bytes and another row has it too, else null. Only
-    payloads that occur again are kept on the other side of the join, and large
-    ones of its keys are split by adaptive execution.
+    that has at least ``least`` bytes and another row has it too, else null. Digests
+    and ids alone are aggregated; only payloads that occur again are on the other
+    side of the join, broadcast when they are counted and few, else joined with hot
+    ones broadcast and the others shuffled. Smaller payloads never meet there.
     """
     html = text_of("html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2(F.col("html").cast("binary"), 256)})
-    again = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n_")).filter("n_ > 1").drop("n_")
-    return rows.join(again, "payload_digest", "left")
+    again = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n_")).filter("n_ > 1")
+    again = written(again.withColumnRenamed("payload_digest", "key_"), "repeated-payloads")
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    rows = rows.withColumn("key_", F.when(F.col("payload_bytes") >= least, F.col("payload_digest")).otherwise(own))
+    if again.count() <= MOST_DIGESTS:
+        return rows.join(F.broadcast(again.drop("n_")), "key_", "left").drop("key_")
+    return join_keys(rows, again, "key_", "n_", again.agg(F.sum("n_").alias("n")).first()["n"], "left").drop("key_")
+
+
+#: Digests with an id that may be broadcast.
+MOST_DIGESTS = 300_000
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
@@ -246,11 +263,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
     return written(mark_revisits(pages, least).mapInArrow(write, INDEX), "warc-index")
 
 
-def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
+def read_archives(files: DataFrame, payloads: bool = True, strict: bool = False) -> DataFrame:
     """Every record of the archives in column ``file`` of ``files``, see RECORD.
 
     A record that isn't valid has its fault in ``error`` and nulls in the rest; a
-    broken frame ends its archive with such a row. Files are dealt out evenly.
+    broken frame ends its archive with such a row, at the frame's own offset. With
+    ``strict`` either raises WarcError instead. Files are dealt out evenly; a null
+    or repeated name is read once or not at all; no file gives an empty table.
     """
     fields = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
 
@@ -265,9 +284,13 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
                     h, payload, size = parse_record(data)
                     yield {"file": uri, "offset": at, "page_id": number(h.get("x-page-id")), "url": h.get("warc-target-uri"), "record_type": h["warc-type"], "refers_to": number(h.get("x-refers-to-page-id")), "payload_bytes": size, "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha256:"), "payload": payload if payloads else None}
                 except ValueError as fault:
+                    if strict:
+                        raise WarcError(f"{uri} at {at}: {fault}") from fault
                     yield {"file": uri, "offset": at, "error": str(fault)}
-        except (WarcError, zstandard.ZstdError) as fault:
-            yield {"file": uri, "offset": at, "error": str(fault)}
+        except WarcError as fault:
+            if strict:
+                raise WarcError(f"{uri} at {at if fault.at is None else fault.at}: {fault}") from fault
+            yield {"file": uri, "offset": at if fault.at is None else fault.at, "error": str(fault)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,11 +305,11 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=fields)
 
-    names = written(files.select("file").distinct(), "warc-files")
+    names = written(files.select("file").filter("file is not null").distinct(), "warc-files")
     return names.repartition(max(1, names.count())).mapInArrow(read, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` into archives in the shared folder and read every record back."""
+    """Write ``pages`` into archives in the shared folder and read every record back; a record that isn't valid fails the job."""
     index = write_archives(pages, fresh_dir(pages.sparkSession, "warc"))
-    return read_archives(index, payloads=False)
+    return read_archives(index, payloads=False, strict=True).drop("error")
