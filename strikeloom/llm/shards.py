@@ -24,10 +24,21 @@ def draw(key: Column, shard: Column) -> Column:
     return (F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") + 0.5) / float(16**DIGITS)
 
 
+def draws_of(key: Column, shards: int) -> Column:
+    """Array of -log of the draws of shards 0 to ``shards`` - 1."""
+    return F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: -F.log(draw(key, s)))
+
+
+def winner(draws: Column, weights: Sequence[float]) -> Column:
+    """struct<score, shard> of the smallest draw for its weight; a tie goes to the smaller number, weight 0 never wins."""
+    given = F.array(*[F.lit(float(w)) for w in weights])
+    scores = F.transform(draws, lambda d, i: F.when(F.get(given, i) > 0, F.struct((d / F.get(given, i)).alias("score"), i.alias("shard"))))
+    return F.array_min(scores)
+
+
 def shard_of(key: Column, weights: Sequence[float]) -> Column:
-    """struct<score, shard> of the winning shard; a tie goes to the smaller number, weight 0 never wins."""
-    given = F.array(*[F.struct(F.lit(i).alias("shard"), F.lit(float(w)).alias("weight")) for i, w in enumerate(weights) if w > 0])
-    return F.array_min(F.transform(given, lambda s: F.struct((-F.log(draw(key, s["shard"])) / s["weight"]).alias("score"), s["shard"].alias("shard"))))
+    """struct<score, shard> of the shard that wins ``key``."""
+    return winner(draws_of(key, len(weights)), weights)
 
 
 def key_text(column: Column) -> Column:
@@ -64,13 +75,13 @@ def slots(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     """
     text = text_of(text_col)
     key = key_text(F.col(id_col))
-    sized = docs.select(F.col(id_col), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    kinds = sized.groupBy(id_col, "size", "text_crc32").agg(F.count("*").alias("copies"))
-    best = shard_of(key, weights)
-    wider = shard_of(key, grown)["shard"] if grown is not None else F.lit(None).cast("int")
+    # drawn where the rows are read, once for both lists of shards
+    sized = docs.select(F.col(id_col), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), draws_of(key, max(len(weights), len(grown or []))).alias("draws_"))
+    wider = winner(F.col("draws_"), grown)["shard"] if grown is not None else F.lit(None).cast("int")
+    kinds = sized.select(id_col, "size", "text_crc32", winner(F.col("draws_"), weights)["shard"].alias("shard"), wider.alias("grown_shard"))
+    kinds = kinds.groupBy(id_col, "size", "text_crc32", "shard", "grown_shard").agg(F.count("*").alias("copies"))
     order = F.md5(F.concat_ws(":", key, F.col("size").cast("string"), F.col("text_crc32").cast("string")).cast("binary"))
-    placed = kinds.select("*", best["shard"].alias("shard"), wider.alias("grown_shard"), order.alias("order_"))
-    placed = placed.withColumn("bucket_", F.substring("order_", 1, digits))
+    placed = kinds.withColumn("order_", order).withColumn("bucket_", F.substring("order_", 1, digits))
     counts = placed.groupBy("shard", "bucket_").agg(F.sum("copies").alias("rows_"))
     before = W.partitionBy("shard").orderBy("bucket_").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket_", F.coalesce(F.sum("rows_").over(before), F.lit(0)).alias("start_"))
