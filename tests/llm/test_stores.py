@@ -12,6 +12,7 @@ from collections import Counter
 import pytest
 import zstandard
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strikeloom.llm import chat, media, shards, warc
 from strikeloom.llm.base import fresh_dir
@@ -142,3 +143,14 @@ def test_shard_edges_and_weights(spark, tmp_path):
     assert set(share) == {0, 1} and abs(share[1] - 0.75) < 0.02
     shards.write_shards(df.drop("shard"), f"file://{tmp_path}/out", "doc_id", [1.0, 1.0])
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 52
+
+
+def test_parts_that_are_unknown_or_null(spark):
+    rows = [(1, 0, "user", None, [None, ("video", "x", "r", None, None, None, None), ("text", "tail", None, None, None, None, None)]), (1, 1, "assistant", "four", None), (2, 0, None, None, [])]
+    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType()), T.StructField("parts", T.ArrayType(chat.PART))])
+    formatted = chat.format_conversations(spark.createDataFrame(rows, schema))
+    got = {(r.conv_id, r.position): r for r in formatted.collect()}
+    assert "<|unknown:0|>tail" in got[1, 0].segment and got[1, 0].attachments[0].kind == "video"
+    assert (got[1, 0].expanded_tokens, got[1, 0].text_tokens, got[1, 1].text_tokens) == (0, 1, 1)
+    back = {r.conv_id: r for r in chat.read_back(formatted.orderBy(F.rand(3))).collect()}
+    assert back[1].n_turns == 2 and back[1].loss_chars == 4 and back[2].n_turns == 1
