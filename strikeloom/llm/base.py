@@ -134,6 +134,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 out = step(part)
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()  # workers are kept for later tasks
 
     return df.mapInArrow(run, schema)
 

@@ -68,7 +68,7 @@ class MergeEncoder:
     whole words are remembered for the latest ``memory`` words or up to twice as many.
     """
 
-    def __init__(self, model: bytes, memory: int = 250_000):
+    def __init__(self, model: bytes, memory: int = 100_000):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         top = dict(_fields(model))
         trainer, normaliser = dict(_fields(top.get(2, b""))), dict(_fields(top.get(3, b"")))
