@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strikeloom.operators.quantiles import counted_quantile
+
 KEY = ["contract", "start", "kind"]
 
 
@@ -91,9 +93,12 @@ def without(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def missing_windows(calendar: DataFrame, have: DataFrame, group: str) -> DataFrame:
-    """Gaps and islands: the runs of consecutive sessions that a group lacks, between its own first and last."""
-    span = have.groupBy(group).agg(F.min("session").alias("a"), F.max("session").alias("b"))
-    wanted = span.join(F.broadcast(calendar), (F.col("session") >= F.col("a")) & (F.col("session") <= F.col("b"))).select(group, "session", "ordinal")
+    """Gaps and islands: the runs of consecutive sessions that a group lacks, between its own first and last.
+
+    ``calendar`` has every session of ``have``; a group's sessions are counted out by ordinal, not by a range join.
+    """
+    span = have.join(F.broadcast(calendar), "session").groupBy(group).agg(F.min("ordinal").alias("a"), F.max("ordinal").alias("b"))
+    wanted = span.select(group, F.explode(F.sequence("a", "b")).alias("ordinal")).join(F.broadcast(calendar), "ordinal").select(group, "session", "ordinal")
     gaps = wanted.join(have.select(group, "session"), [group, "session"], "left_anti")
     island = F.col("ordinal") - F.row_number().over(W.partitionBy(group).orderBy("ordinal"))
     return gaps.withColumn("island", island).groupBy(group, "island").agg(F.min("session").alias("first_session"), F.max("session").alias("last_session"), F.count("*").alias("sessions")).drop("island")
@@ -106,9 +111,28 @@ def mismatched_days(hours: DataFrame, days: DataFrame, least: int = 50) -> DataF
     return both.groupBy("contract").agg(F.count_if(F.abs(F.coalesce("hv", F.lit(0)) - F.col("volume")) >= least).alias("mismatched"), F.count_if(F.col("hv").isNull()).alias("without_hours"), F.count("*").alias("days"))
 
 
-def activity(rows: DataFrame, by: list[str | Column]) -> DataFrame:
-    """Liquidity of option rows in each cell: rows, contracts, tickers, volume, active and wide rows, median."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("contracts"), F.count_distinct("ticker").alias("tickers"), F.sum("oi").cast("long").alias("volume"), F.count_if(F.col("oi") >= 20).alias("active"), F.percentile("oi", F.lit(0.5)).alias("median_oi"))
+def activity(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Liquidity of option rows in each cell: rows, contracts, tickers, volume, active and wide rows, median.
+
+    Rows are summed by contract before anything is counted as different; a cell's
+    tickers are a dimension. The median comes from counts of the whole numbers ``oi``.
+    """
+    by_contract = rows.groupBy(*by, "l_partkey", "ticker").agg(F.count("*").alias("n"), F.sum("oi").alias("volume"), F.count_if(F.col("oi") >= 20).alias("active"))
+    sums = by_contract.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("contracts"), F.size(F.collect_set("ticker")).cast("long").alias("tickers"), F.sum("volume").cast("long").alias("volume"), F.sum("active").alias("active"))
+    return sums.join(counted_quantile(rows, by, "oi", 0.5, "median_oi"), by)
+
+
+def hour_activity(rows: DataFrame) -> DataFrame:
+    """Liquidity of hour bars by ticker, side, days to expiry, strike distance, hour, session, validity and reason.
+
+    Contracts and sessions of a cell are counted as different after bars were summed
+    by both; unknown keys are keys.
+    """
+    keys = ["ticker", "side", "dte_band", "strike_band", "hour", "regular", "valid", "reason"]
+    named = rows.withColumns({"side": F.coalesce("side", F.lit("")), "ticker": F.coalesce("ticker", F.lit("")), "reason": F.coalesce("reason", F.lit("")), "hour": F.coalesce("hour", F.lit(-1))})
+    first = named.groupBy(*keys, "contract", "session").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"), F.sum("transactions").alias("transactions"), F.count_if(F.col("transactions") == 1).alias("single"), F.count_if(F.col("volume") <= 5).alias("small"))
+    total = first.groupBy(*keys).agg(F.sum("bars").alias("bars"), F.count_distinct("contract").alias("contracts"), F.count_distinct(F.coalesce("session", F.lit("1900-01-01").cast("date"))).alias("sessions"), *[F.sum(c).alias(c) for c in ("volume", "transactions", "single", "small")])
+    return total.join(counted_quantile(named, keys, "volume", 0.5, "median_volume"), keys)
 
 
 def minute_cost(n: Column) -> Column:

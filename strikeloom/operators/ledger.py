@@ -84,10 +84,12 @@ def window_states(events: DataFrame, key: list[str]) -> DataFrame:
 def due_interpolated(curve: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rates at wanted years, linear between the points around them; null outside the curve.
 
-    Each curve point carries its successor, so the join is on one interval each.
+    A curve is a dozen points: they are gathered in one row for each, joined by
+    its key, and looked through in order.
     """
-    w = W.partitionBy("curve").orderBy("years")
-    steps = curve.select("curve", F.col("years").alias("y0"), F.col("rate").alias("r0"), F.lead("years").over(w).alias("y1"), F.lead("rate").over(w).alias("r1"))
-    inside = (F.col("years") >= F.col("y0")) & (F.col("years") < F.col("y1"))
-    hit = wanted.join(F.broadcast(steps.filter("y1 is not null")).withColumnRenamed("curve", "c_"), (F.col("curve") == F.col("c_")) & inside, "left")
-    return hit.withColumn("rate", F.col("r0") + (F.col("r1") - F.col("r0")) * (F.col("years") - F.col("y0")) / (F.col("y1") - F.col("y0")))
+    points = curve.groupBy("curve").agg(F.array_sort(F.collect_list(F.struct("years", "rate"))).alias("points"))
+    after = F.filter("points", lambda p: p["years"] > F.col("years"))
+    upto = F.filter("points", lambda p: p["years"] <= F.col("years"))
+    hit = wanted.join(points, "curve", "left").withColumns({"p1": F.get(after, 0), "p0": F.element_at(F.when(F.size(upto) > 0, upto), -1)})
+    hit = hit.withColumns({"y0": F.col("p0.years"), "r0": F.col("p0.rate"), "y1": F.col("p1.years"), "r1": F.col("p1.rate")})
+    return hit.drop("points", "p0", "p1").withColumn("rate", F.col("r0") + (F.col("r1") - F.col("r0")) * (F.col("years") - F.col("y0")) / (F.col("y1") - F.col("y0")))

@@ -14,19 +14,57 @@ def strikes(quotes: DataFrame) -> DataFrame:
     return quotes.filter("side = 'call' and bid > 0").groupBy("ticker", F.date_format("expiry", "yyyy-MM").alias("month"), "strike").agg(F.max("bid").alias("bid"), F.min("ask").alias("ask"))
 
 
+def steepest(k: list[float], base: list[float], value: list[float]) -> list[float | None]:
+    """For each i the largest (value[i] - base[j]) / (k[i] - k[j]) of all j before i; None for the first.
+
+    The best j is where a line from the point touches the lower hull of the points
+    before it, which is found by bisection: n log n steps, no pairs.
+    """
+    hull: list[int] = []
+    out: list[float | None] = []
+
+    def slope(i: int, j: int) -> float:
+        return (value[i] - base[j]) / (k[i] - k[j])
+
+    for i in range(len(k)):
+        if hull:
+            low, high = 0, len(hull) - 1
+            while low < high:
+                mid = (low + high) // 2
+                if slope(i, hull[mid]) < slope(i, hull[mid + 1]):
+                    low = mid + 1
+                else:
+                    high = mid
+            out.append(max(slope(i, hull[j]) for j in range(max(0, low - 2), min(len(hull), low + 3))))
+        else:
+            out.append(None)
+        while len(hull) > 1 and (base[hull[-1]] - base[hull[-2]]) * (k[i] - k[hull[-2]]) >= (base[i] - base[hull[-2]]) * (k[hull[-1]] - k[hull[-2]]):
+            hull.pop()
+        hull.append(i)
+    return out
+
+
 def vertical_bounds(chain: DataFrame) -> DataFrame:
     """Bounds on the chance of ending above each strike from all pairs of strikes on one side of it.
 
-    Strikes of an expiry are few (a listing has tens), so pairs stay within it.
+    Upper: the least (ask below - bid) / distance of the strikes below; lower: the
+    greatest (bid - ask above) / distance of those above. Different strikes of an expiry
+    are one group, walked through once in either direction.
     """
-    a = chain.select(*KEY, F.col("strike").alias("k1"), F.col("bid").alias("b1"), F.col("ask").alias("a1"))
-    b = chain.select(*KEY, F.col("strike").alias("k2"), F.col("bid").alias("b2"), F.col("ask").alias("a2"))
-    pairs = a.join(b, KEY).filter("k1 < k2")
-    up = pairs.groupBy(*KEY, F.col("k2").alias("strike")).agg(F.min((F.col("a1") - F.col("b2")) / (F.col("k2") - F.col("k1"))).alias("upper"))
-    down = pairs.groupBy(*KEY, F.col("k1").alias("strike")).agg(F.max((F.col("b1") - F.col("a2")) / (F.col("k2") - F.col("k1"))).alias("lower"))
-    out = chain.select(*KEY, "strike").join(up, [*KEY, "strike"], "left").join(down, [*KEY, "strike"], "left")
-    clip = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(0.0)))
-    return out.withColumns({"upper": clip("upper"), "lower": clip("lower")})
+    kinds = ", ".join(f"`{n}` {t}" for n, t in chain.dtypes if n in (*KEY, "strike"))
+
+    def walk(frame):  # noqa: ANN001, ANN202
+        frame = frame.sort_values("strike")
+        k, bid, ask = (frame[c].tolist() for c in ("strike", "bid", "ask"))
+        up = steepest(k, ask, bid)
+        down = steepest([-x for x in reversed(k)], ask[::-1], bid[::-1])[::-1]
+        out = frame[[*KEY, "strike"]].copy()
+        out["upper"] = [None if x is None else min(max(-x, 0.0), 1.0) for x in up]
+        out["lower"] = [None if x is None else min(max(x, 0.0), 1.0) for x in down]
+        return out.astype({"upper": "float64", "lower": "float64"})
+
+    out = chain.select(*KEY, "strike", "bid", "ask").groupBy(*KEY).applyInPandas(walk, f"{kinds}, upper double, lower double")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("upper", "lower")})
 
 
 def slopes(chain: DataFrame) -> DataFrame:
@@ -86,7 +124,10 @@ def convex_odds(chain: DataFrame, least: int = 5, rounds: int = 40) -> DataFrame
 def regime_odds(chain: DataFrame, spot: DataFrame, least: int = 6) -> DataFrame:
     """Two-state lognormal mixture fitted to each expiry's midpoints; chance above the spot, and the fit's error in spreads.
 
-    Each expiry is fitted by itself from a fixed start, so results repeat.
+    Every fourth strike is held out; the others (``least`` at the least, and two held
+    out) are fitted from two starts, of which the better counts. A fit is given up
+    where it misses the midpoints by more than 1.25 spreads (root mean square), or a
+    held-out quote by more than the larger of 0.05 and 0.05 % of the spot.
     """
 
     def fit(frame):  # noqa: ANN001, ANN202
@@ -99,24 +140,31 @@ def regime_odds(chain: DataFrame, spot: DataFrame, least: int = 6) -> DataFrame:
         frame = frame.sort_values("strike")
         k, b, a = (frame[c].to_numpy(float) for c in ("strike", "bid", "ask"))
         s0 = float(frame["spot"].iloc[0])
-        out = [frame["ticker"].iloc[0], frame["month"].iloc[0], len(k), None, None, "too_few_strikes"]
-        if len(k) >= least:
+        out = [frame["ticker"].iloc[0], frame["month"].iloc[0], len(k), None, None, None, "too_few_strikes"]
+        held = np.arange(len(k)) % 4 == 3
+        if (~held).sum() >= least and held.sum() >= 2:
             mid, width = (a + b) / 2, np.maximum(a - b, 0.01)
 
-            def call(v):  # noqa: ANN001, ANN202
-                d1 = np.log(s0 / k) / v + v / 2
-                return s0 * normal_cdf(d1) - k * normal_cdf(d1 - v)
+            def call(v, at):  # noqa: ANN001, ANN202
+                d1 = np.log(s0 / k[at]) / v + v / 2
+                return s0 * normal_cdf(d1) - k[at] * normal_cdf(d1 - v)
 
             def parts(x):  # noqa: ANN001, ANN202
-                return 1 / (1 + np.exp(-x[0])), np.exp(np.clip(x[1], -5, 1)), np.exp(np.clip(x[2], -5, 1))
+                return 1 / (1 + np.exp(-np.clip(x[0], -30, 30))), np.exp(np.clip(x[1], -5, 1)), np.exp(np.clip(x[2], -5, 1))
 
-            def error(x):  # noqa: ANN001, ANN202
+            def price(x, at):  # noqa: ANN001, ANN202
                 w, v1, v2 = parts(x)
-                return float(np.sqrt(np.mean(((w * call(v1) + (1 - w) * call(v2) - mid) / width) ** 2)))
+                return w * call(v1, at) + (1 - w) * call(v2, at)
+
+            def error(x):  # noqa: ANN001, ANN202
+                return float(np.sqrt(np.mean(((price(x, ~held) - mid[~held]) / width[~held]) ** 2)))
 
-            x, e = nelder_mead(error, [0.0, -2.0, -0.7], 60)
+            x, e, _ = min((nelder_mead(error, start, 60) for start in ([0.0, -2.0, -0.7], [1.0, -1.2, -1.2])), key=lambda r: r[1])
             w, v1, v2 = parts(x)
-            out[3:] = [float(w * normal_cdf(np.array([-v1 / 2]))[0] + (1 - w) * normal_cdf(np.array([-v2 / 2]))[0]), e, None if e <= 1.25 else "poor_fit"]
-        return pd.DataFrame([out], columns=["ticker", "month", "strikes", "p_above_spot", "rms_spreads", "reason"])
+            miss = price(x, held)
+            miss = float(np.maximum(np.maximum(b[held] - miss, miss - a[held]), 0).max())
+            reason = "poor_fit" if e > 1.25 else "held_out_missed" if miss > max(0.05, 0.0005 * s0) else None
+            out[3:] = [float(w * normal_cdf(np.array([-v1 / 2]))[0] + (1 - w) * normal_cdf(np.array([-v2 / 2]))[0]), e, miss, reason]
+        return pd.DataFrame([out], columns=["ticker", "month", "strikes", "p_above_spot", "rms_spreads", "held_out_miss", "reason"])
 
-    return chain.join(spot, KEY).groupBy(*KEY).applyInPandas(fit, "ticker string, month string, strikes long, p_above_spot double, rms_spreads double, reason string")
+    return chain.join(spot, KEY).groupBy(*KEY).applyInPandas(fit, "ticker string, month string, strikes long, p_above_spot double, rms_spreads double, held_out_miss double, reason string")

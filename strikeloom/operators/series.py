@@ -81,8 +81,8 @@ def forward_returns(stocks: DataFrame, calendar: DataFrame, horizons: list[int],
 
     The grid is every ticker's span of sessions, so ``lead`` counts sessions and not rows.
     """
-    span = stocks.groupBy("ticker").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    grid = span.join(F.broadcast(calendar), (F.col("session") >= F.col("a")) & (F.col("session") <= F.col("b"))).select("ticker", F.col("session").alias("ts"))
+    span = stocks.join(F.broadcast(calendar), stocks["ts"] == calendar["session"]).groupBy("ticker").agg(F.min("ordinal").alias("a"), F.max("ordinal").alias("b"))
+    grid = span.select("ticker", F.explode(F.sequence("a", "b")).alias("ordinal")).join(F.broadcast(calendar), "ordinal").select("ticker", F.col("session").alias("ts"))
     rows = grid.join(stocks.select("ticker", "ts", "close"), ["ticker", "ts"], "left")
     w = by_ticker()
     rows = rows.withColumn("ret", F.log(F.col("close") / F.lag("close").over(w)))

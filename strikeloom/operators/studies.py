@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strikeloom.operators.quantiles import bucketed, lower_quantile, running
+
 HAIRCUTS, FEES, SLIPPAGE = (0.0, 0.05, 0.10, 0.20), (0.0, 0.65), (0, 10, 25)
 
 
-def cost_grid(entries: DataFrame) -> DataFrame:
+def cost_grid(entries: DataFrame, haircuts: tuple[float, ...] = HAIRCUTS, fees: tuple[float, ...] = FEES, slippage: tuple[int, ...] = SLIPPAGE) -> DataFrame:
     """Each entry under every haircut, fee and (calls only) slippage, with its economics at expiry.
 
     ``entries``: side, strike, entry (stock price), premium, close. A grid of
     24 or 8 rows for an entry is made by exploding a literal array, without a join.
     """
-    grid = [F.struct(F.lit(h).alias("haircut"), F.lit(f).alias("fee"), F.lit(s).alias("slip")) for h in HAIRCUTS for f in FEES for s in SLIPPAGE]
+    grid = [F.struct(F.lit(h).alias("haircut"), F.lit(f).alias("fee"), F.lit(s).alias("slip")) for h in haircuts for f in fees for s in slippage]
     rows = entries.withColumn("g", F.explode(F.filter(F.array(*grid), lambda x: (F.col("side") == "call") | (x["slip"] == 0))))
     rows = rows.select(*entries.columns, "g.*")
     call = F.col("side") == "call"
@@ -28,8 +30,14 @@ def cost_grid(entries: DataFrame) -> DataFrame:
 
 
 def strategy_summary(grid: DataFrame, by: list[str]) -> DataFrame:
-    """Count, means and the 5 % lower quantile of each cell of the grid."""
-    return grid.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), F.avg("excess").alias("mean_excess"), F.avg(F.col("assigned").cast("double")).alias("assigned"), F.avg((F.col("ret") < 0).cast("double")).alias("losses"), F.expr("percentile_disc(0.05) WITHIN GROUP (ORDER BY ret)").alias("q05"))
+    """Count, means and the 5 % lower quantile of each cell of the grid.
+
+    The grid is made as it is read and meets only as sums, bucket counts and the
+    values of one bucket a cell.
+    """
+    known = grid.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), F.avg("excess").alias("mean_excess"), F.avg(F.col("assigned").cast("double")).alias("assigned"), F.avg((F.col("ret") < 0).cast("double")).alias("losses"), F.min("ret").alias("least_"), F.max("ret").alias("most_"), F.count("*").alias("count_"))
+    q = lower_quantile(grid.select(*by, "ret"), known.select(*by, "least_", "most_", "count_"), by, "ret", 0.05, "q05")
+    return known.drop("least_", "most_", "count_").join(q, by)
 
 
 def reward_per_day(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -58,11 +66,11 @@ def unit_means(rows: DataFrame, unit: list[str], metric: str, valid: Column) ->
 def tail_stats(rows: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
     """Left quantile and mean of the lowest ``alpha`` of the weight of ``x``, the atom on the border counted in part.
 
-    Equal values are summed first; the running weight then needs one row for each value.
+    Equal values (whole numbers, such as basis points) are summed first; the running
+    weight then needs one row for each value, and is taken in stretches of 64.
     """
     atoms = rows.groupBy(*by, "x").agg(F.sum("w").alias("w"))
-    w = W.partitionBy(*by)
-    run = atoms.withColumns({"total": F.sum("w").over(w), "upto": F.sum("w").over(w.orderBy("x").rowsBetween(W.unboundedPreceding, 0))})
+    run = running(atoms, by, "x", "w", F.floor(F.col("x") / 64))
     mass = F.col("total") * alpha
     part = F.greatest(F.lit(0.0), F.least(F.col("w").cast("double"), mass - (F.col("upto") - F.col("w"))))
     return run.withColumns({"part": part, "reached": F.col("upto") >= mass}).groupBy(*by).agg(F.min(F.when(F.col("reached"), F.col("x"))).alias("quantile"), (F.sum(F.col("x") * F.col("part")) / F.sum("part")).alias("shortfall"), F.sum("w").alias("weight"))
@@ -77,11 +85,18 @@ def pareto(rows: DataFrame, group: list[str], high: str, low: str) -> DataFrame:
     """Rows that no other of their group beats: none has more of ``high`` and not more of ``low``.
 
     With two criteria a sort does: going down ``high``, a row stays if its ``low``
-    is under all before it. Equal points stay together.
+    is under all before it. Equal points stay together. The sort is by ranges of
+    ``high``, so that a large group isn't sorted in one task; groups' ranges are broadcast.
     """
     points = rows.groupBy(*group, high).agg(F.min(low).alias("best_"))
-    w = W.partitionBy(*group).orderBy(F.desc(high)).rowsBetween(W.unboundedPreceding, -1)
-    front = points.withColumn("before_", F.min("best_").over(w)).filter("before_ is null or best_ < before_").select(*group, high, F.col("best_").alias(low))
+    ranges = rows.groupBy(*group).agg(F.min(high).alias("least_"), F.max(high).alias("most_"))
+    placed = bucketed(points, ranges, group, high, 256)
+    # the best of all buckets above, then of all points above in the bucket
+    above = W.partitionBy(*group).orderBy(F.desc("bucket_")).rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy(*group, "bucket_").agg(F.min("best_").alias("b_")).select(*group, "bucket_", F.min("b_").over(above).alias("start_"))
+    w = W.partitionBy(*group, "bucket_").orderBy(F.desc(high)).rowsBetween(W.unboundedPreceding, -1)
+    before = F.least("start_", F.min("best_").over(w))
+    front = placed.join(starts, [*group, "bucket_"]).withColumn("before_", before).filter("before_ is null or best_ < before_").select(*group, high, F.col("best_").alias(low))
     return rows.join(front, [*group, high, low], "left_semi")
 
 

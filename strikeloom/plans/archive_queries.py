@@ -123,9 +123,9 @@ ACTIVITY = "count(*) AS n, count(DISTINCT l_partkey) AS contracts, count(DISTINC
 
 @query(sql("quotes", f"SELECT side, {DTE_BAND} AS dte_band, {STRIKE_BAND} AS strike_band, {ACTIVITY} FROM quotes GROUP BY ALL"))
 def liquidity_activity(spark: SparkSession, d: str) -> DataFrame:
-    dte = M.bands(F.col("dte"), [1, 8, 36], ["expired", "week", "month", "later"]).alias("dte_band")
-    strike = M.bands(F.col("strike") / F.col("spot") - 1, [-0.1, -0.025, 0.025, 0.1], ["far_below", "below", "near", "above", "far_above"]).alias("strike_band")
-    return R.activity(A.quotes(spark, d), ["side", dte, strike])
+    dte = M.bands(F.col("dte"), [1, 8, 36], ["expired", "week", "month", "later"])
+    strike = M.bands(F.col("strike") / F.col("spot") - 1, [-0.1, -0.025, 0.025, 0.1], ["far_below", "below", "near", "above", "far_above"])
+    return R.activity(A.quotes(spark, d).withColumns({"dte_band": dte, "strike_band": strike}), ["side", "dte_band", "strike_band"])
 
 
 @query(sql("days contracts", "SELECT ticker, count(*) AS contract_days, count(DISTINCT contract) AS contracts, sum(volume)::BIGINT AS volume, sum(transactions)::BIGINT AS transactions, count(*) FILTER (transactions >= 5) AS active_days, count(*) FILTER (volume >= 20000) AS large_days, min(start)::DATE::VARCHAR AS first_day, max(start)::DATE::VARCHAR AS last_day, quantile_cont(transactions, 0.5) AS median_transactions FROM days JOIN contracts USING (contract) GROUP BY ticker"))

@@ -129,10 +129,9 @@ GRID = ENTRIES + """, grid AS (SELECT e.*, h AS haircut, f AS fee, s AS slip, en
   econ AS (SELECT *, CASE WHEN side = 'call' THEN (least(close, strike) - paid + got) * 100 ELSE (got - greatest(strike - close, 0.0::DOUBLE)) * 100 END - fee AS profit, CASE WHEN side = 'call' THEN paid * 100 ELSE strike * 100 END AS capital, CASE WHEN side = 'call' THEN (close - paid) * 100 ELSE 0.0::DOUBLE END AS benchmark, CASE WHEN side = 'call' THEN close > strike ELSE close < strike END AS assigned FROM grid)"""
 
 
-@query(sql("quotes", f"WITH {GRID} SELECT {IDS}, haircut, fee, slip, {up('profit', 100)} AS profit_cents, {up('(profit / capital)', 1000000)} AS ret_e6, {up('((profit - benchmark) / capital)', 1000000)} AS excess_e6 FROM econ WHERE l_orderkey <= 1500"))
+@query(sql("quotes", f"WITH {GRID} SELECT {IDS}, haircut, fee, slip, {up('profit', 100)} AS profit_cents, {up('(profit / capital)', 1000000)} AS ret_e6, {up('((profit - benchmark) / capital)', 1000000)} AS excess_e6 FROM econ"))
 def strategy_cost_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The first 1,500 order keys, as its SQL has it; ``strategy_cost_grid_all`` has all."""
-    return _grid_rows(_entries(spark, d).filter("l_orderkey <= 1500"))
+    return _grid_rows(_entries(spark, d))
 
 
 @query(sql("quotes", f"WITH {GRID} SELECT {IDS}, haircut, fee, slip, {up('profit', 100)} AS profit_cents, {up('(profit / capital)', 1000000)} AS ret_e6, {up('((profit - benchmark) / capital)', 1000000)} AS excess_e6 FROM econ"))
@@ -180,9 +179,9 @@ def calibration_bins(spark: SparkSession, d: str) -> DataFrame:
     return _calibrated(spark, d, 10)
 
 
-@query(_bins(5))
+@query(_bins(10))
 def loss_bins(spark: SparkSession, d: str) -> DataFrame:
-    return _calibrated(spark, d, 5)
+    return _calibrated(spark, d, 10)
 
 
 @query(sql("issuances revisions", f"WITH {SCORED}, u AS (SELECT 'all' AS panel, * FROM s UNION ALL SELECT 'recent', * FROM s WHERE issued_at >= TIMESTAMP '1999-01-01') SELECT panel, model, ticker, count(*) AS n, count(DISTINCT issued_at::DATE) AS dates, {up('sum((p - y::INT) * (p - y::INT))', 1000000)} AS brier_sum, {up('sum(p - y::INT)', 1000)} AS bias_sum FROM u GROUP BY ALL"))
@@ -209,7 +208,7 @@ def tail_stats_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("quotes", f"WITH {GRID} SELECT ticker, side, count(*) AS n, {up('(sum(profit / capital) / sum(dte + 1))', 1000000000)} AS reward_e9, {up('quantile_cont(profit / capital, 0.5)', 1000000)} AS median_e6, {up('avg((profit / capital < 0)::INT)', 10000)} AS losses FROM econ WHERE haircut = 0.1::DOUBLE AND fee = 0.65::DOUBLE AND slip = 0 AND dte > 0 GROUP BY ALL"))
 def reward_per_day(spark: SparkSession, d: str) -> DataFrame:
-    g = S.cost_grid(_entries(spark, d)).filter("haircut = 0.1D and fee = 0.65D and slip = 0 and dte > 0").withColumn("days", F.col("dte") + 1)
+    g = S.cost_grid(_entries(spark, d).filter("dte > 0"), (0.1,), (0.65,), (0,)).withColumn("days", F.col("dte") + 1)
     r = S.reward_per_day(g, ["ticker", "side"])
     return r.select("ticker", "side", "n", M.half_up(F.col("reward"), 1_000_000_000).alias("reward_e9"), M.half_up(F.col("median"), 1_000_000).alias("median_e6"), M.e4(F.col("losses")).alias("losses"))
 
