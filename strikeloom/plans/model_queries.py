@@ -68,7 +68,7 @@ def _candidate(name: str, methods: list[str]) -> None:
     query()(run)
 
 
-for _name, _methods in {"student_t_candidate": ["student_t"], "gjr_candidate": ["gjr"], "har_candidate": ["har"], "markov_candidate": ["markov"], "forecast_candidates": ["lognormal", "student_t", "har", "earnings_jump", "iv_physical", "ssvi"]}.items():
+for _name, _methods in {"student_t_candidate": ["student_t"], "gjr_candidate": ["gjr"], "har_candidate": ["har"], "markov_candidate": ["markov"], "skew_candidate": ["skew_ewma"], "egarch_candidate": ["egarch"], "forecast_candidates": ["lognormal", "student_t", "gjr", "har", "skew_ewma", "egarch", "markov", "earnings_jump", "iv_physical", "ssvi", "pooled"]}.items():
     _candidate(_name, _methods)
 
 

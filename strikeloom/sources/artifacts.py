@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,29 +53,52 @@ def content_hash(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("hash"))
 
 
-def describe(table: DataFrame) -> dict:
-    """Rows, content hash and schema, as a manifest has them."""
+def files_hash(spark: SparkSession, folder: str) -> str:
+    """SHA-256 over the names and SHA-256 digests of a folder's Parquet files, each digested on an executor."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
+    each = files.select(F.concat(F.element_at(F.split("path", "/"), -1), F.lit(":"), F.sha2("content", 256)).alias("x"))
+    return each.agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("x"))).cast("binary"), 256).alias("h")).first()["h"]
+
+
+def describe(spark: SparkSession, folder: str) -> dict:
+    """Rows, content hash, schema and the files' hash of a written table, as a manifest has them."""
+    table = spark.read.parquet(folder)
     found = content_hash(table).first()
-    return {"rows": found["rows"], "hash": found["hash"], "schema": table.schema.simpleString()}
+    return {"rows": found["rows"], "hash": found["hash"], "schema": table.schema.simpleString(), "files_sha256": files_hash(spark, folder)}
+
+
+def publish(spark: SparkSession, stage: str, path: str) -> None:
+    """Give ``stage`` the name ``path`` in one step; raises ArtifactError if something has it, also if it came a moment ago."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    make = jvm.org.apache.hadoop.fs.Path
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(make(path).toUri(), conf).rename(make(stage), make(path), none)
+    except Py4JJavaError as fault:
+        raise ArtifactError(f"{path} can't be made: {fault.java_exception.getClass().getSimpleName()}") from fault
 
 
 def write_artifact(tables: Mapping[str, DataFrame], path: str, metadata: Mapping[str, object]) -> dict:
-    """Write every table and the manifest; an artifact that exists already raises ArtifactError."""
+    """Write every table and the manifest; an artifact that exists already raises ArtifactError.
+
+    Each writer has a stage of its own, so two can't mix; the first to publish wins.
+    """
     spark = next(iter(tables.values())).sparkSession
     fs, make = _store(spark, path)
     if fs.exists(make(path)):
         raise ArtifactError(f"{path} exists")
-    stage = f"{path}.stage"
-    fs.delete(make(stage), True)
-    entries = {}
-    for name, table in sorted(tables.items()):
-        table.write.mode("errorifexists").option("compression", "zstd").parquet(f"{stage}/{name}")
-        entries[name] = describe(spark.read.parquet(f"{stage}/{name}"))
-    manifest = {**metadata, "tables": entries, "spark": spark.version}
-    manifest["manifest_sha256"] = canonical_hash(manifest)
-    _put(spark, f"{stage}/manifest.json", json.dumps(manifest, sort_keys=True, indent=1))
-    if not fs.rename(make(stage), make(path)):
-        raise ArtifactError(f"{path} can't be made")
+    stage = f"{path}.stage-{uuid.uuid4().hex}"
+    try:
+        entries = {}
+        for name, table in sorted(tables.items()):
+            table.write.mode("errorifexists").option("compression", "zstd").parquet(f"{stage}/{name}")
+            entries[name] = describe(spark, f"{stage}/{name}")
+        manifest = {**metadata, "tables": entries, "spark": spark.version}
+        manifest["manifest_sha256"] = canonical_hash(manifest)
+        _put(spark, f"{stage}/manifest.json", json.dumps(manifest, sort_keys=True, indent=1))
+        publish(spark, stage, path)
+    finally:
+        fs.delete(make(stage), True)
     return manifest
 
 
@@ -87,7 +112,7 @@ def verify_artifact(spark: SparkSession, path: str) -> dict:
     if there != set(manifest["tables"]):
         raise ArtifactError(f"tables {sorted(there)}; the manifest has {sorted(manifest['tables'])}")
     for name, entry in manifest["tables"].items():
-        if (found := describe(spark.read.parquet(f"{path}/{name}"))) != entry:
+        if (found := describe(spark, f"{path}/{name}")) != entry:
             raise ArtifactError(f"{name} is {found}, not {entry}")
     return manifest
 

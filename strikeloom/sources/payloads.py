@@ -27,10 +27,10 @@ def count_of(text: Column) -> Column:
 
 
 def chain(payloads: DataFrame) -> DataFrame:
-    """Rows of chain payloads (ticker, body): the expiry header goes on to the rows below it."""
-    p = payloads.withColumn("p", F.from_json("body", CHAIN)).filter("p.status.rCode = 200")
-    rows = p.select("ticker", F.col("p.data.lastTrade").alias("last_trade"), F.posexplode("p.data.table.rows").alias("pos", "r"))
-    down = W.partitionBy("ticker").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    """Rows of chain payloads (ticker, body): the expiry header goes on to the rows below it in the same payload."""
+    p = payloads.withColumns({"p": F.from_json("body", CHAIN), "payload": F.monotonically_increasing_id()}).filter("p.status.rCode = 200")
+    rows = p.select("ticker", "payload", F.col("p.data.lastTrade").alias("last_trade"), F.posexplode("p.data.table.rows").alias("pos", "r"))
+    down = W.partitionBy("payload").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     header = F.last(F.when(F.trim("r.expirygroup") != "", F.col("r.expirygroup")), ignorenulls=True).over(down)
     listed = F.when(F.col("r.drillDownURL").rlike(r"--\d{6}[CP]"), F.try_to_timestamp(F.concat(F.lit("20"), F.regexp_extract("r.drillDownURL", r"--(\d{6})[CP]", 1)), F.lit("yyyyMMdd")).cast("date"))
     out = rows.select(
@@ -41,6 +41,39 @@ def chain(payloads: DataFrame) -> DataFrame:
     return out.filter("strike > 0 and expiry is not null")
 
 
+def unavailable(payloads: DataFrame) -> DataFrame:
+    """Chain payloads that say in so many words that there are no options: a good status, no rows, a message."""
+    shape = "struct<data:struct<table:struct<rows:array<string>>>,message:string,status:struct<rCode:int,bCodeMessage:string>>"
+    p = payloads.withColumn("p", F.from_json("body", shape))
+    return p.filter(F.col("p.data.table.rows").isNull() & F.coalesce("p.message", "p.status.bCodeMessage").isNotNull()).select("ticker")
+
+
+def daily_frame(bars: DataFrame) -> DataFrame:
+    """Price bars (ticker, ts, open, high, low, close, volume, split) as a cache keeps them: finite, ordered, one for each day, the last read of a day.
+
+    ``seq`` orders reads. Days whose prices aren't positive and ordered, or whose
+    volume is negative, are left out; an unknown split is none.
+    """
+    last = bars.groupBy("ticker", "ts").agg(F.max_by(F.struct("open", "high", "low", "close", "volume", "split"), "seq").alias("b")).select("ticker", "ts", "b.*")
+    low, high = F.least("open", "close"), F.greatest("open", "close")
+    finite = F.greatest(*[F.abs(c) for c in ("open", "high", "low", "close")]) < float("inf")
+    whole = F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
+    good = whole & finite & (F.col("low") > 0) & (F.col("low") <= low) & (F.col("high") >= high) & (F.col("volume") >= 0)
+    return last.filter(F.coalesce(good, F.lit(False))).withColumn("split", F.coalesce("split", F.lit(0.0)))
+
+
+def first_positive_close(bars: DataFrame) -> DataFrame:
+    """For each ticker and day the first bar (by ``seq``) with a positive close."""
+    return bars.filter("close > 0").groupBy("ticker", "ts").agg(F.min_by("close", "seq").alias("close"))
+
+
+def exhibit(index: Column) -> Column:
+    """The one exhibit 99.1 in the listing of a filing (JSON: directory.item[].name, type), null if there's none or more."""
+    items = F.from_json(index, "struct<directory:struct<item:array<struct<name:string,type:string>>>>")["directory"]["item"]
+    named = F.filter(items, lambda x: F.upper(F.coalesce(x["type"], F.lit(""))).rlike(r"^EX-99\.1$") | F.lower(x["name"]).rlike(r"ex[-_]?99[-_.]?1.*\.html?$"))
+    return F.when(F.size(named) == 1, named[0]["name"])
+
+
 def last_trade_price(text: Column) -> Column:
     """The price in a sentence like ``LAST TRADE: $41.13 (AS OF ...)``."""
     return parse_price(F.nullif(F.regexp_extract(text, r"\$([0-9,]+(\.[0-9]+)?)", 1), F.lit("")))

@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the session's shared checkpoint folder; a temporary one only where that isn't set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="strikeloom-")
+    """A new folder under the session's shared checkpoint folder; a temporary one where that isn't set and the master is local."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="strikeloom-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -56,3 +56,45 @@ def test_snapshot_is_immutable_and_verified(spark, sf, tmp_path):
     with pytest.raises(R.ArtifactError, match="tables"):
         R.verify_artifact(spark, path)
     assert R.markdown(spark.range(2), ["id"]).count("\n") == 3
+
+
+def test_two_payloads_of_one_ticker_keep_their_own_headers(spark):
+    def body(*rows):
+        return json.dumps({"data": {"table": {"rows": rows}}, "status": {"rCode": 200}})
+
+    a = body({"expirygroup": "March 5, 2027"}, {"strike": "10", "c_Bid": "1"}, {"strike": "11", "c_Bid": "1"})
+    b = body({"expirygroup": "April 9, 2027"}, {"strike": "20", "c_Bid": "1"})
+    df = spark.createDataFrame([("ZZ", a), ("ZZ", b), ("ZZ", None)], "ticker string, body string")
+    got = {(str(r.expiry), int(r.strike)) for r in P.chain(df).collect()}
+    assert got == {("2027-03-05", 10), ("2027-03-05", 11), ("2027-04-09", 20)}
+    none = json.dumps({"data": {"table": {"rows": None}}, "message": "No record found.", "status": {"rCode": 200}})
+    assert [r.ticker for r in P.unavailable(spark.createDataFrame([("NO", none), ("ZZ", a)], "ticker string, body string")).collect()] == ["NO"]
+
+
+def test_daily_frame_keeps_sound_days(spark):
+    rows = [("A", "2026-01-05", 1, 10.0, 11.0, 9.0, 10.5, 5, None), ("A", "2026-01-05", 2, 10.0, 12.0, 9.0, 11.5, 6, 2.0), ("A", "2026-01-06", 1, 10.0, 9.5, 9.0, 9.2, 5, None), ("A", "2026-01-07", 1, 10.0, float("inf"), 9.0, 9.2, 5, None), ("A", "2026-01-08", 1, None, 11.0, 9.0, 10.0, 5, None)]
+    df = spark.createDataFrame(rows, "ticker string, ts string, seq int, open double, high double, low double, close double, volume long, split double")
+    got = P.daily_frame(df).collect()
+    assert [(r.ts, r.close, r.split) for r in got] == [("2026-01-05", 11.5, 2.0)]
+    assert {(r.ts, r.close) for r in P.first_positive_close(df).collect()} == {("2026-01-05", 10.5), ("2026-01-06", 9.2), ("2026-01-07", 9.2), ("2026-01-08", 10.0)}
+
+
+def test_one_exhibit(spark):
+    listing = lambda *names: json.dumps({"directory": {"item": [{"name": n, "type": ""} for n in names]}})
+    df = spark.createDataFrame([(1, listing("main.htm", "q3ex991.htm")), (2, listing("a_ex99-1.htm", "b_ex991.htm")), (3, listing("main.htm")), (4, None)], "i int, j string")
+    assert {r.i: r.x for r in df.select("i", P.exhibit(df["j"]).alias("x")).collect()} == {1: "q3ex991.htm", 2: None, 3: None, 4: None}
+
+
+def test_a_second_writer_loses(spark, tmp_path):
+    path = f"file://{tmp_path}/made"
+    R.write_artifact({"t": spark.range(3)}, path, {})
+    stage = f"file://{tmp_path}/other"
+    spark.range(2).write.parquet(stage)
+    with pytest.raises(R.ArtifactError, match="can't be made"):
+        R.publish(spark, stage, path)
+    assert R.verify_artifact(spark, path)["tables"]["t"]["rows"] == 3
+    victim = next((tmp_path / "made" / "t").glob("*.parquet"))
+    victim.write_bytes(victim.read_bytes() + b"x")
+    (tmp_path / "made" / "t" / f".{victim.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match=r"t is|footer|Parquet"):
+        R.verify_artifact(spark, path)
