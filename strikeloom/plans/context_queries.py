@@ -217,12 +217,12 @@ def outcome_revisions(spark: SparkSession, d: str) -> DataFrame:
     return C.outcome_revisions(rows).select("seq", "stands", "stands_close", "revised")
 
 
-@query("""WITH w AS (SELECT o_orderkey AS key, o_orderdate + INTERVAL '16 hours' AS expiry_close FROM orders), t AS (SELECT l_orderkey AS key, max(l_shipdate::DATE) AS tried, arg_max(CASE WHEN l_linestatus = 'F' THEN 'valid' ELSE 'pending' END, (l_shipdate, l_linenumber)) AS status FROM lineitem GROUP BY 1)
+@query("""WITH w AS (SELECT o_orderkey AS key, o_orderdate + INTERVAL '16 hours' AS expiry_close FROM orders), t AS (SELECT l_orderkey AS key, max(l_shipdate::DATE) AS tried, arg_max(CASE WHEN l_linestatus = 'F' THEN 'valid' ELSE 'pending' END, (l_shipdate, l_linenumber, l_linestatus)) AS status FROM lineitem GROUP BY 1)
   SELECT key FROM w LEFT JOIN t USING (key) WHERE expiry_close + INTERVAL '30 minutes' <= TIMESTAMP '1998-06-01 16:30:00' AND (tried IS NULL OR tried < DATE '1998-06-01' OR status = 'pending')""")
 def due_outcomes(spark: SparkSession, d: str) -> DataFrame:
     K = F.col("o_orderkey")  # noqa: N806
     w = _o(spark, d).select(K.alias("key"), (F.col("o_orderdate") + F.expr("INTERVAL '16' HOUR")).alias("expiry_close"))
-    t = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.to_date("l_shipdate").alias("session"), F.when(F.col("l_linestatus") == "F", "valid").otherwise("pending").alias("status"), F.struct("l_shipdate", "l_linenumber").alias("at"))
+    t = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.to_date("l_shipdate").alias("session"), F.when(F.col("l_linestatus") == "F", "valid").otherwise("pending").alias("status"), F.struct("l_shipdate", "l_linenumber", "l_linestatus").alias("at"))
     return C.due_outcomes(w, t, "1998-06-01 16:30:00", "1998-06-01").select("key")
 
 
