@@ -86,3 +86,37 @@ def greeks(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, p
     """Column function over (side, spot, strike, dte, rate, bid, ask)."""
     for columns in batches:
         yield greeks_of(*columns)
+
+
+ENDPOINT = T.StructType([T.StructField("tenths", T.LongType()), T.StructField("reason", T.StringType())])
+
+
+def endpoints_of(side: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, rate: pd.Series, quoted: pd.Series) -> pd.DataFrame:
+    """Volatility in tenths of a percent of a quoted price strictly inside the European bounds, else a reason.
+
+    ``model_bounds``: not positive or not inside; ``solver_range``: no volatility
+    between LOW and HIGH has it; ``numerical_failure``: the search doesn't end at it.
+    """
+    call = (side == "call").to_numpy()
+    s, k, y, r, p = (x.to_numpy(float) for x in (spot, strike, years, rate, quoted))
+    with np.errstate(all="ignore"):
+        discounted = k * np.exp(-r * y)
+        lower = np.where(call, s - discounted, discounted - s).clip(min=0)
+        inside = np.isfinite(s) & np.isfinite(k) & np.isfinite(y) & np.isfinite(r) & (np.minimum(np.minimum(s, k), np.minimum(y, p)) > 0) & (lower < p) & (p < np.where(call, s, discounted))
+        sigma, fits, ranged = np.full(len(s), np.nan), np.zeros(len(s), bool), np.zeros(len(s), bool)
+        rows = np.flatnonzero(inside)
+        at = lambda v: price(call[rows], s[rows], k[rows], y[rows], r[rows], v)
+        if len(rows):
+            ranged[rows] = (at(np.full(len(rows), LOW)) <= p[rows]) & (p[rows] <= at(np.full(len(rows), HIGH)))
+            sigma[rows] = implied(call[rows], s[rows], k[rows], y[rows], r[rows], p[rows])
+            fits[rows] = np.abs(at(np.nan_to_num(sigma[rows], nan=1.0)) - p[rows]) <= TOLERANCE
+    reason = np.select([~inside, ~ranged, np.isnan(sigma) | ~fits], ["model_bounds", "solver_range", "numerical_failure"], "")
+    tenths = pd.Series(np.floor(sigma * 1000 + 0.5)).where(reason == "").astype("Int64")
+    return pd.DataFrame({"tenths": tenths, "reason": pd.Series(reason).where(reason != "", None)})
+
+
+@F.pandas_udf(ENDPOINT)
+def endpoint_iv(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Column function over (side, spot, strike, years, rate, price)."""
+    for columns in batches:
+        yield endpoints_of(*columns)

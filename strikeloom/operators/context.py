@@ -106,6 +106,14 @@ def fit_sample(quotes: DataFrame, most: int = 40) -> DataFrame:
     return rows.filter(there).withColumn("k", taken.cast("long")).withColumn("held_out", F.col("k") % 4 == 3).drop("n", "i")
 
 
+def latest_few(rows: DataFrame, by: list[str], at: str, key: str, n: int = 3) -> DataFrame:
+    """The ``n`` latest rows of each group, for reports."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(at), F.desc(key)))
+    return rows.withColumn("place", place).filter(F.col("place") <= n)
+
+
 def all_or_nothing(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """The least ``value`` of each group where all its rows have one, else null."""
     return rows.groupBy(*by).agg(F.when(F.count(value) == F.count("*"), F.min(value)).alias(value), F.count("*").alias("n"))

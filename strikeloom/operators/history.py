@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,3 +99,32 @@ def remaining_fraction(quotes: DataFrame, sessions: DataFrame) -> DataFrame:
     total = F.col("end.upto") - F.col("start_sum")
     good = (F.col("end.session") > F.col("completed")) & (F.col("at") >= F.col("start_at")) & (F.col("at") < F.col("end.close_at"))
     return rows.withColumn("fraction", F.when(good & (total > 0), (total - spent) / total)).drop("start_at", "start_sum", "end", "now")
+
+
+NORMAL = tuple(0.5 * (1 + math.erf(t / math.sqrt(2))) for t in GRID)
+
+
+def empirical_gate(samples: DataFrame, validation: DataFrame, blocks: DataFrame, group: list[str], least_blocks: int = 30, least_validation: int = 10) -> DataFrame:
+    """Whether the empirical chances of a group beat the normal ones on outcomes after them: deltas of Brier score and log loss, and a reason if not.
+
+    ``blocks``: group, blocks (independent ones). Records are those of
+    ``validation_records``; both kinds of chances are clipped for the log loss alone.
+    """
+    records = validation_records(samples, validation, group)
+    each = F.element_at(F.map_from_arrays(F.array(*map(F.lit, GRID)), F.array(*map(F.lit, NORMAL))), F.col("threshold"))
+    base = F.when(F.col("side") == "call", 1 - each).otherwise(each)
+    y = F.col("hit").cast("double")
+    clip = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    loss = lambda p: -F.log(F.when(F.col("hit"), clip(p)).otherwise(1 - clip(p)))
+    scored = records.groupBy(*group).agg(F.count_distinct("day").alias("validated"), F.avg((F.col("chance") - y) ** 2 - (base - y) ** 2).alias("brier_delta"), F.avg(loss(F.col("chance")) - loss(base)).alias("log_delta"))
+    out = blocks.join(scored, group, "left").withColumn("validated", F.coalesce("validated", F.lit(0)))
+    better = (F.col("brier_delta") < -1e-6) & (F.col("log_delta") <= 1e-12)
+    reason = F.when(F.col("blocks") < least_blocks, "insufficient_independent_blocks").when(F.col("validated") < least_validation, "insufficient_validation_blocks").when(~better, "empirical_score_gate_failed")
+    return out.withColumn("reason", reason)
+
+
+def years_to_close(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``rows`` (expiry, at) with ``years``: seconds from ``at`` to the close of the expiry's session over those of 365 days; null without one, or after it."""
+    close = F.broadcast(sessions.select(F.col("session").alias("expiry"), "close_at"))
+    seconds = F.expr("timestampdiff(SECOND, at, close_at)")
+    return rows.join(close, "expiry", "left").withColumn("years", F.when(seconds > 0, seconds / 31_536_000)).drop("close_at")

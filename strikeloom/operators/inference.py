@@ -288,3 +288,14 @@ def matched_rules(rows: DataFrame, by: list[str]) -> DataFrame:
     left = rows.select(*by, "ordinal", F.col("rule").alias("rule"), "ret", "days")
     right = rows.select(*by, "ordinal", F.col("rule").alias("other_rule"), F.col("ret").alias("other_ret"), F.col("days").alias("other_days"))
     return left.join(right, [*by, "ordinal"]).filter("rule < other_rule")
+
+
+def cell_means(rows: DataFrame, cell: list[str], by: list[str], value: str) -> DataFrame:
+    """Mean of the means of cells, their number and that of their rows: cells count alike, however many rows they have."""
+    means = rows.groupBy(*by, *cell).agg(F.avg(value).alias("m"), F.count(value).alias("n"))
+    return means.groupBy(*by).agg(F.avg("m").alias(value), F.count("m").alias("cells"), F.sum("n").alias("rows"))
+
+
+def exclusion_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """How often each status and reason came."""
+    return rows.groupBy(*by, "status", "reason").agg(F.count("*").alias("n"))

@@ -323,3 +323,34 @@ def calendar_strata(spark: SparkSession, d: str) -> DataFrame:
     minutes = F.when(F.weekday("o_orderdate") < 5, F.when(F.dayofmonth("o_orderdate") % 10 == 0, 210).otherwise(390))
     s = V.stratum(minutes)
     return days.agg(F.count("*").alias("days"), F.count_if(s == "non_session").alias("non_sessions"), F.count_if(s == "early_close").alias("early"), F.count_if(s == "regular").alias("regular"))
+
+
+GATE_SQL = f"CASE t {' '.join(f'WHEN {t}::DOUBLE THEN {n!r}::DOUBLE' for t, n in zip(H.GRID, H.NORMAL, strict=True))} END"
+
+
+@query(f"""WITH {SAMPLES}, n AS (SELECT c.key, c.ticker, day, c.z, count(*) AS n FROM check_ c JOIN samples s ON s.ticker = c.ticker AND maturity < day AND origin >= day - 1096 GROUP BY ALL HAVING count(*) >= 20),
+  g AS (SELECT n.*, t, side, CASE WHEN side = 'call' THEN n.z > t ELSE n.z < t END AS hit, (SELECT count(*) FILTER (CASE WHEN side = 'call' THEN s.z > t ELSE s.z < t END) FROM samples s WHERE s.ticker = n.ticker AND s.maturity < n.day AND s.origin >= n.day - 1096) / n.n AS chance FROM n, (VALUES (-1.5::DOUBLE), (-1.0), (-0.5), (0.0), (0.5), (1.0), (1.5)) v(t), (VALUES ('call'), ('put')) x(side)),
+  b AS (SELECT *, CASE WHEN side = 'call' THEN 1 - {GATE_SQL} ELSE {GATE_SQL} END AS base FROM g),
+  d AS (SELECT ticker, count(DISTINCT day) AS validated, avg((chance - hit::INT) ** 2 - (base - hit::INT) ** 2) AS brier_delta, avg(-ln(CASE WHEN hit THEN least(greatest(chance, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) ELSE 1 - least(greatest(chance, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) END) + ln(CASE WHEN hit THEN base ELSE 1 - base END)) AS log_delta FROM b GROUP BY ticker),
+  k AS (SELECT ticker, count(DISTINCT origin) // 10 AS blocks FROM samples GROUP BY ticker)
+  SELECT ticker, blocks, coalesce(validated, 0) AS validated, {up('brier_delta', 100000)} AS brier_e5, {up('log_delta', 10000)} AS log_e4, CASE WHEN blocks < 12 THEN 'insufficient_independent_blocks' WHEN coalesce(validated, 0) < 10 THEN 'insufficient_validation_blocks' WHEN NOT (brier_delta < -1e-6 AND log_delta <= 1e-12) THEN 'empirical_score_gate_failed' END AS reason FROM k LEFT JOIN d USING (ticker)""")
+def empirical_gate(spark: SparkSession, d: str) -> DataFrame:
+    s, check = _samples(spark, d)
+    blocks = s.groupBy("ticker").agg(F.floor(F.count_distinct("origin") / 10).cast("long").alias("blocks"))
+    g = H.empirical_gate(s, check, blocks, ["ticker"], 12, 10)
+    return g.select("ticker", "blocks", "validated", M.half_up(F.col("brier_delta"), 100_000).alias("brier_e5"), M.half_up(F.col("log_delta"), 10_000).alias("log_e4"), "reason")
+
+
+@query(sql("cal", f"WITH {HOURS} SELECT o_orderkey AS key, {up('CASE WHEN epoch(close_at) > epoch(q_at) THEN (epoch(close_at) - epoch(q_at)) / 31536000.0::DOUBLE END', 10000000)} AS years_e7 FROM (SELECT o_orderkey, o_orderdate::DATE + (o_orderkey % 40)::INT AS expiry, o_orderdate + to_hours(o_custkey % 200) AS q_at FROM orders) LEFT JOIN hours_open ON session = expiry"))
+def years_to_close(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("session").cast("timestamp_ntz")
+    hours = A.calendar(spark, d).filter(F.weekday("session") < 5).select("session", (at + F.make_dt_interval(hours=F.when(F.col("ordinal") % 20 == 0, 13).otherwise(16))).alias("close_at"))
+    key = F.col("o_orderkey")
+    rows = _o(spark, d).select(key.alias("key"), F.date_add(F.to_date("o_orderdate"), (key % 40).cast("int")).alias("expiry"), (F.col("o_orderdate") + F.make_dt_interval(hours=F.col("o_custkey") % 200)).alias("at"))
+    return H.years_to_close(rows, hours).select("key", M.half_up(F.col("years"), 10_000_000).alias("years_e7"))
+
+
+@query("SELECT l_orderkey AS key, l_linenumber AS line, place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey * 10 + l_linenumber DESC) AS place FROM lineitem) WHERE place <= 3")
+def latest_fetch_samples(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), "l_suppkey", "l_shipdate", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return C.latest_few(rows, ["l_suppkey"], "l_shipdate", "seq").select("key", "line", F.col("place").cast("long").alias("place"))

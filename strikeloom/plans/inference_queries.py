@@ -251,3 +251,16 @@ def calibration_evidence(spark: SparkSession, d: str) -> DataFrame:
     rows = _scores(spark, d).withColumns({"band": I.band_of(F.col("horizon")), "moneyness": F.when(F.col("contract") % 2 == 0, "near").otherwise("far"), "side": F.when(F.col("contract") < 2, "call").otherwise("put")})
     e = I.calibration_evidence(rows, 5, 20, 100)
     return e.select("model", "band", "moneyness", "side", "units", "tickers", "dates", M.half_up(F.col("predicted"), 1000).alias("predicted_tenths"), M.half_up(F.col("observed"), 1000).alias("observed_tenths"), F.col("through").cast("string").alias("through"))
+
+
+@query(sql("", f"WITH {WHEEL}, c AS (SELECT rule, ticker, expiry, avg(ret) AS m, count(ret) AS n FROM trades GROUP BY ALL) SELECT rule, {up('avg(m)', 1000000)} AS mean_e6, count(m) AS cells, sum(n)::BIGINT AS rows FROM c GROUP BY rule"))
+def all_contract_means(spark: SparkSession, d: str) -> DataFrame:
+    m = I.cell_means(_trades(spark, d), ["ticker", "expiry"], ["rule"], "ret")
+    return m.select("rule", M.half_up(F.col("ret"), 1_000_000).alias("mean_e6"), "cells", "rows")
+
+
+@query(sql("", f"WITH {WHEEL} SELECT rule, side, CASE WHEN NOT traded THEN 'no_entry' WHEN volatility20 IS NULL THEN 'excluded' ELSE 'scored' END AS status, CASE WHEN NOT traded THEN 'opening_moneyness_changed' WHEN volatility20 IS NULL THEN 'history_short' END AS reason, count(*) AS n FROM trades GROUP BY ALL"))
+def strategy_exclusions(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(~F.col("traded"), "no_entry").when(F.col("volatility20").isNull(), "excluded").otherwise("scored")
+    reason = F.when(~F.col("traded"), "opening_moneyness_changed").when(F.col("volatility20").isNull(), "history_short")
+    return I.exclusion_summary(_trades(spark, d).select("rule", "side", status.alias("status"), reason.alias("reason")), ["rule", "side"])

@@ -48,6 +48,17 @@ def monotone_odds_guard(spark: SparkSession, d: str) -> DataFrame:
     return O.monotone_guard(p)
 
 
+@query()
+def endpoint_iv_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Volatilities of bid, midpoint and ask by themselves, or the reason why one has none."""
+    from strikeloom.functions.greeks import endpoint_iv
+
+    q = A.quotes(spark, d).filter("dte > 0")
+    at = lambda p: endpoint_iv("side", "spot", "strike", F.col("dte") / 365.0, F.lit(0.04), p)
+    rows = q.select("l_orderkey", "l_linenumber", "l_partkey", at(F.col("bid")).alias("b"), at((F.col("bid") + F.col("ask")) / 2).alias("m"), at(F.col("ask")).alias("a"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[F.col(f"{x}.{y}").alias(f"{n}_{y}") for x, n in (("b", "bid"), ("m", "mid"), ("a", "ask")) for y in ("tenths", "reason")])
+
+
 @query()
 def curve_qp_odds(spark: SparkSession, d: str) -> DataFrame:
     return O.convex_odds(O.strikes(A.quotes(spark, d))).withColumn("p", F.round("p", 6))

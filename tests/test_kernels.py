@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strikeloom.functions import greeks as G
 from strikeloom.operators import inference as I
 from strikeloom.operators import models as Mo
 from strikeloom.operators import odds as O
@@ -130,3 +131,25 @@ def test_paired_interval_and_blocks(spark):
     assert r.status == "estimable" and r.dates == 150 and r.blocks == 11
     assert r.reward == pytest.approx(a.sum() / 300 - b.sum() / 300) and r.reward_low <= r.reward <= r.reward_high
     assert I.block_comparison(pair.limit(19), calendar, ["rule"]).first().status == "underpowered"
+
+
+def test_endpoint_volatilities():
+    import pandas as pd
+
+    rng = np.random.default_rng(12)
+    n = 300
+    side = pd.Series(np.where(rng.random(n) < 0.5, "call", "put"))
+    spot, strike, years, rate = (pd.Series(rng.uniform(a, b, n)) for a, b in ((20, 80), (20, 80), (0.05, 2), (0, 0.1)))
+    sigma = pd.Series(rng.uniform(0.1, 2, n))
+    call = (side == "call").to_numpy()
+    price = pd.Series(G.price(call, *(x.to_numpy() for x in (spot, strike, years, rate, sigma))))
+    got = G.endpoints_of(side, spot, strike, years, rate, price)
+    discounted = strike * np.exp(-rate * years)
+    edge = np.maximum(np.where(call, spot - discounted, discounted - spot), 0)
+    wide = price.to_numpy() > edge + 0.05  # where the price tells the volatility
+    assert (abs(got["tenths"][wide].astype(float) - sigma[wide] * 1000) <= 6).all() and got["reason"][wide].isna().all()
+    wrong = G.endpoints_of(side, spot, strike, years, rate, pd.Series(np.where(call, spot, discounted)))
+    assert set(wrong["reason"]) == {"model_bounds"} and wrong["tenths"].isna().all()
+    far = G.endpoints_of(pd.Series(["call"]), pd.Series([50.0]), pd.Series([50.0]), pd.Series([0.01]), pd.Series([0.0]), pd.Series([49.0]))
+    assert far["reason"][0] == "solver_range"
+    assert G.endpoints_of(pd.Series(["call"]), pd.Series([50.0]), pd.Series([50.0]), pd.Series([0.5]), pd.Series([0.0]), pd.Series([np.nan]))["reason"][0] == "model_bounds"
