@@ -299,17 +299,23 @@ def block_links(members: DataFrame, texts: DataFrame, similarity: float, shingle
     return dealt.mapInArrow(run, PAIR).distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """True if every ``a`` (the larger end) has one edge and no ``b`` is an ``a``: then each ``b`` is the root of its component."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not each.agg(F.bool_or((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).alias("open")).first()["open"]
+
+
 def components(edges: DataFrame, work: Work) -> DataFrame:
     """rep_ and root_ (the smallest number of its component) of every number in ``edges`` (a, b).
 
-    Alternates two steps until nothing changes: each number's larger neighbours go
+    Alternates two steps until only stars are left: each number's larger neighbours go
     to its smallest neighbour, then its smaller ones do. Every round is written, so
     that no plan grows and a lost executor costs one round at most; the neighbours
     of a number that has many are not gathered in one task.
     """
     now = work.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    mark = None
-    while True:
+    while not settled(now):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = work.written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("count_")), "least")
         total = 2 * now.count()
@@ -319,10 +325,6 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
         small_least = work.written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("count_")), "least")
         moved = join_keys(large, small_least, "a", "count_", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = work.written(moved.unionByName(small_least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
-        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
     roots = now.select(F.col("b").alias("rep_")).distinct()
     return now.select(F.col("a").alias("rep_"), F.col("b").alias("root_")).unionByName(roots.select("rep_", F.col("rep_").alias("root_")))
 
@@ -364,16 +366,20 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         roots = work.written(components(links, work), "roots")
         placed = work.written(members.select("key_", "rep_", "n_").join(roots, "rep_", "left").withColumn("root_", F.coalesce("root_", "rep_")), "placed")
         open_ = placed.groupBy("key_").agg(F.min("root_").alias("r1"), F.max("root_").alias("r2"), F.count("*").alias("count_")).filter("r1 < r2").select("key_", "count_", F.col("count_").alias("size_"))
-        rest = work.written(join_keys(placed, work.written(open_, "open"), "key_", "count_", n_met), "open-members")
-        few = rest.filter(F.col("size_") <= pairs_up_to)
-        left = few.select("key_", F.col("rep_").alias("a"), F.col("n_").alias("na"), F.col("root_").alias("ra"))
-        right = few.select("key_", F.col("rep_").alias("b"), F.col("n_").alias("nb"), F.col("root_").alias("rb"))
-        late = fitting(left.join(right, "key_").filter("a < b and ra <> rb"), similarity)
-        tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = work.written(verified(work.written(late.join(tried, ["a", "b"], "left_anti"), "late-pairs"), texts, similarity, shingle), "late-links")
-        many = block_links(rest.filter(F.col("size_") > pairs_up_to), texts, similarity, shingle, block)
-        more = more.unionByName(work.written(many, "block-links"))
-        final = roots if more.isEmpty() else work.written(components(links.unionByName(more), work), "roots")
+        open_ = work.written(open_, "open")
+        final = roots
+        if not open_.isEmpty():
+            rest = work.written(join_keys(placed, open_, "key_", "count_", n_met), "open-members")
+            few = rest.filter(F.col("size_") <= pairs_up_to)
+            left = few.select("key_", F.col("rep_").alias("a"), F.col("n_").alias("na"), F.col("root_").alias("ra"))
+            right = few.select("key_", F.col("rep_").alias("b"), F.col("n_").alias("nb"), F.col("root_").alias("rb"))
+            late = fitting(left.join(right, "key_").filter("a < b and ra <> rb"), similarity)
+            tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            more = work.written(verified(work.written(late.join(tried, ["a", "b"], "left_anti"), "late-pairs"), texts, similarity, shingle), "late-links")
+            many = block_links(rest.filter(F.col("size_") > pairs_up_to), texts, similarity, shingle, block)
+            more = more.unionByName(work.written(many, "block-links"))
+            if not more.isEmpty():
+                final = work.written(components(links.unionByName(more), work), "roots")
         of_text = same.select("rep_", "digest_", F.col("least_").alias("own_"), "copies_").join(final, "rep_", "left").filter("root_ is not null or copies_ > 1")
         of_text = work.written(of_text.select("digest_", "own_", "copies_", F.coalesce("root_", "rep_").alias("class_")), "grouped")
         classes = work.written(of_text.groupBy("class_").agg(F.min("own_").alias("least_"), F.sum("copies_").alias("size_"), F.count("*").alias("count_")), "classes")
