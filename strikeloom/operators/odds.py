@@ -51,20 +51,55 @@ def vertical_bounds(chain: DataFrame) -> DataFrame:
     greatest (bid - ask above) / distance of those above. Different strikes of an expiry
     are one group, walked through once in either direction.
     """
-    kinds = ", ".join(f"`{n}` {t}" for n, t in chain.dtypes if n in (*KEY, "strike"))
+    import pyarrow as pa
+    from pyspark.sql import types as T
 
-    def walk(frame):  # noqa: ANN001, ANN202
-        frame = frame.sort_values("strike")
-        k, bid, ask = (frame[c].tolist() for c in ("strike", "bid", "ask"))
+    given = chain.select(*KEY, "strike", "bid", "ask")
+    schema = T.StructType([*given.schema.fields[:-2], T.StructField("upper", T.DoubleType()), T.StructField("lower", T.DoubleType())])
+    dealt = given.repartition(*KEY).sortWithinPartitions(*KEY, "strike")
+    n = len(KEY)
+
+    def bounded(k: list[float], bid: list[float], ask: list[float]) -> tuple[list, list]:
         up = steepest(k, ask, bid)
         down = steepest([-x for x in reversed(k)], ask[::-1], bid[::-1])[::-1]
-        out = frame[[*KEY, "strike"]].copy()
-        out["upper"] = [None if x is None else min(max(-x, 0.0), 1.0) for x in up]
-        out["lower"] = [None if x is None else min(max(x, 0.0), 1.0) for x in down]
-        return out.astype({"upper": "float64", "lower": "float64"})
-
-    out = chain.select(*KEY, "strike", "bid", "ask").groupBy(*KEY).applyInPandas(walk, f"{kinds}, upper double, lower double")
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("upper", "lower")})
+        return [None if x is None else min(max(-x, 0.0), 1.0) for x in up], [None if x is None else min(max(x, 0.0), 1.0) for x in down]
+
+    def walk(batches):  # noqa: ANN001, ANN202
+        held: list[list] = [[] for _ in range(n + 3)]
+
+        def done(keep: int):  # noqa: ANN202
+            """Rows of the groups that have ended: all but the last ``keep`` rows."""
+            stop = len(held[0]) - keep
+            upper, lower, at = [], [], 0
+            while at < stop:
+                end = at + 1
+                while end < stop and all(held[c][end] == held[c][at] for c in range(n)):
+                    end += 1
+                u, low = bounded(*(held[n + c][at:end] for c in range(3)))
+                upper += u
+                lower += low
+                at = end
+            columns = [held[c][:stop] for c in range(n + 1)]
+            for c in range(n + 3):
+                del held[c][:stop]
+            arrays = [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(upper, pa.float64()), pa.array(lower, pa.float64())], names=schema.names)
+
+        kinds = None
+        for batch in batches:
+            kinds = batch.schema.types[: n + 1]
+            for c in range(n + 3):
+                held[c] += batch.column(c).to_pylist()
+            last = len(held[0]) - 1
+            first = last
+            while first > 0 and all(held[c][first - 1] == held[c][last] for c in range(n)):
+                first -= 1
+            if first > 0:
+                yield done(last - first + 1)
+        if held[0]:
+            yield done(0)
+
+    return dealt.mapInArrow(walk, schema)
 
 
 def slopes(chain: DataFrame) -> DataFrame:
