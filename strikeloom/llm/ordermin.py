@@ -175,7 +175,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
     dealt into stretches, and only the text of the ``b`` at hand is held.
     """
     counts = pairs.groupBy("b").agg(F.count("*").alias("count_"))
-    limit = max(2048, pairs.count() // SHARE)
+    limit = max(512, pairs.count() // SHARE)
     hot = F.broadcast(counts.filter(F.col("count_") > limit))  # fewer than SHARE
     dealt = pairs.join(hot, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.ceil(F.col("count_") / limit)), F.lit(0)).alias("deal_"))
     pivots = dealt.select("b", "deal_").distinct().join(texts.withColumnRenamed("rep_", "b"), "b").select("b", "deal_", F.lit(None).cast("long").alias("a"), "text_")
