@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeloom.llm import hostrules, mixing, shards
+from strikeloom.llm import hostrules, mixing, prefixtrie, shards
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots(spark.read.parquet(f"{sf_dir}/documents.parquet"), [1.0] * 24, [1.0] * 25)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt as a branch of the leader of its five."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return prefixtrie.prefix_trie(turns, group=5)
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_near_dedup": op2_near_dedup,
@@ -105,5 +111,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL, "op7_quality_rules": hostrules.SQL, "op9_sharding": shards.SQL}
+ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL, "op7_quality_rules": hostrules.SQL, "op9_sharding": shards.SQL, "op11_prefix_trie": prefixtrie.SQL}
