@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeloom.llm import hostrules, mixing, prefixtrie, shards
+from strikeloom.llm import hostrules, mixing, phrases, prefixtrie, shards
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(turns, group=5)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language of documents."""
+    return phrases.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_near_dedup": op2_near_dedup,
@@ -112,5 +117,6 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_collocations": op13_collocations,
 }
-ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL, "op7_quality_rules": hostrules.SQL, "op9_sharding": shards.SQL, "op11_prefix_trie": prefixtrie.SQL}
+ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL, "op7_quality_rules": hostrules.SQL, "op9_sharding": shards.SQL, "op11_prefix_trie": prefixtrie.SQL, "op13_collocations": phrases.SQL}
