@@ -100,6 +100,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(turns, group=5)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text of documents, and the terms that reveal it."""
+    from strikeloom.llm.pii import personal_data
+
+    return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of each language of documents."""
     return phrases.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text"))
@@ -117,6 +124,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_personal_data": op12_personal_data,
     "op13_collocations": op13_collocations,
 }
 ORACLE: dict[str, str] = {"op5_mixing": mixing.SQL, "op7_quality_rules": hostrules.SQL, "op9_sharding": shards.SQL, "op11_prefix_trie": prefixtrie.SQL, "op13_collocations": phrases.SQL}
