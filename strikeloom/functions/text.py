@@ -2,14 +2,55 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A comment, a script or style with its content, or a tag whose quoted attributes may hold anything; or else up to the next ``>``.
+_TAG = re.compile(r"""<(?:!--|(?P<raw>script|style)(?=[\s/>])|[a-zA-Z/!?])""", re.I)
+_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_RAW_END = {name: re.compile(rf"</{name}[^>]*>", re.I) for name in ("script", "style")}
+
+
+def page_text(html: str) -> str:
+    """Text of a page: no comments, scripts, styles and tags, references decoded, blanks run together.
+
+    A tag ends at the first ``>`` outside quotes, or at the first one if a quote isn't
+    closed; what isn't closed goes to the end of the page. Every character is looked at
+    a few times, whatever the page holds.
+    """
+    parts, at = [], 0
+    last = html.rfind(">")
+    while found := _TAG.search(html, at):
+        parts.append(html[at : found.start()])
+        if found[0] == "<!--":
+            end = html.find("-->", found.end())
+            at = end + 3 if end >= 0 else len(html)
+            continue
+        if last < found.end():
+            at = len(html)
+            break
+        close = _END.match(html, found.end())
+        at = close.end() if close else html.find(">", found.end()) + 1
+        if found["raw"]:
+            end = _RAW_END[found["raw"].lower()].search(html, at)
+            at = end.end() if end else len(html)
+    parts.append(html[at:])
+    return " ".join(" ".join(unescape(x) for x in parts).split())
+
+
 def html_text(html: Column) -> Column:
-    """Text without scripts, styles and tags, blanks run together."""
-    plain = F.regexp_replace(html, r"<(script|style)[^>]*>[^<]*(<[^/][^<]*|</[^sS][^<]*)*</(script|style)>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"<[^>]*>", " "), r"[\x20\x09-\x0D]+", " "))
+    """``page_text`` of each page, in Arrow batches; null stays null."""
+
+    @F.pandas_udf("string")
+    def each(pages: pd.Series) -> pd.Series:
+        return pages.map(page_text, na_action="ignore")
+
+    return each(html)
 
 
 def dates_in(text: Column) -> Column:
@@ -28,6 +69,7 @@ def only_match(text: Column, pattern: str) -> Column:
     return F.when(F.size(found) == 1, found[0])
 
 
+# fixed values: the words and patterns down to PERIOD define which announcements count, so that results can be compared with other readers of the same filings
 MONTHS = "January February March April May June July August September October November December".split()
 DATE = r"((?:" + "|".join(MONTHS) + r"|Jan\.?|Feb\.?|Mar\.?|Apr\.?|Jun\.?|Jul\.?|Aug\.?|Sep\.?|Sept\.?|Oct\.?|Nov\.?|Dec\.?)\s+\d{1,2},?\s+20\d{2})"
 SCHEDULE = r"(?iuU)(?:will|plans to|expects to|to)\s+(?:report|release|announce)\b.{0,150}?(?:earnings|financial results|quarterly results)\b.{0,180}?\bon\s+" + DATE

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strikeloom.operators.quantiles import counted_quantile
+from strikeloom.operators.quantiles import counted_quantile, matched
 
 KEY = ["contract", "start", "kind"]
 
@@ -119,20 +119,20 @@ def activity(rows: DataFrame, by: list[str]) -> DataFrame:
     """
     by_contract = rows.groupBy(*by, "l_partkey", "ticker").agg(F.count("*").alias("n"), F.sum("oi").alias("volume"), F.count_if(F.col("oi") >= 20).alias("active"))
     sums = by_contract.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("contracts"), F.size(F.collect_set("ticker")).cast("long").alias("tickers"), F.sum("volume").cast("long").alias("volume"), F.sum("active").alias("active"))
-    return sums.join(counted_quantile(rows, by, "oi", 0.5, "median_oi"), by)
+    return matched(sums, counted_quantile(rows, by, "oi", 0.5, "median_oi"), by)
 
 
 def hour_activity(rows: DataFrame) -> DataFrame:
     """Liquidity of hour bars by ticker, side, days to expiry, strike distance, hour, session, validity and reason.
 
     Contracts and sessions of a cell are counted as different after bars were summed
-    by both; unknown keys are keys.
+    by both; unknown keys are keys, and a cell without a known volume has no median.
     """
     keys = ["ticker", "side", "dte_band", "strike_band", "hour", "regular", "valid", "reason"]
     named = rows.withColumns({"side": F.coalesce("side", F.lit("")), "ticker": F.coalesce("ticker", F.lit("")), "reason": F.coalesce("reason", F.lit("")), "hour": F.coalesce("hour", F.lit(-1))})
     first = named.groupBy(*keys, "contract", "session").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"), F.sum("transactions").alias("transactions"), F.count_if(F.col("transactions") == 1).alias("single"), F.count_if(F.col("volume") <= 5).alias("small"))
     total = first.groupBy(*keys).agg(F.sum("bars").alias("bars"), F.count_distinct("contract").alias("contracts"), F.count_distinct(F.coalesce("session", F.lit("1900-01-01").cast("date"))).alias("sessions"), *[F.sum(c).alias(c) for c in ("volume", "transactions", "single", "small")])
-    return total.join(counted_quantile(named, keys, "volume", 0.5, "median_volume"), keys)
+    return matched(total, counted_quantile(named, keys, "volume", 0.5, "median_volume"), keys)
 
 
 def minute_cost(n: Column) -> Column:

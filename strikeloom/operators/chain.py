@@ -134,7 +134,7 @@ POLICIES = {
 
 def eligible(quotes: DataFrame, policy: str) -> DataFrame:
     """Quotes that a policy may choose, with ``distance`` to its target (0 without one)."""
-    ratio, side = F.col("strike") / F.col("spot"), F.col("side")
+    ratio, side = F.try_divide("strike", "spot"), F.col("side")
     inside, distance = F.lit(False), F.lit(0.0)
     for name, (low, high, target) in POLICIES[policy].items():
         upper = ratio <= high if policy in ("five_below", "wider") else ratio < high
@@ -171,7 +171,7 @@ def wheel_selected(quotes: DataFrame, group: list[str], contract: list[str], hai
     side, spot, strike, bid = (F.col(c) for c in ("side", "spot", "strike", "bid"))
     intrinsic = F.greatest(F.lit(0.0), F.when(side == "call", spot - strike).otherwise(strike - spot))
     capital = F.when(side == "call", spot).otherwise(strike)
-    reward = (bid * (1 - haircut) - intrinsic - fee / 100) / capital / (F.col("dte") + 1)
+    reward = F.try_divide(bid * (1 - haircut) - intrinsic - fee / 100, capital) / (F.col("dte") + 1)
     rows = quotes.filter("dte > 0 and bid > 0").withColumn("reward_e9", M.half_up(reward, 1_000_000_000))
     order = F.struct(-F.col("reward_e9"), -F.col("oi"), strike, *[F.col(c) for c in contract])
     kept = [c for c in rows.columns if c not in group]
@@ -187,7 +187,7 @@ def panel_cells(quotes: DataFrame, contract: list[str]) -> DataFrame:
     cells = spark.createDataFrame([(h, lo, hi, s, d) for h, (lo, hi) in enumerate([(1, 100), (101, 500), (501, 2000)]) for s in ("call", "put") for d in (-20, -10, 0, 10, 20)], "band int, lo int, hi int, side string, target int")
     tickers = quotes.select("ticker").distinct()
     grid = tickers.join(F.broadcast(cells.select("band", "side", "target")))
-    pct = F.when(F.col("side") == "call", F.col("strike") / F.col("spot") - 1).otherwise(1 - F.col("strike") / F.col("spot")) * 100
+    pct = F.when(F.col("side") == "call", F.try_divide("strike", "spot") - 1).otherwise(1 - F.try_divide("strike", "spot")) * 100
     rows = quotes.filter("dte > 0").withColumn("pct_e6", M.half_up(pct, 1_000_000))
     near = rows.join(F.broadcast(cells), "side").filter("dte between lo and hi")
     gap = F.abs(F.col("pct_e6") - F.col("target") * 1_000_000)

@@ -72,7 +72,7 @@ def training_rows(stocks: DataFrame, origins: int = 12, horizons: int = 25, firs
     rows = rows.withColumn("step", step).filter((F.col("size") > first + horizons) & chosen)
     each = rows.select("ticker", "ts", "place", "close", "splits", F.posexplode("later").alias("k", "price"))
     clean = F.aggregate(F.slice("splits", 1, F.col("k") + 1), F.lit(0.0), lambda a, x: a + x) <= 0
-    return each.filter(clean).select("ticker", "ts", "place", (F.col("k") + 1).alias("horizon"), F.log(F.col("price") / F.col("close")).alias("target"))
+    return each.filter(clean).select("ticker", "ts", "place", (F.col("k") + 1).alias("horizon"), F.log(F.try_divide("price", "close")).alias("target"))
 
 
 def remaining_fraction(quotes: DataFrame, sessions: DataFrame) -> DataFrame:

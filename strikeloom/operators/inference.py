@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strikeloom.operators.quantiles import continuous_quantiles, matched
+
 BANDS = ((1, 1, 2, "1"), (2, 5, 6, "2-5"), (6, 25, 26, "6-25"))  # fixed values: horizons from and to, spacing of origins
 CELL = ["panel", "ticker", "origin", "expiry", "horizon", "contract"]
 UNIT = ["panel", "model", "ticker", "origin", "horizon"]
@@ -227,12 +229,14 @@ def rule_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     """Dates, expiries, traded of either, reward a day, median, losses, excess a day, participation, quartiles of the cushion, weekday counts."""
     traded = F.col("traded")
     days = F.sum("days")
-    return rows.groupBy(*by).agg(
+    sums = rows.groupBy(*by).agg(
         F.count("*").alias("dates"), F.count_distinct("expiry").alias("expiries"), F.count_if(traded).alias("traded"), F.count_distinct(F.when(traded, F.col("expiry"))).alias("traded_expiries"),
-        (F.sum("ret") / days).alias("reward"), F.percentile("ret", F.lit(0.5)).alias("median"), F.avg((F.col("ret") < 0).cast("double")).alias("losses"), (F.sum(F.col("ret") - F.col("baseline_ret")) / days).alias("excess"),
-        F.avg(traded.cast("double")).alias("participation"), F.percentile(F.when(traded, F.col("cushion")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cushion_quartiles"),
+        F.try_divide(F.sum("ret"), days).alias("reward"), F.avg((F.col("ret") < 0).cast("double")).alias("losses"), F.try_divide(F.sum(F.col("ret") - F.col("baseline_ret")), days).alias("excess"),
+        F.avg(traded.cast("double")).alias("participation"),
         *[F.count_if(F.weekday("origin") == i).alias(name) for i, name in enumerate(("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"))],
     )
+    quartiles = continuous_quantiles(rows.filter(traded), by, "cushion", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).withColumn("cushion_quartiles", F.array("q1", "q2", "q3")).drop("q1", "q2", "q3")
+    return matched(matched(sums, continuous_quantiles(rows, by, "ret", {"median": 0.5}), by), quartiles, by)
 
 
 def entry_rates(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -255,7 +259,7 @@ def decision_features(rows: DataFrame) -> DataFrame:
     capital = F.when(call, spot).otherwise(strike)
     net = mark * 0.9 - 0.0065
     even = F.when(call, spot).otherwise(strike) - net
-    return rows.withColumns({"depth": 1 - strike / spot, "intrinsic": intrinsic, "time_value": mark - intrinsic, "premium_yield": mark / capital, "time_value_yield": (mark - intrinsic) / capital, "cushion": 1 - even / spot, "capped_return": (net - intrinsic) / capital})
+    return rows.withColumns({"depth": 1 - F.try_divide(strike, spot), "intrinsic": intrinsic, "time_value": mark - intrinsic, "premium_yield": F.try_divide(mark, capital), "time_value_yield": F.try_divide(mark - intrinsic, capital), "cushion": 1 - F.try_divide(even, spot), "capped_return": F.try_divide(net - intrinsic, capital)})
 
 
 def expiry_state(rows: DataFrame, haircut: float = 0.1, fee: float = 0.65) -> DataFrame:
@@ -276,7 +280,7 @@ def expiry_state(rows: DataFrame, haircut: float = 0.1, fee: float = 0.65) -> Da
     state = F.when(traded & (close == strike), "atm_ambiguous").when(holds, "shares").otherwise("cash")
     return rows.withColumns({
         "net_premium": net, "itm": itm, "shares": F.when(holds, 100).otherwise(0), "cash": cash, "share_value": F.when(holds, 100 * close).otherwise(0.0), "state": state,
-        "min_return": F.when(whole, F.least(F.lit(0.0), low / entry - 1)), "breached": F.when(whole, low < even),
+        "min_return": F.when(whole, F.least(F.lit(0.0), F.try_divide(low, entry) - 1)), "breached": F.when(whole, low < even),
     })
 
 

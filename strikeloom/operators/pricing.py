@@ -49,8 +49,15 @@ def capture_targets(watches: DataFrame, sessions: DataFrame, now: str, minutes:
 
 
 def captured(targets: DataFrame, issued: DataFrame, grace_min: int = 5) -> DataFrame:
-    """Targets with their state: captured within the grace, else missed."""
-    hit = targets.select("contract", "target").join(issued.select("contract", "issued_at"), "contract").filter((F.col("issued_at") >= F.col("target")) & (F.col("issued_at") < F.col("target") + F.make_dt_interval(mins=F.lit(grace_min))))
+    """Targets with their state: captured within the grace, else missed.
+
+    Time is cut into steps of the grace, of which a target's span touches two, so
+    that a target meets the issuances of two steps and not all of its contract.
+    """
+    step = lambda at: F.floor(F.unix_seconds(at.cast("timestamp")) / (60 * grace_min))
+    spans = targets.select("contract", "target").distinct().withColumn("step", F.explode(F.array(step(F.col("target")), step(F.col("target")) + 1)))
+    hit = spans.join(issued.select("contract", "issued_at", step(F.col("issued_at")).alias("step")), ["contract", "step"])
+    hit = hit.filter((F.col("issued_at") >= F.col("target")) & (F.col("issued_at") < F.col("target") + F.make_dt_interval(mins=F.lit(grace_min))))
     done = hit.select("contract", "target", F.lit("captured").alias("state")).distinct()
     return targets.join(done, ["contract", "target"], "left").withColumn("state", F.coalesce("state", F.lit("missed")))
 

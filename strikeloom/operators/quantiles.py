@@ -6,10 +6,30 @@ rows a group, whatever its size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Groups whose ranges may be broadcast; they are counted first.
+MOST_GROUPS = 10_000
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join on ``keys`` for which null is a key like any other; the keys of ``left`` stay."""
+    other = right.select(*[F.col(k).alias(f"{k} of right") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"{k} of right"]) for k in keys], F.lit(True))
+    return left.join(other, same, how).drop(*[f"{k} of right" for k in keys])
+
+
+def counted(groups: DataFrame, most: int = MOST_GROUPS) -> DataFrame:
+    """``groups``, computed once and broadcast if there are ``most`` at most; beyond that joins shuffle."""
+    kept = groups.limit(most + 1).collect()
+    if len(kept) > most:
+        return groups
+    return F.broadcast(groups.sparkSession.createDataFrame(kept, groups.schema))
+
 
 def counted_quantile(rows: DataFrame, by: list[str], value: str, share: float, name: str) -> DataFrame:
     """The continuous quantile of each group of values that have few distinct ones (small integers): counted, then interpolated between two of them."""
@@ -24,28 +44,54 @@ def counted_quantile(rows: DataFrame, by: list[str], value: str, share: float, n
 
 
 def bucketed(rows: DataFrame, ranges: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
-    """``rows`` with ``bucket_``: where ``value`` lies between its group's least_ and most_, in ``buckets`` equal steps."""
+    """``rows`` with ``bucket_``: where ``value`` lies between its group's least_ and most_ (``ranges``, see ``counted``), in ``buckets`` equal steps."""
     width = F.col("most_") - F.col("least_")
     step = F.when(width > 0, F.floor((F.col(value) - F.col("least_")) / width * buckets)).otherwise(0)
-    return rows.join(F.broadcast(ranges.select(*by, "least_", "most_")), by).withColumn("bucket_", F.least(step, F.lit(buckets - 1)).cast("int")).drop("least_", "most_")
+    return matched(rows, ranges.select(*by, "least_", "most_"), by, "inner").withColumn("bucket_", F.least(step, F.lit(buckets - 1)).cast("int")).drop("least_", "most_")
 
 
-def lower_quantile(rows: DataFrame, ranges: DataFrame, by: list[str], value: str, share: float, name: str, buckets: int = 1024) -> DataFrame:
-    """The smallest value of each group up to which at least ``share`` of its rows lie.
+def ordered_values(rows: DataFrame, ranges: DataFrame, by: list[str], value: str, ranks: dict[str, Column], buckets: int = 1024) -> DataFrame:
+    """For each group (by) the values of the given ranks, from 1; a rank is an expression of the group's ``count_``.
 
-    ``ranges`` has by, least_, most_ and count_ of each group, a row each (they are
-    cells of a grid, so they are broadcast). Rows are counted in buckets; only those
-    of the one bucket that the quantile falls in are counted by value.
+    ``ranges`` has by, least_, most_ and count_ of each group, a row each. Rows are
+    counted in buckets; only those of the buckets that a rank falls in are counted by
+    value. Null groups are groups; ``value`` is never null.
     """
     placed = bucketed(rows, ranges, by, value, buckets)
     counts = placed.groupBy(*by, "bucket_").agg(F.count("*").alias("n_"))
     w = W.partitionBy(*by).orderBy("bucket_")
-    run = counts.withColumn("upto_", F.sum("n_").over(w.rowsBetween(W.unboundedPreceding, 0))).join(F.broadcast(ranges.select(*by, "count_")), by)
-    rank = F.greatest(F.ceil(F.col("count_") * share), F.lit(1))
-    hit = run.filter((F.col("upto_") >= rank) & (F.col("upto_") - F.col("n_") < rank)).select(*by, "bucket_", (rank - (F.col("upto_") - F.col("n_"))).alias("rank_"))
-    atoms = placed.join(F.broadcast(hit), [*by, "bucket_"]).groupBy(*by, value).agg(F.count("*").alias("n_"), F.first("rank_").alias("rank_"))
-    inside = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return atoms.withColumn("upto_", F.sum("n_").over(inside)).filter(F.col("upto_") >= F.col("rank_")).groupBy(*by).agg(F.min(value).alias(name))
+    run = matched(counts.withColumn("upto_", F.sum("n_").over(w.rowsBetween(W.unboundedPreceding, 0))), ranges.select(*by, "count_"), by, "inner")
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]))
+    hit = run.withColumn("asked_", asked).filter((F.col("upto_") >= F.col("asked_.rank")) & (F.col("upto_") - F.col("n_") < F.col("asked_.rank")))
+    hit = hit.groupBy(*by, "bucket_").agg(F.collect_list(F.struct("asked_.name", (F.col("asked_.rank") - (F.col("upto_") - F.col("n_"))).alias("rank"))).alias("asked_"))
+    hit = counted(hit, MOST_GROUPS * len(ranks))
+    atoms = matched(placed, hit.select(*by, "bucket_"), [*by, "bucket_"], "left_semi").groupBy(*by, "bucket_", value).agg(F.count("*").alias("n_"))
+    inside = W.partitionBy(*by, "bucket_").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    each = matched(atoms.withColumn("upto_", F.sum("n_").over(inside)), hit, [*by, "bucket_"], "inner").withColumn("asked_", F.explode("asked_"))
+    each = each.filter(F.col("upto_") >= F.col("asked_.rank"))
+    return each.groupBy(*by).agg(*[F.min(F.when(F.col("asked_.name") == name, F.col(value))).alias(name) for name in ranks])
+
+
+def lower_quantile(rows: DataFrame, ranges: DataFrame, by: list[str], value: str, share: float, name: str, buckets: int = 1024) -> DataFrame:
+    """The smallest value of each group up to which at least ``share`` of its rows lie; ``ranges`` as for ``ordered_values``."""
+    return ordered_values(rows, ranges, by, value, {name: F.greatest(F.ceil(F.col("count_") * share), F.lit(1))}, buckets)
+
+
+def value_ranges(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, least_, most_ and count_ of the known values of each group (of the whole table, if ``by`` is empty)."""
+    return counted(rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("least_"), F.max(value).alias("most_"), F.count("*").alias("count_")))
+
+
+def continuous_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], ranges: DataFrame | None = None) -> DataFrame:
+    """Quantiles of each group, interpolated between the two nearest known values; groups without one are left out."""
+    known = rows.filter(F.col(value).isNotNull()).select(*by, value)
+    ranges = ranges if ranges is not None else value_ranges(known, by, value)
+    place = {name: (F.col("count_") - 1) * F.lit(share) for name, share in shares.items()}
+    ranks = {f"{side} {name}": f(p) + 1 for name, p in place.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+    found = matched(ordered_values(known, ranges, by, value, ranks), ranges.select(*by, "count_"), by, "inner")
+    part = {name: p - F.floor(p) for name, p in place.items()}
+    low, high = (lambda name, side=side: F.col(f"{side} {name}") for side in ("low", "high"))
+    return found.select(*by, *[(low(name) + (high(name) - low(name)) * part[name]).alias(name) for name in shares])
 
 
 def running(rows: DataFrame, by: list[str], order: str, amount: str, bucket: Column, name: str = "upto") -> DataFrame:

@@ -15,7 +15,7 @@ def by_ticker(*keys: str) -> W:
 
 def log_returns(stocks: DataFrame) -> DataFrame:
     """``ret``: log of the close over the one before; null for the first."""
-    return stocks.withColumn("ret", F.log(F.col("close") / F.lag("close").over(by_ticker())))
+    return stocks.withColumn("ret", F.log(F.try_divide(F.col("close"), F.lag("close").over(by_ticker()))))
 
 
 def ewma(returns: Column, frame: int = FRAME, decay: float = DECAY) -> Column:
@@ -39,7 +39,7 @@ def features(stocks: DataFrame, calendar: DataFrame) -> DataFrame:
     rows = stocks.join(F.broadcast(calendar.withColumnRenamed("session", "ts")), "ts")
     rows = rows.withColumn("island", F.col("ordinal") - F.row_number().over(by_ticker()))
     w = by_ticker("island")
-    rows = rows.withColumns({"ret": F.log(F.col("close") / F.lag("close").over(w)), "ret5": F.col("close") / F.lag("close", 5).over(w) - 1, "ret20": F.col("close") / F.lag("close", 20).over(w) - 1})
+    rows = rows.withColumns({"ret": F.log(F.try_divide(F.col("close"), F.lag("close").over(w))), "ret5": F.try_divide(F.col("close"), F.lag("close", 5).over(w)) - 1, "ret20": F.try_divide(F.col("close"), F.lag("close", 20).over(w)) - 1})
     inside = w.rowsBetween(-19, 0)
     dev = F.when(F.count("ret").over(inside) == 20, F.stddev_samp("ret").over(inside) * (252**0.5))
     return rows.withColumn("vol20", dev)
@@ -56,23 +56,23 @@ def har(stocks: DataFrame) -> DataFrame:
 def variance_shares(stocks: DataFrame, frame: int = FRAME) -> DataFrame:
     """Overnight part of the variance over the last ``frame`` sessions."""
     w = by_ticker()
-    rows = stocks.withColumns({"night": F.log(F.col("open") / F.lag("close").over(w)), "day": F.log(F.col("close") / F.col("open"))})
+    rows = stocks.withColumns({"night": F.log(F.try_divide(F.col("open"), F.lag("close").over(w))), "day": F.log(F.try_divide("close", "open"))})
     last = w.rowsBetween(-(frame - 1), 0)
     n, d = F.avg(F.col("night") * F.col("night")).over(last), F.avg(F.when(F.col("night").isNotNull(), F.col("day") * F.col("day"))).over(last)
-    return rows.withColumn("share", F.when(F.count("night").over(last) == frame, n / (n + d)))
+    return rows.withColumn("share", F.when(F.count("night").over(last) == frame, F.try_divide(n, n + d)))
 
 
 def trailing(stocks: DataFrame) -> DataFrame:
     """Trailing means and deviations of returns, range and volume ratio over 5 and 22 sessions."""
     w = by_ticker()
-    rows = log_returns(stocks).withColumn("range", F.log(F.col("high") / F.col("low")))
+    rows = log_returns(stocks).withColumn("range", F.log(F.try_divide("high", "low")))
     out = {}
     for n in (5, 22):
         f = w.rowsBetween(-(n - 1), 0)
         full = F.count("ret").over(f) == n
         out |= {f"mean{n}": F.when(full, F.avg("ret").over(f)), f"dev{n}": F.when(full, F.stddev_pop("ret").over(f)), f"range{n}": F.when(full, F.avg(F.col("range") * F.col("range")).over(f) / (4 * 0.6931471805599453))}
     full = F.count("*").over(w.rowsBetween(-21, 0)) == 22
-    out["volume_ratio"] = F.when(full, F.avg("volume").over(w.rowsBetween(-4, 0)) / F.avg("volume").over(w.rowsBetween(-21, 0)))
+    out["volume_ratio"] = F.when(full, F.try_divide(F.avg("volume").over(w.rowsBetween(-4, 0)), F.avg("volume").over(w.rowsBetween(-21, 0))))
     return rows.withColumns(out)
 
 
@@ -85,13 +85,13 @@ def forward_returns(stocks: DataFrame, calendar: DataFrame, horizons: list[int],
     grid = span.select("ticker", F.explode(F.sequence("a", "b")).alias("ordinal")).join(F.broadcast(calendar), "ordinal").select("ticker", F.col("session").alias("ts"))
     rows = grid.join(stocks.select("ticker", "ts", "close"), ["ticker", "ts"], "left")
     w = by_ticker()
-    rows = rows.withColumn("ret", F.log(F.col("close") / F.lag("close").over(w)))
+    rows = rows.withColumn("ret", F.log(F.try_divide(F.col("close"), F.lag("close").over(w))))
     last = w.rowsBetween(-(frame - 1), 0)
     rows = rows.withColumn("vol", F.when(F.count("ret").over(last) >= 5, F.sqrt(F.avg(F.col("ret") * F.col("ret")).over(last))))
     rows = rows.withColumns({f"close{h}": F.lead("close", h).over(w) for h in horizons})
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"close{h}").alias("later")) for h in horizons]))
     rows = rows.select("ticker", "ts", "close", "vol", each.alias("x")).select("ticker", "ts", "close", "vol", "x.*")
-    return rows.filter("close is not null and later is not null and vol > 0").withColumn("z", F.log(F.col("later") / F.col("close")) / (F.col("vol") * F.sqrt(F.col("horizon").cast("double"))))
+    return rows.filter("close is not null and later is not null and vol > 0").withColumn("z", F.log(F.try_divide("later", "close")) / (F.col("vol") * F.sqrt(F.col("horizon").cast("double"))))
 
 
 def corporate_actions(stocks: DataFrame, events: DataFrame, horizon: int) -> DataFrame:

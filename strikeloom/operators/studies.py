@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strikeloom.operators.quantiles import bucketed, lower_quantile, running
+from strikeloom.operators.quantiles import bucketed, continuous_quantiles, counted, lower_quantile, matched, running
 
 HAIRCUTS, FEES, SLIPPAGE = (0.0, 0.05, 0.10, 0.20), (0.0, 0.65), (0, 10, 25)
 
@@ -26,7 +26,7 @@ def cost_grid(entries: DataFrame, haircuts: tuple[float, ...] = HAIRCUTS, fees:
     profit = F.when(call, (F.least("close", "strike") - paid + got) * 100).otherwise((got - F.greatest(F.col("strike") - F.col("close"), F.lit(0.0))) * 100) - F.col("fee")
     capital = F.when(call, paid * 100).otherwise(F.col("strike") * 100)
     benchmark = F.when(call, (F.col("close") - paid) * 100).otherwise(F.lit(0.0))
-    return rows.withColumns({"profit": profit, "capital": capital, "benchmark": benchmark, "ret": profit / capital, "excess": (profit - benchmark) / capital, "assigned": F.when(call, F.col("close") > F.col("strike")).otherwise(F.col("close") < F.col("strike"))})
+    return rows.withColumns({"profit": profit, "capital": capital, "benchmark": benchmark, "ret": F.try_divide(profit, capital), "excess": F.try_divide(profit - benchmark, capital), "assigned": F.when(call, F.col("close") > F.col("strike")).otherwise(F.col("close") < F.col("strike"))})
 
 
 def strategy_summary(grid: DataFrame, by: list[str]) -> DataFrame:
@@ -35,14 +35,15 @@ def strategy_summary(grid: DataFrame, by: list[str]) -> DataFrame:
     The grid is made as it is read and meets only as sums, bucket counts and the
     values of one bucket a cell.
     """
-    known = grid.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), F.avg("excess").alias("mean_excess"), F.avg(F.col("assigned").cast("double")).alias("assigned"), F.avg((F.col("ret") < 0).cast("double")).alias("losses"), F.min("ret").alias("least_"), F.max("ret").alias("most_"), F.count("*").alias("count_"))
-    q = lower_quantile(grid.select(*by, "ret"), known.select(*by, "least_", "most_", "count_"), by, "ret", 0.05, "q05")
-    return known.drop("least_", "most_", "count_").join(q, by)
+    known = counted(grid.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), F.avg("excess").alias("mean_excess"), F.avg(F.col("assigned").cast("double")).alias("assigned"), F.avg((F.col("ret") < 0).cast("double")).alias("losses"), F.min("ret").alias("least_"), F.max("ret").alias("most_"), F.count("ret").alias("count_")))
+    q = lower_quantile(grid.select(*by, "ret").filter("ret is not null"), known.select(*by, "least_", "most_", "count_"), by, "ret", 0.05, "q05")
+    return matched(known.drop("least_", "most_", "count_"), q, by)
 
 
 def reward_per_day(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Ratio of summed returns to summed days, median, share of losses."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), (F.sum("ret") / F.sum("days")).alias("reward"), F.percentile("ret", F.lit(0.5)).alias("median"), F.avg((F.col("ret") < 0).cast("double")).alias("losses"))
+    """Ratio of summed returns to summed days, median, share of losses; the median by counts, in no one buffer."""
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.sum("ret"), F.sum("days")).alias("reward"), F.avg((F.col("ret") < 0).cast("double")).alias("losses"))
+    return matched(sums, continuous_quantiles(rows, by, "ret", {"median": 0.5}), by)
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -73,12 +74,14 @@ def tail_stats(rows: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame
     run = running(atoms, by, "x", "w", F.floor(F.col("x") / 64))
     mass = F.col("total") * alpha
     part = F.greatest(F.lit(0.0), F.least(F.col("w").cast("double"), mass - (F.col("upto") - F.col("w"))))
-    return run.withColumns({"part": part, "reached": F.col("upto") >= mass}).groupBy(*by).agg(F.min(F.when(F.col("reached"), F.col("x"))).alias("quantile"), (F.sum(F.col("x") * F.col("part")) / F.sum("part")).alias("shortfall"), F.sum("w").alias("weight"))
+    return run.withColumns({"part": part, "reached": F.col("upto") >= mass}).groupBy(*by).agg(F.min(F.when(F.col("reached"), F.col("x"))).alias("quantile"), F.try_divide(F.sum(F.col("x") * F.col("part")), F.sum("part")).alias("shortfall"), F.sum("w").alias("weight"))
 
 
 def terciles(rows: DataFrame, value: str, key: list[str]) -> DataFrame:
-    """Two linear tercile edges over distinct keys."""
-    return rows.dropDuplicates(key).agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"), F.count("*").alias("n")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n")
+    """Two linear tercile edges over distinct keys, and how many there are; by counts in buckets, so that no task has all values."""
+    each = rows.groupBy(*key).agg(F.min(value).alias(value))
+    edges = continuous_quantiles(each, [], value, {"low": 1 / 3, "high": 2 / 3})
+    return matched(each.agg(F.count("*").alias("n")), edges, []).select("low", "high", "n")
 
 
 def pareto(rows: DataFrame, group: list[str], high: str, low: str) -> DataFrame:
@@ -86,18 +89,21 @@ def pareto(rows: DataFrame, group: list[str], high: str, low: str) -> DataFrame:
 
     With two criteria a sort does: going down ``high``, a row stays if its ``low``
     is under all before it. Equal points stay together. The sort is by ranges of
-    ``high``, so that a large group isn't sorted in one task; groups' ranges are broadcast.
+    ``high``, so that a large group isn't sorted in one task; groups' ranges are counted
+    and broadcast if they are few. A null group is a group; rows without a criterion are
+    on no frontier.
     """
+    rows = rows.filter(F.col(high).isNotNull() & F.col(low).isNotNull())
     points = rows.groupBy(*group, high).agg(F.min(low).alias("best_"))
-    ranges = rows.groupBy(*group).agg(F.min(high).alias("least_"), F.max(high).alias("most_"))
+    ranges = counted(rows.groupBy(*group).agg(F.min(high).alias("least_"), F.max(high).alias("most_")))
     placed = bucketed(points, ranges, group, high, 256)
     # the best of all buckets above, then of all points above in the bucket
     above = W.partitionBy(*group).orderBy(F.desc("bucket_")).rowsBetween(W.unboundedPreceding, -1)
     starts = placed.groupBy(*group, "bucket_").agg(F.min("best_").alias("b_")).select(*group, "bucket_", F.min("b_").over(above).alias("start_"))
     w = W.partitionBy(*group, "bucket_").orderBy(F.desc(high)).rowsBetween(W.unboundedPreceding, -1)
     before = F.least("start_", F.min("best_").over(w))
-    front = placed.join(starts, [*group, "bucket_"]).withColumn("before_", before).filter("before_ is null or best_ < before_").select(*group, high, F.col("best_").alias(low))
-    return rows.join(front, [*group, high, low], "left_semi")
+    front = matched(placed, starts, [*group, "bucket_"], "inner").withColumn("before_", before).filter("before_ is null or best_ < before_").select(*group, high, F.col("best_").alias(low))
+    return matched(rows, front, [*group, high, low], "left_semi")
 
 
 def blocked_dates(days: DataFrame, group: list[str], embargo: int) -> DataFrame:

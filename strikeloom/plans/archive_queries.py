@@ -75,13 +75,13 @@ def exclusion_reason_totals(spark: SparkSession, d: str) -> DataFrame:
     return R.exclusion_totals(_excluded(spark, d))
 
 
-FETCHES = "fetches AS (SELECT l_orderkey AS contract, 'hour_' || lower(l_returnflag) AS kind, l_shipdate AS at, (l_quantity % 7)::BIGINT AS results FROM lineitem WHERE l_linenumber <= 3 UNION ALL SELECT o_orderkey, 'day', o_orderdate, o_custkey % 5 FROM orders WHERE o_orderstatus = 'O')"
+FETCHES = "fetches AS (SELECT l_orderkey AS contract, 'hour_' || lower(l_returnflag) AS kind, l_shipdate AS at, (l_quantity % 7)::BIGINT AS results FROM lineitem UNION ALL SELECT o_orderkey, 'day', o_orderdate, o_custkey % 5 FROM orders)"
 
 
 def _fetches(spark: SparkSession, d: str) -> DataFrame:
     li, o = A.table(spark, d, "lineitem"), A.table(spark, d, "orders")
-    a = li.filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("contract"), F.concat(F.lit("hour_"), F.lower("l_returnflag")).alias("kind"), F.col("l_shipdate").alias("at"), (F.col("l_quantity") % 7).cast("long").alias("results"))
-    b = o.filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("contract"), F.lit("day").alias("kind"), F.col("o_orderdate").alias("at"), (F.col("o_custkey") % 5).alias("results"))
+    a = li.select(F.col("l_orderkey").alias("contract"), F.concat(F.lit("hour_"), F.lower("l_returnflag")).alias("kind"), F.col("l_shipdate").alias("at"), (F.col("l_quantity") % 7).cast("long").alias("results"))
+    b = o.select(F.col("o_orderkey").alias("contract"), F.lit("day").alias("kind"), F.col("o_orderdate").alias("at"), (F.col("o_custkey") % 5).alias("results"))
     return a.unionByName(b)
 
 
@@ -95,10 +95,10 @@ def fetch_audit_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return R.fetch_audit(_fetches(spark, d)).withColumns({"first_at": F.to_date("first_at").cast("string"), "last_at": F.to_date("last_at").cast("string")})
 
 
-@query(f"WITH {FETCHES} SELECT o_orderkey AS contract, o_orderpriority AS ticker FROM orders WHERE o_orderkey NOT IN (SELECT contract FROM fetches)")
+@query(f"WITH {FETCHES} SELECT o_orderkey AS contract, o_orderpriority AS ticker FROM orders WHERE o_orderkey NOT IN (SELECT contract FROM fetches WHERE kind = 'hour_r')")
 def contracts_without_fetch(spark: SparkSession, d: str) -> DataFrame:
     rows = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("contract"), F.col("o_orderpriority").alias("ticker"))
-    return R.without(rows, _fetches(spark, d), "contract")
+    return R.without(rows, _fetches(spark, d).filter("kind = 'hour_r'"), "contract")
 
 
 @query(sql("stocks cal", """WITH span AS (SELECT ticker, min(ts) AS a, max(ts) AS b FROM stocks GROUP BY 1),
@@ -110,10 +110,10 @@ def missing_session_windows(spark: SparkSession, d: str) -> DataFrame:
     return R.missing_windows(A.calendar(spark, d), have, "ticker").withColumns({c: F.col(c).cast("string") for c in ("first_session", "last_session")})
 
 
-@query(sql("hours days", "WITH h AS (SELECT contract, date_trunc('day', start)::TIMESTAMP AS start, sum(volume) AS hv FROM hours WHERE first_row % 3 > 0 GROUP BY 1, 2) SELECT contract, count(*) FILTER (abs(coalesce(hv, 0) - volume) >= 50) AS mismatched, count(*) FILTER (hv IS NULL) AS without_hours, count(*) AS days FROM days LEFT JOIN h USING (contract, start) GROUP BY contract"))
+@query(sql("hours days", "WITH h AS (SELECT contract, date_trunc('day', start)::TIMESTAMP AS start, sum(volume) AS hv FROM hours GROUP BY 1, 2) SELECT contract, count(*) FILTER (abs(coalesce(hv, 0) - volume) >= 50) AS mismatched, count(*) FILTER (hv IS NULL) AS without_hours, count(*) AS days FROM days LEFT JOIN h USING (contract, start) GROUP BY contract"))
 def volume_mismatch_days(spark: SparkSession, d: str) -> DataFrame:
     t = A.ticks(spark, d)
-    return R.mismatched_days(A.bars(t, "hour").filter("first_row % 3 > 0"), A.bars(t.filter("kind <> 'error'"), "day"))
+    return R.mismatched_days(A.bars(t, "hour"), A.bars(t.filter("kind <> 'error'"), "day"))
 
 
 DTE_BAND = "CASE WHEN dte <= 0 THEN 'expired' WHEN dte <= 7 THEN 'week' WHEN dte <= 35 THEN 'month' ELSE 'later' END"

@@ -42,11 +42,11 @@ def display_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT o_orderkey AS key, 'T' || (o_orderkey % 9) || ' · ' || strftime(o_orderdate, '%Y-%m-%d') || ' · ' || format('{{:,}}', o_orderkey % 4000) || ' DTE · bid: ' || {MONEY_SQL.format('c')}
   || CASE WHEN lots IS NULL THEN '' WHEN lots = 1 THEN ' · 1 contract · 100 sh' ELSE ' · ' || format('{{:,}}', lots) || ' contracts · ' || format('{{:,}}', lots * 100) || ' sh' END || chr(10) || chr(10) || '| Strike | APR |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || {MONEY_SQL.format('(o_orderkey % 9000)')} || ' | ' || {PERCENT_SQL.format('(o_orderkey % 777)', '+')} || ' |' AS text
-  FROM (SELECT *, {CENTS} AS c, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 1500 END AS lots FROM orders) WHERE lots IS NULL OR lots > 0""")
+  FROM (SELECT *, {CENTS} AS c, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 1500 + 1 END AS lots FROM orders)""")
 def clipboard_rows(spark: SparkSession, d: str) -> DataFrame:
     K = F.col("o_orderkey")  # noqa: N806
-    lots = F.when(K % 5 > 0, K % 1500)
-    rows = _o(spark, d).filter(lots.isNull() | (lots > 0))
+    lots = F.when(K % 5 > 0, K % 1500 + 1)
+    rows = _o(spark, d)
     text = V.row_text(F.concat(F.lit("T"), (K % 9).cast("string")), F.date_format("o_orderdate", "yyyy-MM-dd"), K % 4000, F.lit("bid"), _cents(), lots, ["Strike", "APR"], [V.money_text(K % 9000), V.percent_text(K % 777)])
     return rows.select(K.alias("key"), text.alias("text"))
 

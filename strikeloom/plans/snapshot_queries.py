@@ -167,26 +167,26 @@ def snapshot_exclusions(spark: SparkSession, d: str) -> DataFrame:
     return P.exclusion_rows(refs, _hours(spark, d), _reconciled(spark, d), refs.filter("contract % 23 = 0")).withColumn("session", F.col("session").cast("string"))
 
 
-@query(sql("stocks", "SELECT event_id AS row_id, o_orderdate::DATE::VARCHAR AS session, close AS stock_close, CASE WHEN close IS NULL THEN 'unverified' ELSE 'verified' END AS stock_status FROM events JOIN orders ON o_orderkey = event_id LEFT JOIN (SELECT * FROM stocks WHERE volume > 1) s ON s.ticker = o_orderpriority AND s.ts = o_orderdate::DATE"))
+@query(sql("stocks", "SELECT o_orderkey AS row_id, o_orderdate::DATE::VARCHAR AS session, close AS stock_close, CASE WHEN close IS NULL THEN 'unverified' ELSE 'verified' END AS stock_status FROM orders LEFT JOIN (SELECT * FROM stocks WHERE ts < DATE '1998-01-01') s ON s.ticker = o_orderpriority AND s.ts = o_orderdate::DATE"))
 def verified_stock_close(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.to_date("o_orderdate").alias("session"), F.col("o_orderpriority").alias("ticker")).join(A.table(spark, d, "events").select(F.col("event_id").alias("row_id")), "row_id")
-    return P.with_close(rows, A.stocks(spark, d).filter("volume > 1")).select("row_id", F.col("session").cast("string").alias("session"), "stock_close", "stock_status")
+    rows = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.to_date("o_orderdate").alias("session"), F.col("o_orderpriority").alias("ticker"))
+    return P.with_close(rows, A.stocks(spark, d).filter("ts < date'1998-01-01'")).select("row_id", F.col("session").cast("string").alias("session"), "stock_close", "stock_status")
 
 
 DTE_BAND = "CASE WHEN date_diff('day', h.session, h.expiry) <= 0 THEN 'expired_or_same_day' WHEN date_diff('day', h.session, h.expiry) <= 7 THEN '1_7_days' WHEN date_diff('day', h.session, h.expiry) <= 35 THEN '8_35_days' ELSE 'over_35_days' END"
-STRIKE_BAND = "CASE WHEN s.close IS NULL THEN 'unverified_stock' WHEN r.strike * 4000.0::DOUBLE / s.close - 1 < -0.1::DOUBLE THEN 'far_below' WHEN r.strike * 4000.0::DOUBLE / s.close - 1 < -0.025::DOUBLE THEN 'below' WHEN r.strike * 4000.0::DOUBLE / s.close - 1 < 0.025::DOUBLE THEN 'near' WHEN r.strike * 4000.0::DOUBLE / s.close - 1 < 0.1::DOUBLE THEN 'above' ELSE 'far_above' END"
+STRIKE_BAND = "CASE WHEN s.close IS NULL THEN 'unverified_stock' WHEN s.close = 0 THEN 'worthless_stock' WHEN r.strike * 4000.0::DOUBLE / s.close - 1 < -0.1::DOUBLE THEN 'far_below' WHEN r.strike * 4000.0::DOUBLE / s.close - 1 < -0.025::DOUBLE THEN 'below' WHEN r.strike * 4000.0::DOUBLE / s.close - 1 < 0.025::DOUBLE THEN 'near' WHEN r.strike * 4000.0::DOUBLE / s.close - 1 < 0.1::DOUBLE THEN 'above' ELSE 'far_above' END"
 
 
-@query(f"""WITH {BASE}, closes AS (SELECT user_id AS contract, ts::DATE AS session, max(value) * 100 AS close FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2)
+@query(f"""WITH {BASE}, closes AS (SELECT user_id AS contract, ts::DATE AS session, max(value) * 100 AS close FROM events GROUP BY 1, 2)
 SELECT coalesce(r.ticker, '') AS ticker, coalesce(h.side, '') AS side, {DTE_BAND} AS dte_band, {STRIKE_BAND} AS strike_band, coalesce(hour(timezone('America/New_York', timezone('UTC', start))), -1)::INT AS hour, regular, valid, coalesce(reason, '') AS reason, count(*) AS bars, count(DISTINCT h.contract) AS contracts,
   count(DISTINCT coalesce(h.session, DATE '1900-01-01')) AS sessions, sum(volume)::BIGINT AS volume, sum(transactions)::BIGINT AS transactions, count(*) FILTER (transactions = 1) AS single, count(*) FILTER (volume <= 5) AS small, quantile_cont(volume, 0.5) AS median_volume
 FROM hours_ h LEFT JOIN refs r USING (contract) LEFT JOIN closes s ON s.contract = h.contract AND s.session = h.session GROUP BY ALL""")
 def hour_activity(spark: SparkSession, d: str) -> DataFrame:
-    closes = A.table(spark, d, "events").filter("event_id % 3 > 0").groupBy(F.col("user_id").alias("contract"), F.to_date("ts").alias("session")).agg((F.max("value") * 100).alias("stock"))
+    closes = A.table(spark, d, "events").groupBy(F.col("user_id").alias("contract"), F.to_date("ts").alias("session")).agg((F.max("value") * 100).alias("stock"))
     rows = _hours(spark, d).join(_refs(spark, d).select("contract", "ticker", "strike"), "contract", "left").join(closes, ["contract", "session"], "left")
     left = F.datediff("expiry", "session")
     dte = F.when(left <= 0, "expired_or_same_day").when(left <= 7, "1_7_days").when(left <= 35, "8_35_days").otherwise("over_35_days")
-    distance = F.col("strike") * 4000.0 / F.col("stock") - 1
-    strike = F.when(F.col("stock").isNull(), "unverified_stock").otherwise(M.bands(distance, [-0.1, -0.025, 0.025, 0.1], ["far_below", "below", "near", "above", "far_above"]))
-    strike = F.when(F.col("stock").isNotNull() & F.col("strike").isNull(), "far_above").otherwise(strike)
+    distance = F.try_divide(F.col("strike") * 4000.0, F.col("stock")) - 1
+    strike = F.when(F.col("stock").isNull(), "unverified_stock").when(F.col("stock") == 0, "worthless_stock").otherwise(M.bands(distance, [-0.1, -0.025, 0.025, 0.1], ["far_below", "below", "near", "above", "far_above"]))
+    strike = F.when((F.col("stock") != 0) & F.col("strike").isNull(), "far_above").otherwise(strike)
     return R.hour_activity(rows.withColumns({"dte_band": dte, "strike_band": strike, "hour": F.hour(P.local_time(F.col("start"), "America/New_York"))}))

@@ -215,7 +215,7 @@ def reward_per_day(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("stocks", f"WITH v AS (SELECT DISTINCT ticker, ts, high / low - 1 AS v FROM stocks) SELECT {up('quantile_cont(v, 1 / 3.0::DOUBLE)', 1000000)} AS low, {up('quantile_cont(v, 2 / 3.0::DOUBLE)', 1000000)} AS high, count(*) AS n FROM v"))
 def vol_terciles(spark: SparkSession, d: str) -> DataFrame:
-    t = S.terciles(A.stocks(spark, d).withColumn("v", F.col("high") / F.col("low") - 1), "v", ["ticker", "ts"])
+    t = S.terciles(A.stocks(spark, d).withColumn("v", F.try_divide("high", "low") - 1), "v", ["ticker", "ts"])
     return t.select(M.half_up(F.col("low"), 1_000_000).alias("low"), M.half_up(F.col("high"), 1_000_000).alias("high"), "n")
 
 
@@ -282,14 +282,18 @@ def dist_digest(spark: SparkSession, d: str) -> DataFrame:
     return A.distributions(spark, d).select("id", D.digest(F.col("prices")).alias("digest"))
 
 
-QUANTILES = ", ".join(f"{x!r}::DOUBLE" for x in D.normal_quantiles(64))
+QUANTILES = ", ".join(f"{x!r}::DOUBLE" for x in D.normal_quantiles(1024))
 
 
-@query(sql("stocks", f"WITH l AS (SELECT ticker, arg_max(close, ts) AS spot FROM stocks GROUP BY 1), u AS (SELECT ticker, unnest([{QUANTILES}]) AS z, spot FROM l), p AS (SELECT ticker, spot * exp(0.02::DOUBLE * sqrt(10) * z) AS x, spot FROM u) SELECT ticker, {up('avg(x)', 100)} AS mean, {up('min(x)', 100)} AS least, {up('max(x)', 100)} AS most, count(*) FILTER (x > spot * 1.05::DOUBLE) AS above FROM p GROUP BY ticker"))
+@query(sql("stocks", f"WITH r AS (SELECT ticker, ts, close, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY ts)) AS ret FROM stocks), b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) - 1 AS back FROM r), l AS (SELECT ticker, arg_max(close, ts) AS spot, sqrt(sum(ret * ret * pow(0.94::DOUBLE, back)) FILTER (back < 60) / ((1 - pow(0.94::DOUBLE, 60)) / 0.06::DOUBLE)) AS vol FROM b GROUP BY 1 HAVING count(ret) FILTER (back < 60) = 60), u AS (SELECT ticker, unnest([{QUANTILES}]) AS z, spot, vol FROM l), p AS (SELECT ticker, spot * exp(vol * sqrt(10) * z) AS x, spot FROM u) SELECT ticker, {up('ln(avg(x) / max(spot))', 100000)} AS mean_e5, {up('ln(min(x) / max(spot))', 100000)} AS least_e5, {up('ln(max(x) / max(spot))', 100000)} AS most_e5, count(*) FILTER (x > spot * 1.05::DOUBLE) AS above FROM p GROUP BY ticker"))
 def lognormal_baseline(spark: SparkSession, d: str) -> DataFrame:
-    last = A.stocks(spark, d).groupBy("ticker").agg(F.max_by("close", "ts").alias("spot"))
-    p = last.withColumn("p", D.lognormal(F.col("spot"), F.lit(0.02), F.lit(10), 64))
-    return p.select("ticker", M.cents(D.expected(F.col("p"), lambda x: x)).alias("mean"), M.cents(F.array_min("p")).alias("least"), M.cents(F.array_max("p")).alias("most"), F.size(F.filter("p", lambda x: x > F.col("spot") * 1.05)).cast("long").alias("above"))
+    """The distribution ten sessions ahead of every ticker with 60 returns, from its own exponentially weighted volatility; mean and ends as logarithms over the spot."""
+    from strikeloom.operators.series import ewma_volatility
+
+    last = ewma_volatility(A.stocks(spark, d)).groupBy("ticker").agg(F.max_by("close", "ts").alias("spot"), F.max_by("vol", "ts").alias("vol")).filter("vol is not null")
+    p = last.withColumn("p", D.lognormal(F.col("spot"), F.col("vol"), F.lit(10)))
+    log = lambda x: M.half_up(F.log(x / F.col("spot")), 100_000)
+    return p.select("ticker", log(D.expected(F.col("p"), lambda x: x)).alias("mean_e5"), log(F.array_min("p")).alias("least_e5"), log(F.array_max("p")).alias("most_e5"), F.size(F.filter("p", lambda x: x > F.col("spot") * 1.05)).cast("long").alias("above"))
 
 
 @query("""SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, json_valid(props) AS valid FROM events""")
@@ -299,7 +303,7 @@ def payload_json_parse(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", parsed["k"].alias("k"), parsed.isNotNull().alias("valid"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*(<[^/][^<]*|</[^sS][^<]*)*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS text FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<[a-z/!?][^>]*>', ' ', 'g'), '&amp;?', '&', 'g'), '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '"'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS text FROM pages""")
 def html_text_extract(spark: SparkSession, d: str) -> DataFrame:
     from strikeloom.functions.text import html_text
 

@@ -137,8 +137,11 @@ def freeze_snapshot(spark: SparkSession, ticks: DataFrame, contracts: DataFrame,
 
 
 def markdown(rows: DataFrame, columns: list[str], most: int = 200) -> str:
-    """A report table of the first ``most`` rows."""
+    """A report table of the first ``most`` rows; if there are more, its last line says so."""
     lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
-    for r in rows.select(*columns).limit(most).collect():
+    found = rows.select(*columns).limit(most + 1).collect()
+    for r in found[:most]:
         lines.append("| " + " | ".join("" if v is None else str(v) for v in r) + " |")
+    if len(found) > most:
+        lines.append(f"\nThe first {most} of {rows.count()} rows.")
     return "\n".join(lines)
