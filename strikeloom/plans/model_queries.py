@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikeloom.functions import money as M
+from strikeloom.operators import boosting as B
+from strikeloom.operators import history as H
 from strikeloom.operators import models as Mo
 from strikeloom.operators import odds as O
 from strikeloom.plans.chain_queries import CONTRACT, up
@@ -83,6 +85,18 @@ for _name, _methods in {"student_t_candidate": ["student_t"], "gjr_candidate": [
     _candidate(_name, _methods)
 
 
+@query()
+def pooled_model(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted mean and deviation of each ticker's return 1, 5, 10 and 25 sessions after its last bar, learned from all tickers' training rows."""
+    s = A.stocks(spark, d).withColumn("split", F.lit(0.0))
+    f = B.pooled_features(s)
+    rows = H.training_rows(s.select("ticker", "ts", "close", "split")).join(f.drop("ts"), ["ticker", "place"])
+    model = B.train(rows, list(B.FEATURES), "target")
+    last = f.groupBy("ticker").agg(F.max_by(F.struct("ts", *B.FEATURES[1:]), "ts").alias("f")).select("ticker", "f.*", F.explode(F.array(*[F.lit(float(h)) for h in (1, 5, 10, 25)])).alias("horizon"))
+    out = B.priced(last, model, list(B.FEATURES))
+    return out.select("ticker", F.col("ts").cast("string").alias("ts"), F.col("horizon").cast("int").alias("horizon"), F.round("mean", 8).alias("mean"), F.round("deviation", 8).alias("deviation"), "reason")
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     s = C.source(spark, f"{d}/events.parquet")
     return s.select(F.col("event_id").alias("row_id"), F.col("user_id").alias("contract"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.floor(F.col("value") * 100 + 0.5).cast("long").alias("cents"))
