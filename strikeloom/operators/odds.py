@@ -1,4 +1,4 @@
-"""Odds from option prices: model-free bounds, slopes, guards, convex and two-state fits."""
+"""Odds from option prices: model-free bounds, slopes, guards."""
 
 from __future__ import annotations
 
@@ -44,12 +44,12 @@ def steepest(k: list[float], base: list[float], value: list[float]) -> list[floa
     return out
 
 
-def vertical_bounds(chain: DataFrame) -> DataFrame:
+def vertical_bounds(chain: DataFrame, clamped: bool = True) -> DataFrame:
     """Bounds on the chance of ending above each strike from all pairs of strikes on one side of it.
 
     Upper: the least (ask below - bid) / distance of the strikes below; lower: the
     greatest (bid - ask above) / distance of those above. Different strikes of an expiry
-    are one group, walked through once in either direction.
+    are one group, walked through once in either direction. Unless ``clamped``, bounds may lie outside 0 and 1.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
@@ -62,7 +62,8 @@ def vertical_bounds(chain: DataFrame) -> DataFrame:
     def bounded(k: list[float], bid: list[float], ask: list[float]) -> tuple[list, list]:
         up = steepest(k, ask, bid)
         down = steepest([-x for x in reversed(k)], ask[::-1], bid[::-1])[::-1]
-        return [None if x is None else min(max(-x, 0.0), 1.0) for x in up], [None if x is None else min(max(x, 0.0), 1.0) for x in down]
+        cut = (lambda x: min(max(x, 0.0), 1.0)) if clamped else (lambda x: x)
+        return [None if x is None else cut(-x) for x in up], [None if x is None else cut(x) for x in down]
 
     def walk(batches):  # noqa: ANN001, ANN202
         held: list[list] = [[] for _ in range(n + 3)]
@@ -116,90 +117,3 @@ def monotone_guard(probabilities: DataFrame, slack: float = 0.001) -> DataFrame:
     w = W.partitionBy(*KEY).orderBy("strike")
     rises = probabilities.withColumn("rise", F.coalesce(F.col("p") < F.lead("p").over(w) - slack, F.lit(False)))
     return rises.groupBy(*KEY).agg(F.bool_or("rise").alias("broken"), F.count("*").alias("strikes"))
-
-
-def convex_odds(chain: DataFrame, least: int = 5, rounds: int = 40) -> DataFrame:
-    """Chance above each strike from the decreasing convex call curve nearest to the midpoints, within bid and ask where that can be.
-
-    Alternating projections; one expiry's strikes go through one Python group.
-    """
-
-    def fit(frame):  # noqa: ANN001, ANN202
-        import numpy as np
-
-        frame = frame.sort_values("strike").reset_index(drop=True)
-        k, b, a = (frame[c].to_numpy(float) for c in ("strike", "bid", "ask"))
-        p = np.full(len(k), np.nan)
-        if len(k) >= least:
-            c = (b + a) / 2
-            gap = np.diff(k)
-            for _ in range(rounds):
-                s = np.diff(c) / gap
-                weight, blocks = gap, []  # slopes must rise: pool neighbours that fall
-                for x, g in zip(s, weight, strict=True):
-                    blocks.append([x * g, g, 1])
-                    while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
-                        x2, g2, n2 = blocks.pop()
-                        blocks[-1] = [blocks[-1][0] + x2, blocks[-1][1] + g2, blocks[-1][2] + n2]
-                s = np.concatenate([np.full(n, min(0.0, max(-1.0, x / g))) for x, g, n in blocks])
-                shape = np.concatenate([[0.0], np.cumsum(s * gap)])
-                c = shape + (c - shape).mean()
-                inside = np.clip(c, b, a)
-                if np.abs(inside - c).max() < 1e-6:
-                    break
-                c = 0.5 * (c + inside)
-            s = np.diff(c) / gap
-            p[1:-1] = np.clip(-(s[1:] + s[:-1]) / 2, 0, 1)
-        frame["p"] = p
-        return frame[[*KEY, "strike", "p"]]
-
-    return chain.groupBy(*KEY).applyInPandas(fit, "ticker string, month string, strike double, p double")
-
-
-def regime_odds(chain: DataFrame, spot: DataFrame, least: int = 6) -> DataFrame:
-    """Two-state lognormal mixture fitted to each expiry's midpoints; chance above the spot, and the fit's error in spreads.
-
-    Every fourth strike is held out; the others (``least`` at the least, and two held
-    out) are fitted from two starts, of which the better counts. A fit is given up
-    where it misses the midpoints by more than 1.25 spreads (root mean square), or a
-    held-out quote by more than the larger of 0.05 and 0.05 % of the spot.
-    """
-
-    def fit(frame):  # noqa: ANN001, ANN202
-        import numpy as np
-        import pandas as pd
-
-        from strikeloom.functions.greeks import normal_cdf
-        from strikeloom.operators.models import nelder_mead
-
-        frame = frame.sort_values("strike")
-        k, b, a = (frame[c].to_numpy(float) for c in ("strike", "bid", "ask"))
-        s0 = float(frame["spot"].iloc[0])
-        out = [frame["ticker"].iloc[0], frame["month"].iloc[0], len(k), None, None, None, "too_few_strikes"]
-        held = np.arange(len(k)) % 4 == 3
-        if (~held).sum() >= least and held.sum() >= 2:
-            mid, width = (a + b) / 2, np.maximum(a - b, 0.01)
-
-            def call(v, at):  # noqa: ANN001, ANN202
-                d1 = np.log(s0 / k[at]) / v + v / 2
-                return s0 * normal_cdf(d1) - k[at] * normal_cdf(d1 - v)
-
-            def parts(x):  # noqa: ANN001, ANN202
-                return 1 / (1 + np.exp(-np.clip(x[0], -30, 30))), np.exp(np.clip(x[1], -5, 1)), np.exp(np.clip(x[2], -5, 1))
-
-            def price(x, at):  # noqa: ANN001, ANN202
-                w, v1, v2 = parts(x)
-                return w * call(v1, at) + (1 - w) * call(v2, at)
-
-            def error(x):  # noqa: ANN001, ANN202
-                return float(np.sqrt(np.mean(((price(x, ~held) - mid[~held]) / width[~held]) ** 2)))
-
-            x, e, _ = min((nelder_mead(error, start, 60) for start in ([0.0, -2.0, -0.7], [1.0, -1.2, -1.2])), key=lambda r: r[1])
-            w, v1, v2 = parts(x)
-            miss = price(x, held)
-            miss = float(np.maximum(np.maximum(b[held] - miss, miss - a[held]), 0).max())
-            reason = "poor_fit" if e > 1.25 else "held_out_missed" if miss > max(0.05, 0.0005 * s0) else None
-            out[3:] = [float(w * normal_cdf(np.array([-v1 / 2]))[0] + (1 - w) * normal_cdf(np.array([-v2 / 2]))[0]), e, miss, reason]
-        return pd.DataFrame([out], columns=["ticker", "month", "strikes", "p_above_spot", "rms_spreads", "held_out_miss", "reason"])
-
-    return chain.join(spot, KEY).groupBy(*KEY).applyInPandas(fit, "ticker string, month string, strikes long, p_above_spot double, rms_spreads double, held_out_miss double, reason string")

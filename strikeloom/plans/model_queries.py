@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from strikeloom.functions import money as M
 from strikeloom.operators import boosting as B
 from strikeloom.operators import history as H
+from strikeloom.operators import curves as V
 from strikeloom.operators import models as Mo
 from strikeloom.operators import odds as O
+from strikeloom.operators import regimes as R
+from strikeloom.operators.quantiles import matched
 from strikeloom.plans.chain_queries import CONTRACT, up
 from strikeloom.plans.oracle import sql
 from strikeloom.plans.registry import query
@@ -61,16 +64,38 @@ def endpoint_iv_facts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[F.col(f"{x}.{y}").alias(f"{n}_{y}") for x, n in (("b", "bid"), ("m", "mid"), ("a", "ask")) for y in ("tenths", "reason")])
 
 
+def _chances(odds: DataFrame) -> DataFrame:
+    return odds.withColumns({c: F.round(c, 5) for c in ("p", "lower", "upper")})
+
+
 @query()
 def curve_qp_odds(spark: SparkSession, d: str) -> DataFrame:
-    return O.convex_odds(O.strikes(A.quotes(spark, d))).withColumn("p", F.round("p", 6))
+    """Chances of every usable quote from its expiry's nearest convex curve, or why there's none."""
+    rows = R.usable(A.option_surface(spark, d)).filter("reason is null")
+    return _chances(V.curve_odds(rows)).select("ticker", "expiry", "strike", "p", "lower", "upper", "reason", "held_out", "inside", "missed")
+
+
+@query()
+def curve_qp_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Of each ticker's curves: published chances, held-out quotes inside, reasons; held out are the quotes that the regime fit holds out."""
+    rows = R.usable(A.option_surface(spark, d)).filter("reason is null")
+    key = ["ticker", "expiry", "strike"]
+    held = matched(rows, R.fit_quotes(rows).filter("held_out").select(*key, F.lit(True).alias("held_out")), key).withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+    return V.curve_counters(V.curve_odds(held), ["ticker"])
 
 
 @query()
 def regime_odds(spark: SparkSession, d: str) -> DataFrame:
-    q = A.quotes(spark, d)
-    spot = q.groupBy("ticker", F.date_format("expiry", "yyyy-MM").alias("month")).agg(F.avg("spot").alias("spot"))
-    return O.regime_odds(O.strikes(q), spot)
+    """Chances of every contract of the surface by its ticker's regime model, or why there's none."""
+    rows = R.market_odds(A.option_surface(spark, d))
+    return _chances(rows).select("ticker", F.col("expiry").cast("string").alias("expiry"), "strike", "p", "lower", "upper", "reason", F.round("held_out_price", 4).alias("held_out_price"))
+
+
+@query()
+def regime_fits(spark: SparkSession, d: str) -> DataFrame:
+    """The regime model of each ticker, its error in spreads, or why it has none."""
+    good = R.usable(A.option_surface(spark, d)).filter("reason is null")
+    return R.fits(R.fit_quotes(good)).select("ticker", *[F.round(c, 3).alias(c) for c in R.PARAMETERS], F.round("rms", 4).alias("rms"), "fit_reason")
 
 
 def _candidate(name: str, methods: list[str]) -> None:

@@ -83,3 +83,27 @@ def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenario prices (sorted) of equal weight: id, prices."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.sort_array(F.transform("embedding", lambda x: F.floor(F.exp(x.cast("double")) * 1000000 + 0.5) / 10000.0)).alias("prices"))
+
+
+def option_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call quotes that belong together: of each brand, a two-regime price surface with the table's own noise and spreads.
+
+    ticker, expiry (a quarter's end), strike, spot, years, rate, bid, ask, oi, volume,
+    standard. Brands ending in 5 have noise beyond their spreads.
+    """
+    from strikeloom.operators.regimes import model_values
+
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    end = F.last_day(F.add_months(F.trunc("l_shipdate", "quarter"), 2))
+    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("ticker"), end.alias("expiry"), (650 + F.round((F.col("p_retailprice") - 900) * 6 / 25) * 25).alias("strike"))
+    rows = rows.agg(F.sum(F.col("l_quantity").cast("long")).alias("oi"), F.count("*").alias("volume"), F.avg("l_tax").alias("tax"), F.avg("l_discount").alias("discount"))
+    digit = lambda k: F.coalesce(F.substring("ticker", k, 1).try_cast("int"), F.lit(1))
+    model = [0.1 + 0.02 * digit(-2), 0.3 + 0.04 * digit(-1), F.lit(1.0) + 0.2 * digit(-2), F.lit(2.0)]
+    years = F.datediff("expiry", F.lit(TODAY).cast("date")) / 365.0
+    rows = rows.filter("strike > 0").withColumns({"spot": F.lit(950.0), "rate": F.lit(0.03), "years": years, "standard": F.lit(True)})
+    value = model_values(*[m.cast("double") for m in model], F.col("spot"), F.col("rate"), F.col("years"), F.col("strike"))["call"]
+    half = 0.08 + F.col("tax")
+    noise = (F.col("discount") - 0.05) / 0.05 * F.when(digit(-1) == 5, 40).otherwise(0.7) * half
+    mid = F.greatest(value, F.lit(0.0)) + noise
+    at = lambda x: F.round(F.greatest(x, F.lit(0.0)), 2)
+    return rows.select("ticker", "expiry", "strike", "spot", "years", "rate", at(mid - half).alias("bid"), at(mid + half).alias("ask"), "oi", "volume", "standard")

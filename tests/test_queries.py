@@ -9,7 +9,7 @@ import pytest
 from strikeloom.plans.catalogue import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"pooled_model", "curve_qp_odds", "regime_odds", "gjr_candidate", "markov_candidate", "egarch_candidate", "skew_candidate", "forecast_candidates"}
+SLOW = {"pooled_model", "gjr_candidate", "markov_candidate", "egarch_candidate", "skew_candidate", "forecast_candidates"}
 
 
 def plain(value):
