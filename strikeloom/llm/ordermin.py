@@ -23,7 +23,7 @@ texts are split or broadcast (``base.join_keys``). Work tables go at the end.
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,40 +82,89 @@ def sketch(shingles: np.ndarray, seeds: np.ndarray, width: int) -> np.ndarray:
     return value
 
 
-def paired(a: list[int], b: list[int], least: int) -> int:
+def paired(a: np.ndarray | list[int], b: np.ndarray | list[int], least: int) -> int:
     """Length of the longest common subsequence of ``a`` and ``b`` within the band that ``least`` pairs leave; 0 if under ``least``.
 
     An alignment with ``least`` pairs leaves at most len(a) - least of a and
-    len(b) - least of b unpaired, so no pair lies further off the diagonal. Rows
-    are bit vectors: a match may only use the bits inside the band.
+    len(b) - least of b unpaired, so no pair lies further off the diagonal. Where
+    shingles seldom repeat, the few matches in the band are chained one by one
+    (``chained``); else rows are bit vectors as wide as the band (``banded``).
     """
-    if sum((Counter(a) & Counter(b)).values()) < least:
+    a, b = np.asarray(a, np.uint64), np.asarray(b, np.uint64)
+    kinds, n = np.unique(a, return_counts=True)
+    others, m = np.unique(b, return_counts=True)
+    both, x, y = np.intersect1d(kinds, others, assume_unique=True, return_indices=True)
+    if np.minimum(n[x], m[y]).sum() < least:
         return 0
-    lead = 0
-    while lead < len(a) and lead < len(b) and a[lead] == b[lead]:
-        lead += 1
-    tail = 0
-    while tail < len(a) - lead and tail < len(b) - lead and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
+    size = min(len(a), len(b))
+    apart = np.flatnonzero(a[:size] != b[:size])
+    lead = int(apart[0]) if len(apart) else size
+    apart = np.flatnonzero(a[::-1][: size - lead] != b[::-1][: size - lead])
+    tail = int(apart[0]) if len(apart) else size - lead
     up, down = len(a) - least, len(b) - least  # how far a pair may lie above and below the diagonal
     a, b = a[lead : len(a) - tail], b[lead : len(b) - tail]
-    places: dict[int, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for j, x in enumerate(b):
-        low, high = max(0, j - down), j + up
-        if low >= len(a):
-            break
-        match = places.get(x, 0) >> low << low & (1 << high + 1) - 1
-        if match:
-            hit = row & match
-            row = (row + hit | row - hit) & full
-    found = lead + tail + len(a) - row.bit_count()
+    matches = int((n[x].astype(np.float64) * m[y]).sum())
+    rest = least - lead - tail
+    found = lead + tail + (chained if matches <= 4 * (len(a) + len(b)) + 4096 else banded)(a, b, up, down, rest)
     return found if found >= least else 0
 
 
+def chained(a: np.ndarray, b: np.ndarray, up: int, down: int, least: int) -> int:
+    """The longest chain of matches in the band, from the least ends of chains of each length; 0 once ``least`` is out of reach."""
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(a.tolist()):
+        places.setdefault(x, []).append(i)
+    ends: list[int] = []
+    for j, x in enumerate(b.tolist()):
+        if len(ends) + len(b) - j < least:
+            return 0
+        for i in reversed(places.get(x, ())):
+            if j - down <= i <= j + up:
+                if not ends or i > ends[-1]:
+                    ends.append(i)
+                else:
+                    ends[bisect_left(ends, i)] = i
+    return len(ends)
+
+
+def banded(a: np.ndarray, b: np.ndarray, up: int, down: int, least: int) -> int:
+    """The same by bit vectors: only the band's bits are held, those below it are counted as they leave; 0 once ``least`` is out of reach."""
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(a.tolist()):
+        places.setdefault(x, []).append(i)
+    masks: dict[int, tuple[int, int]] = {}  # bits of a shingle's places, from a place on
+    found, low, high = 0, 0, 0
+    row = 0
+    for j, x in enumerate(b.tolist()):
+        if found + len(b) - j + min(len(a) - low, up + down + 1) < least:
+            return 0
+        first, last = max(0, j - down), min(len(a), j + up + 1)
+        if first >= len(a):
+            break
+        if first > low:
+            gone = row & (1 << first - low) - 1
+            found += first - low - gone.bit_count()
+            row >>= first - low
+            low = first
+        if last > high:
+            row |= (1 << last - high) - 1 << high - low
+            high = last
+        if x in places:
+            base, bits = masks.get(x, (0, -1))
+            if bits < 0:
+                base, bits = places[x][0], 0
+                whole = bytearray((places[x][-1] - base) // 8 + 1)
+                for i in places[x]:
+                    whole[i - base >> 3] |= 1 << (i - base & 7)
+                bits = int.from_bytes(whole, "little")
+                masks[x] = base, bits
+            match = (bits >> low - base if low >= base else bits << base - low) & (1 << high - low) - 1
+            if match:
+                hit = row & match
+                row = (row + hit | row - hit) & (1 << high - low) - 1
+    return found + high - low - row.bit_count()
+
+
 def least_paired(n1: int, n2: int, similarity: float) -> int:
     """Fewest pairs with which texts of n1 and n2 shingles are near-duplicates."""
     k = int(similarity * (n1 + n2) / (1 + similarity))
@@ -129,7 +178,7 @@ def near(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     least = least_paired(len(a), len(b), similarity)
     if not len(a) or not len(b) or least > min(len(a), len(b)):
         return False
-    return paired(a.tolist(), b.tolist(), least) > 0
+    return paired(a, b, least) > 0
 
 
 def same_words(text: F.Column) -> F.Column:
