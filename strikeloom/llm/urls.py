@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeloom.llm.base import written
+from strikeloom.llm.base import join_keys, written
 
 ALLOW, BLOCK = "allow", "block"
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -156,20 +156,23 @@ GRAM = T.StructType([T.StructField("verdict", T.StringType()), T.StructField("gr
 
 #: A block has 2^BLOCK_BITS rows at most; its runs are looked up together.
 BLOCK_BITS = 9
+#: Characters of a URL from which on it isn't looked up with others.
+LONG = 4096
 LOOKED_UP = T.StructType([T.StructField("block_", T.LongType()), T.StructField("gram", T.StringType())])
 
 
 def in_blocks(urls: DataFrame, name: str) -> DataFrame:
-    """``urls``, written, with ``block_``: stretches of rows as they were written."""
-    return written(urls.withColumn("block_", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), name)
+    """``urls``, written, with ``block_``: stretches of rows as they were written; a long URL is a block of its own."""
+    row = F.monotonically_increasing_id()
+    return written(urls.withColumn("block_", F.when(F.length("url_") > LONG, -1 - row).otherwise(F.shiftright(row, BLOCK_BITS))), name)
 
 
 def scored(blocked: DataFrame, model: UrlModel) -> DataFrame:
     """``blocked`` (with ``url_``, never null) without ``block_`` and with the ``margin`` of each row.
 
-    A block asks once for each run that its URLs contain, so that no run, however
-    common, meets more rows than there are blocks, and no task holds more of the
-    model than a block needs.
+    A block asks once for each run that its URLs contain, so that no task holds more
+    of the model than a block needs. Runs that many blocks ask for are broadcast, so
+    that no task gets all who ask for one (``join_keys``).
     """
     order = model.order
     names = [c for c in blocked.columns if c != "block_"]
@@ -198,7 +201,9 @@ def scored(blocked: DataFrame, model: UrlModel) -> DataFrame:
         own = ratio(runs, order)
         return rows.select(names).append_column("margin", pa.array([own.margin(u) for u in rows.column("url_").to_pylist()], pa.float64()))
 
-    runs = blocked.select("block_", "url_").mapInArrow(ask, LOOKED_UP).join(model.table, "gram")
+    asked = written(blocked.select("block_", "url_").mapInArrow(ask, LOOKED_UP), "url-asked")
+    known = written(asked.groupBy("gram").agg(F.count("*").alias("asked_")).join(model.table, "gram"), "url-known")
+    runs = join_keys(asked, known, "gram", "asked_", asked.count())
     return blocked.groupBy("block_").cogroup(runs.groupBy("block_")).applyInArrow(score, schema)
 
 
