@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strikeloom.llm.base import slices
+
 OPEN, BODY, CLOSE = "<|turn|>", "\n", "<|end|>\n"
 CONTROL = ("<|turn|>", "<|end|>", "<|image:", "<|audio:", "<|document:", "<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _STARTS = re.compile(f"(?=(?:{'|'.join(map(re.escape, CONTROL))}))(.)")
@@ -43,6 +45,11 @@ class Flat:
     attachments: list[dict] = field(default_factory=list)
     tokens: int = 0
     text_tokens: int = 0
+    length: int = 0  # of all of ``text``
+
+    def add(self, text: str) -> None:
+        self.text.append(text)
+        self.length += len(text)
 
 
 class PartVisitor:
@@ -67,7 +74,7 @@ class PartVisitor:
 
     def visit_text(self, part: dict, flat: Flat) -> None:
         text = part.get("text") or ""
-        flat.text.append(escape(text))
+        flat.add(escape(text))
         flat.text_tokens += -(-len(text.encode()) // 4)
 
     def visit_image(self, part: dict, flat: Flat) -> None:
@@ -83,8 +90,8 @@ class PartVisitor:
         self.attach("unknown", part, 0, flat)
 
     def attach(self, kind: str, part: dict, tokens: int, flat: Flat) -> None:
-        at = sum(map(len, flat.text))
-        flat.text.append(f"<|{kind}:{self.count}|>")
+        at = flat.length
+        flat.add(f"<|{kind}:{self.count}|>")
         flat.attachments.append({"number": self.count, "kind": kind if kind != "unknown" else part["type"], "ref": part.get("ref"), "at": at, "tokens": tokens})
         flat.tokens += tokens
         self.count += 1
@@ -121,9 +128,9 @@ def format_conversations(turns: DataFrame, learned: tuple[str, ...] = ("assistan
         now: tuple | None = None
         visitor, position, at = PartVisitor(), 0, 0
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
+            for part in slices(batch, 500):
                 out = []
-                for r in batch.slice(begin, 500).to_pylist():
+                for r in part.to_pylist():
                     if now != (r["conv_id"],):
                         now, visitor, position, at = (r["conv_id"],), PartVisitor(), 0, 0
                     flat = visitor.visit(r["parts"])
@@ -171,9 +178,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return {"conv_id": now[0], "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": loss, "loss_sha256": learned.hexdigest(), "formatted_chars": chars}
 
         fields = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch, 500)):
             out = []
-            for r in batch.to_pylist():
+            for r in part.to_pylist():
                 if now != (r["conv_id"],):
                     if now is not None:
                         out.append(ended())
