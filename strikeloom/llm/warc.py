@@ -171,10 +171,13 @@ def dictionary_of(data: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT if data[:4] == DICTIONARY else zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def frames_of(uri: str, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
-    """Offset and decoded bytes of each frame of an archive; the dictionary frame comes first or not at all."""
+def frames_of(uri: str, chunk: int = 1 << 16) -> Iterator[tuple[int, bytes]]:
+    """Offset and decoded bytes of each frame of an archive; the dictionary frame comes first or not at all.
+
+    What follows a frame in its chunk is copied, so chunks are small; the store is read in larger buffers.
+    """
     store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(path, compression=None) as file:
+    with store.open_input_stream(path, compression=None, buffer_size=1 << 20) as file:
         data, at, words = file.read(8), 0, None
         if len(data) == 8 and struct.unpack("<I", data[:4])[0] == DICTIONARY_FRAME:
             size = struct.unpack("<I", data[4:])[0]
@@ -306,7 +309,8 @@ def read_archives(files: DataFrame, payloads: bool = True, strict: bool = False)
                     yield pa.RecordBatch.from_pylist(held, schema=fields)
 
     names = written(files.select("file").filter("file is not null").distinct(), "warc-files")
-    return names.repartition(max(1, names.count())).mapInArrow(read, RECORD)
+    n = names.count()  # a task a file while there are few, beyond that several a task
+    return names.repartition(max(1, min(n, max(4 * files.sparkSession.sparkContext.defaultParallelism, n // 16)))).mapInArrow(read, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
