@@ -164,13 +164,13 @@ class MergeEncoder:
         ends = list(range(1, size + 1))
         for end, length in self.matcher.iter(text):  # longer matches of a start come later
             ends[end - length + 1] = end + 1
-        shorter, fits, failed, at, tokens, last = self.shorter.get, self.fits.get, 0, 0, [], ""
+        shorter, fits, failed, at, tokens, last = self.shorter.get, self.fits.get, None, 0, [], ""
         end = ends[0] if size else 0
         while at < size:
             token: str | None = text[at:end]
             row = fits(last, NONE)
             while True:
-                if not (failed and failed >> end & 1):
+                if not (failed and failed[end >> 3] >> (end & 7) & 1):
                     if not at:
                         break
                     fit = row.get(token)
@@ -178,7 +178,8 @@ class MergeEncoder:
                         break
                 token = shorter(token)
                 while token is None:  # nothing fits here: step back, and shorten the token before
-                    failed |= 1 << at
+                    failed = failed or bytearray(size // 8 + 1)  # one bit a position, once any has failed
+                    failed[at >> 3] |= 1 << (at & 7)
                     token = tokens.pop()
                     at -= len(token)
                     last = tokens[-1] if tokens else ""
