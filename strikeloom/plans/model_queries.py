@@ -18,6 +18,7 @@ from strikeloom.plans.oracle import sql
 from strikeloom.plans.registry import query
 from strikeloom.sources import adapters as A
 from strikeloom.streaming import capture as C
+from strikeloom.streaming import timers as S
 
 
 @query()
@@ -144,3 +145,50 @@ def stream_capture_windows(spark: SparkSession, d: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     events = _stream(spark, d).withColumn("session", F.to_date("at").cast("string"))
     return C.drain(C.deduplicated(events, ["contract", "kind", "session"], "40 days").select("contract", "kind", "session"), "append", "dedup").drop("batch")
+
+
+TIMED = """t AS (SELECT contract, arg_min(ms + (row_id % 48) * 3600000, (ms, row_id)) AS expiry FROM e WHERE kind = 'signup' GROUP BY contract), u AS (SELECT max(ms) - 60000 AS until FROM e),
+  said AS (SELECT contract, CASE kind WHEN 'purchase' THEN 1 ELSE 2 END AS source, ms, row_id, 100 + (row_id % 3) * 0.004::DOUBLE AS close FROM e WHERE kind IN ('purchase', 'view')),
+  span AS (SELECT contract, source, close, ms, coalesce(lead(ms) OVER (PARTITION BY contract, source ORDER BY ms, row_id), 1::BIGINT << 60) AS upto FROM said),
+  c AS (SELECT contract, expiry, expiry AS due, 1 AS revision FROM t, u WHERE expiry <= until
+        UNION ALL SELECT c.contract, c.expiry, c.due + CASE WHEN abs(a.close - b.close) <= 0.005::DOUBLE THEN 86400000 ELSE 3600000 END, c.revision + 1
+        FROM c LEFT JOIN span a ON a.contract = c.contract AND a.source = 1 AND a.ms <= c.due AND c.due < a.upto LEFT JOIN span b ON b.contract = c.contract AND b.source = 2 AND b.ms <= c.due AND c.due < b.upto, u
+        WHERE c.due + CASE WHEN abs(a.close - b.close) <= 0.005::DOUBLE THEN 86400000 ELSE 3600000 END <= least(until, c.expiry + 259200000))"""
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id AS row_id, user_id AS contract, event_type AS kind, epoch_us(ts) // 1000 AS ms FROM events), {TIMED}
+SELECT c.contract, c.due AS checked_at, c.revision::BIGINT AS revision, CASE WHEN a.close IS NULL OR b.close IS NULL THEN 'pending' WHEN abs(a.close - b.close) > 0.005::DOUBLE THEN 'excluded' ELSE 'valid' END AS status,
+  CASE WHEN a.close IS NULL THEN 'no_first_source' WHEN b.close IS NULL THEN 'no_second_source' WHEN abs(a.close - b.close) > 0.005::DOUBLE THEN 'sources_disagree' END AS reason, CASE WHEN abs(a.close - b.close) <= 0.005::DOUBLE THEN round(a.close * 1000)::BIGINT END AS close_mills
+FROM c LEFT JOIN span a ON a.contract = c.contract AND a.source = 1 AND a.ms <= c.due AND c.due < a.upto LEFT JOIN span b ON b.contract = c.contract AND b.source = 2 AND b.ms <= c.due AND c.due < b.upto""")
+def stream_label_timers(spark: SparkSession, d: str) -> DataFrame:
+    """Every check of every contract's label: at its expiry, an hour after a failure, a day after a success, for three days."""
+    e = C.source(spark, f"{d}/events.parquet")
+    source = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "view", 2).otherwise(3)
+    at = F.col("ts").cast("timestamp")
+    rows = e.select(F.col("user_id").alias("contract"), at.alias("at"), F.col("event_id").alias("row"), source.alias("source"), (100 + F.col("event_id") % 3 * 0.004).alias("close"), (F.unix_millis(at) + F.col("event_id") % 48 * S.HOUR).alias("expiry"))
+    labels = S.drained(S.label_checks(rows), "label-timers")
+    return labels.select("contract", "checked_at", "revision", "status", "reason", F.round(F.col("close") * 1000).cast("long").alias("close_mills"))
+
+
+FANNED = ["lognormal", "gjr", "student_t", "iv_physical", "earnings_jump"]
+
+
+@query(f"""WITH e AS (SELECT event_id AS row_id, user_id AS contract, 'T' || (user_id % 9) AS ticker, epoch_us(ts) // 1000 AS ms, CASE WHEN event_type <> 'error' THEN event_type END AS data_hash, event_id % 40 AS horizon FROM events),
+f AS (SELECT ticker, arg_max(data_hash, (ms, row_id)) FILTER (data_hash IS NOT NULL) AS fitted FROM e GROUP BY 1), m AS (SELECT unnest({FANNED!r}) AS method),
+k AS (SELECT ticker, method, CASE WHEN method <> 'gjr' THEN fitted END AS fitted, CASE WHEN method = 'gjr' THEN 'gjr_history_short' END AS why FROM f, m WHERE method IN ('lognormal', 'gjr') OR method = 'student_t' AND ticker < 'T5'),
+w AS (SELECT *, ms // 86400000 AS w, row_number() OVER (PARTITION BY ticker, ms // 86400000, contract, data_hash ORDER BY ms, row_id) AS again FROM e),
+r AS (SELECT *, CASE WHEN again = 1 THEN sum((again = 1)::INT) OVER (PARTITION BY ticker, w ORDER BY ms, contract, row_id) END AS place FROM w),
+x AS (SELECT r.*, m.method, CASE WHEN again > 1 THEN 'already_captured' WHEN place > 8 THEN 'shadow_capacity_exceeded' WHEN data_hash IS NULL THEN 'completed_close_forecast_unavailable' WHEN horizon > 25 AND m.method <> 'lognormal' THEN 'candidate_horizon_unsupported'
+  WHEN m.method = 'iv_physical' THEN 'rights_cleared_option_history_unavailable' WHEN m.method = 'earnings_jump' THEN 'verified_release_time_history_unavailable' WHEN k.method IS NULL OR k.fitted IS NULL AND k.why IS NULL THEN 'candidate_not_prepared' WHEN k.why IS NOT NULL THEN k.why WHEN k.fitted <> data_hash THEN 'input_vintage_changed' END AS reason
+  FROM r CROSS JOIN m LEFT JOIN k ON k.ticker = r.ticker AND k.method = m.method)
+SELECT ticker, contract, row_id AS row, method, CASE WHEN reason = 'shadow_capacity_exceeded' THEN 'capacity' WHEN reason IS NULL THEN 'issued' ELSE 'rejected' END AS outcome, reason FROM x""")
+def stream_capture_fanout(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a capture attempt, fanned out to five methods: eight different ones a ticker and day, the others as capacity rows or repeats."""
+    ticker = F.concat(F.lit("T"), (F.col("user_id") % 9).cast("string"))
+    data = F.when(F.col("event_type") != "error", F.col("event_type"))
+    shape = lambda e: e.select(F.col("user_id").alias("contract"), ticker.alias("ticker"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("row"), data.alias("data_hash"), (F.col("event_id") % 40).alias("horizon"))
+    fitted = shape(A.table(spark, d, "events")).filter("data_hash is not null").groupBy("ticker").agg(F.max_by("data_hash", F.struct("at", "row")).alias("fitted"))
+    fitted = fitted.withColumn("method", F.explode(F.array(*[F.lit(m) for m in FANNED[:3]]))).filter("method != 'student_t' or ticker < 'T5'")
+    fitted = fitted.select("ticker", "method", F.when(F.col("method") != "gjr", F.col("fitted")).alias("data_hash"), F.when(F.col("method") == "gjr", "gjr_history_short").alias("fit_reason"))
+    rows = S.drained(S.fanned_out(shape(C.source(spark, f"{d}/events.parquet")), fitted, FANNED, window=S.DAY), "capture-fan-out")
+    return rows.select("ticker", "contract", "row", "method", "outcome", "reason")
