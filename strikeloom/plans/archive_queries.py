@@ -213,3 +213,21 @@ def corporate_action_interval(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("cal", "SELECT session::VARCHAR AS session, ordinal FROM cal WHERE (ordinal - 1) % 26 = 0 ORDER BY cal.session DESC LIMIT 40"))
 def every_26th_session(spark: SparkSession, d: str) -> DataFrame:
     return S.every_kth(A.calendar(spark, d), 26, 40).withColumn("session", F.col("session").cast("string"))
+
+
+@query("""WITH e AS (SELECT *, 'O:U' || (user_id % 40) AS ticker, ts::DATE AS day, value * 1.0 AS open FROM events), l AS (SELECT ticker, day, max(event_id) AS event_id FROM e WHERE user_id % 40 < 30 GROUP BY 1, 2)
+SELECT ticker, day::VARCHAR AS day, epoch_ms(timezone('America/New_York', day::TIMESTAMP))::BIGINT AS t, floor(value * 100 + 0.5::DOUBLE)::BIGINT AS c_cents, user_id::BIGINT AS n FROM l JOIN e USING (ticker, day, event_id)""")
+def flat_day_files(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as day files of bars and read back by the day-file source: the last bar of each wanted ticker and day."""
+    from strikeloom.sources import flatfiles as X
+    from strikeloom.sources.scratch import scratch_dir
+
+    ticker = F.concat(F.lit("O:U"), (F.col("user_id") % 40).cast("string"))
+    e = A.table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    noon = F.unix_seconds(F.to_timestamp(F.concat(F.to_date("ts").cast("string"), F.lit(" 17:00:00")))) * 1_000_000_000
+    rows = e.select(ticker.alias("ticker"), F.lit(1).alias("volume"), *[F.col("value").alias(c) for c in ("open", "close", "high", "low")], noon.alias("window_start"), F.col("user_id").alias("transactions"), F.to_date("ts").alias("day"), "event_id")
+    folder = scratch_dir(spark, "day-files")
+    rows.repartition("day").sortWithinPartitions("day", "event_id").drop("event_id").write.partitionBy("day").option("header", True).option("compression", "gzip").csv(folder)
+    wanted = rows.filter(F.col("transactions") % 40 < 30).select("ticker")
+    bars = X.flat_bars(X.read_days(spark, folder), wanted)
+    return bars.select("ticker", F.col("day").cast("string").alias("day"), "t", F.floor(F.col("c") * 100 + 0.5).cast("long").alias("c_cents"), "n")
