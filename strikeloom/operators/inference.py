@@ -146,13 +146,14 @@ def representatives(stats: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def evaluated(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
+def evaluated(rows: DataFrame, baseline: str, candidate: str, carry: tuple[str, ...] = (), paired: tuple[str, ...] = ()) -> DataFrame:
     """The candidate against the baseline contract by contract: ticker, origin, horizon, contract, ``outcome`` and both probabilities.
 
     The first baseline of a unit (ticker, origin, horizon) fixes the input vintage;
     rows of others don't count, and of a contract and method the first issued does.
     ``outcome`` is ``scored`` or the first reason why not. ``rows``: these columns,
-    method, issued, seq, vintage, probability, reason, itm.
+    method, issued, seq, vintage, probability, reason, itm. Columns ``carry`` come back
+    from the candidate's row, ``paired`` ones from both (``x_base``, ``x_candidate``).
     """
     unit = ["ticker", "origin", "horizon"]
     base = rows.filter(F.col("method") == baseline)
@@ -160,7 +161,7 @@ def evaluated(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
     own = rows.filter(F.col("method").isin(baseline, candidate)).join(chosen.withColumn("has", F.lit(True)), unit, "left")
     orphans = own.filter((F.col("method") == candidate) & F.col("has").isNull()).select(*unit, "contract").distinct()
     kept = own.filter(F.col("has") & F.col("vintage").eqNullSafe(F.col("chosen")) & ((F.col("method") == baseline) | F.col("vintage").isNotNull()))
-    first = lambda m: F.min_by(F.struct("probability", "reason", "itm", "vintage"), F.when(F.col("method") == m, F.struct("issued", "seq")))
+    first = lambda m: F.min_by(F.struct("probability", "reason", "itm", "vintage", *carry, *paired), F.when(F.col("method") == m, F.struct("issued", "seq")))
     both = kept.groupBy(*unit, "contract").agg(first(baseline).alias("b"), first(candidate).alias("c"))
     b, c = F.col("b"), F.col("c")
     bad = lambda p: ~p.between(0, 1)
@@ -174,9 +175,9 @@ def evaluated(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
         .when(bad(b["probability"]) | bad(c["probability"]), "invalid_probability")
         .otherwise("scored")
     )
-    out = both.select(*unit, "contract", outcome.alias("outcome"), b["probability"].alias("p_base"), c["probability"].alias("p_candidate"), b["itm"].alias("itm"))
+    out = both.select(*unit, "contract", outcome.alias("outcome"), b["probability"].alias("p_base"), c["probability"].alias("p_candidate"), b["itm"].alias("itm"), *[c[x].alias(x) for x in carry], *[side[x].alias(f"{x}_{name}") for x in paired for side, name in ((b, "base"), (c, "candidate"))])
     none = F.lit(None).cast("double")
-    return out.unionByName(orphans.select(*unit, "contract", F.lit("baseline_not_issued").alias("outcome"), none.alias("p_base"), none.alias("p_candidate"), F.lit(None).cast("boolean").alias("itm")))
+    return out.unionByName(orphans.select(*unit, "contract", F.lit("baseline_not_issued").alias("outcome"), none.alias("p_base"), none.alias("p_candidate"), F.lit(None).cast("boolean").alias("itm")), allowMissingColumns=True)
 
 
 def unit_deltas(rows: DataFrame) -> DataFrame:
