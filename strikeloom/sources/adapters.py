@@ -95,7 +95,7 @@ def option_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     end = F.last_day(F.add_months(F.trunc("l_shipdate", "quarter"), 2))
-    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("ticker"), end.alias("expiry"), (650 + F.round((F.col("p_retailprice") - 900) * 6 / 25) * 25).alias("strike"))
+    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("ticker"), end.alias("expiry"), (650 + F.round(F.pmod((F.col("p_retailprice") - 900) * 60, F.lit(600.0)) / 25) * 25).alias("strike"))
     rows = rows.agg(F.sum(F.col("l_quantity").cast("long")).alias("oi"), F.count("*").alias("volume"), F.avg("l_tax").alias("tax"), F.avg("l_discount").alias("discount"))
     digit = lambda k: F.coalesce(F.substring("ticker", k, 1).try_cast("int"), F.lit(1))
     model = [0.1 + 0.02 * digit(-2), 0.3 + 0.04 * digit(-1), F.lit(1.0) + 0.2 * digit(-2), F.lit(2.0)]
