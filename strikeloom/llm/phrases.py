@@ -31,7 +31,7 @@ LEAST = 100
 #: Rows of a sketch, and cells that travel together.
 ROWS, SLICE = 2, 1 << 16
 #: Cells of a row for each byte of text, and the least and most of them.
-PER_BYTE, FEWEST, MOST_CELLS = 1 / 12, 1 << 16, 1 << 27
+PER_BYTE, FEWEST, MOST_CELLS = 1 / 12, 1 << 16, 1 << 26
 #: Bytes that are looked at together.
 PART = 1 << 21
 SPLIT = b".,;:!?\x0a\x0b\x0c\r"
