@@ -33,7 +33,7 @@ ROWS, SLICE = 2, 1 << 16
 #: Cells of a row for each byte of text, and the least and most of them.
 PER_BYTE, FEWEST, MOST_CELLS = 1 / 12, 1 << 16, 1 << 26
 #: Bytes that are looked at together.
-PART = 1 << 21
+PART = 1 << 20
 SPLIT = b".,;:!?\x0a\x0b\x0c\r"
 COLUMNS = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
 
