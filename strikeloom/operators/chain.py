@@ -196,10 +196,15 @@ def panel_cells(quotes: DataFrame, contract: list[str]) -> DataFrame:
 
 
 def rank_stability(first: DataFrame, second: DataFrame, group: list[str], contract: list[str]) -> DataFrame:
-    """Spearman correlation of two rankings over the contracts that both have, and how many of the top three they share."""
+    """Spearman correlation of two rankings over the contracts that both have, and how many of the top three they share.
+
+    Squares and cubes of ranks are exact at any size: a rank is an int, its square isn't.
+    """
     w1, w2 = W.partitionBy(*group).orderBy("r1"), W.partitionBy(*group).orderBy("r2")
     both = first.select(*group, *contract, F.col("rank").alias("r1")).join(second.select(*group, *contract, F.col("rank").alias("r2")), [*group, *contract])
     both = both.withColumns({"a": F.row_number().over(w1), "b": F.row_number().over(w2)})
-    n, d = F.count("*"), F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))
-    rho = F.when(n >= 2, 1 - 6.0 * d / (n * (n * n - 1)))
+    apart = F.col("a").cast("long") - F.col("b")
+    n, d = F.count("*"), F.sum((apart * apart).cast("decimal(20,0)")).cast("double")
+    m = n.cast("decimal(12,0)")
+    rho = F.when(n >= 2, 1 - 6.0 * d / (m * (m * m - 1)).cast("double"))
     return both.groupBy(*group).agg(n.alias("matched"), M.e4(rho).alias("spearman_e4"), F.count_if((F.col("r1") <= 3) & (F.col("r2") <= 3)).alias("top3_shared"))
