@@ -29,10 +29,16 @@ def pairs(scores: DataFrame, baseline: str, metrics: list[str]) -> DataFrame:
 
 
 def units(paired: DataFrame, metrics: list[str]) -> DataFrame:
-    """Means of candidate and baseline over the contracts of a unit where both are known, one row for each unit and metric."""
-    rows = paired.select(*UNIT, "expiry", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("c"), F.col(f"base_{m}").alias("b")) for m in metrics])).alias("x")).select(*UNIT, "expiry", "x.*")
+    """Means of candidate and baseline over the contracts of a unit where both are known, one row for each unit and metric.
+
+    A unit's cells, one for each contract of a chain, are added in order of contract, so that means are the same in every run.
+    """
+    rows = paired.select(*UNIT, "expiry", "contract", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("c"), F.col(f"base_{m}").alias("b")) for m in metrics])).alias("x")).select(*UNIT, "expiry", "contract", "x.*")
     known = F.col("c").isNotNull() & F.col("b").isNotNull() & ~F.isnan("c") & ~F.isnan("b")
-    return rows.filter(known).groupBy(*UNIT, "metric").agg(F.min("expiry").alias("expiry"), F.avg("c").alias("candidate"), F.avg("b").alias("baseline"), F.count("*").alias("cells"))
+    cells = F.array_sort(F.collect_list(F.struct("contract", "expiry", "c", "b")))
+    once = rows.filter(known).groupBy(*UNIT, "metric").agg(F.min("expiry").alias("expiry"), cells.alias("cells_"), F.count("*").alias("cells"))
+    mean = lambda x: F.aggregate("cells_", F.lit(0.0), lambda a, s: a + s[x]) / F.col("cells")
+    return once.select(*UNIT, "metric", "expiry", mean("c").alias("candidate"), mean("b").alias("baseline"), "cells")
 
 
 def schedule(sessions: DataFrame) -> DataFrame:

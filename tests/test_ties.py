@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strikeloom.operators import chain
+from strikeloom.functions import dist, money
+from strikeloom.operators import chain, inference
 
 
 def test_ranks_whose_squared_distance_is_no_int(spark):
@@ -12,3 +13,14 @@ def test_ranks_whose_squared_distance_is_no_int(spark):
     first = spark.range(n).select(F.lit("a").alias("g"), "id", (F.col("id") + 1).cast("int").alias("rank"))
     second = first.withColumn("rank", (n + 1 - F.col("rank")).cast("int"))
     assert [tuple(r) for r in chain.rank_stability(first, second, ["g"], ["id"]).collect()] == [("a", n, -10_000, 0)]
+
+
+def test_scores_halfway_are_those_of_all_pairs(spark):
+    prices = [93.3086, 97.0445, 103.3729, 119.8426]
+    pairs = 0.0
+    for a in reversed(prices):
+        for b in prices:
+            pairs += abs(a - b)
+    want = sum(abs(a - 101.5) for a in prices) / 4 - pairs / 16 / 2
+    df = spark.createDataFrame([(prices,)], "p array<double>")
+    assert df.select(money.e4(dist.crps(F.col("p"), F.lit(101.5)))).first()[0] == 28450 == int(want * 10_000 + 0.5)
