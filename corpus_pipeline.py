@@ -32,12 +32,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the scorer trained on weak labels keeps.
 
     A null text is scored as an empty one; equal texts have equal scores; ids only
-    choose the sample, a null one like any other.
+    choose the block that a document is learned in, a null one like any other.
     """
-    from strikeloom.llm.weaklabels import classify, fit
+    from strikeloom.llm.weaklabels import fit_classify
 
     own, back = set_apart(docs, "doc_id", "text")
-    return classify(own, fit(own)).filter("quality_kept").select(*back)
+    return fit_classify(own, own.columns).filter("quality_kept").select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

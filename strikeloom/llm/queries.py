@@ -35,10 +35,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by a scorer trained on weak labels."""
-    from strikeloom.llm.weaklabels import classify, fit
+    from strikeloom.llm.weaklabels import fit_classify
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return classify(docs, fit(docs)).select("doc_id", "quality_score", "weak_label", F.col("quality_kept").alias("kept"))
+    return fit_classify(docs, ["doc_id"]).select("doc_id", "quality_score", "weak_label", F.col("quality_kept").alias("kept"))
 
 
 #: Rules of the URL query.

@@ -3,8 +3,8 @@
 Heuristic labellers vote good (1), bad (0) or nothing (-1) on every document.
 Expectation-maximisation over the counts of vote patterns, of all documents,
 estimates how often each labeller is right; the posterior of a document's pattern
-is its label. A linear scorer over hashed features is trained with these labels on
-a bounded sample, and scores all documents.
+is its label. A linear scorer over hashed features is trained with these labels in
+blocks of documents, the mean of all blocks' weights scores all documents.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +27,9 @@ from strikeloom.llm.base import arrow_map, text_of, written
 GOOD, BAD, NONE = 1, 0, -1
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset("the of and to in is that it for was on are as with be by this he at from der die und das von zu den mit ist im des ein eine nicht für auf sich le la les et des un une du en que qui est dans pour par sur au avec el los las y del se por con una su para es al".split())
+#: Thresholds that are tried; weights are summed in steps of 1 / FIXED; features that a block has at most, about.
+STEPS, FIXED, BLOCK_FEATURES = [k / 100 for k in range(1, 100)], float(1 << 40), 8_000_000
+_SCORES = [T.StructField("quality_score", T.DoubleType()), T.StructField("weak_label", T.DoubleType()), T.StructField("quality_kept", T.BooleanType())]
 _SHAPE = bytes(b"A"[0] if 65 <= b <= 90 else b"a"[0] if 97 <= b <= 122 or b >= 128 else b"0"[0] if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+")
 
@@ -200,69 +204,136 @@ def chance(weights: np.ndarray, at: np.ndarray, x: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(weights[at] @ x + weights[-1], -30, 30))))
 
 
-def cut(scored: list[tuple[float, float]], good_cost: float) -> float:
+def step_of(score: float) -> int:
+    """How many of the thresholds 0.01 to 0.99 a score reaches."""
+    return int(np.searchsorted(STEPS, score, side="right"))
+
+
+def cut(scored: dict[tuple[int, float], int], good_cost: float) -> float:
     """The score from which on to keep, of hundredths: where ``good_cost`` for each good document lost and 1 for each bad one kept are least.
 
-    ``scored`` has scores and posteriors; of several such scores it's the middle one.
+    ``scored`` counts documents by step and posterior; of several such scores it's the middle one.
     """
-    steps = [k / 100 for k in range(1, 100)]
-    costs = [round(sum(good_cost * y if s < t else 1 - y for s, y in scored), 9) for t in steps]
-    least = [t for t, c in zip(steps, costs, strict=True) if c == min(costs)]
+    costs = [round(sum(n * (good_cost * y if step <= k else 1 - y) for (step, y), n in sorted(scored.items())), 9) for k in range(len(STEPS))]
+    least = [t for t, c in zip(STEPS, costs, strict=True) if c == min(costs)]
     return least[len(least) // 2]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, bits: int = 17, features: int = 8_000_000, good_cost: float = 4.0) -> QualityModel:
-    """Label model from all documents, scorer from a sample of about ``sample`` different ones.
+_OWN = [T.StructField("pattern", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))]
 
-    The sample takes documents whose hash of id and text is below a bound set by
-    the count of all, equal ones once, so its size doesn't grow with the input; in
-    order of the hash, it ends before ``features`` features. What reaches the driver
-    is the pattern counts (at most 3 to the number of labellers) and the sample's
-    features. The threshold comes from the fifth of the sample that isn't trained
-    on: losing a good document costs ``good_cost`` times keeping a bad one.
-    Null texts are empty ones, null ids choose like any other; other columns aren't
-    read; an empty table gives a model that knows nothing.
-    """
-    shape = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("hash_", T.LongType())])
+
+def _seen(docs: DataFrame, id_col: str, text_col: str, bits: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pattern, at, x and hash_ (of id and text) of every document, and its columns ``keep`` as ``kept 0`` and so on, written."""
     text = text_of(text_col)
-    rows = docs.select(text.alias("text_"), F.xxhash64(F.col(id_col).cast("string"), text).alias("hash_"))
+    rows = docs.select(text.alias("text_"), F.xxhash64(F.col(id_col).cast("string"), text).alias("hash_"), *[F.col(c).alias(f"kept {i}") for i, c in enumerate(keep)])
+    schema = T.StructType([*_OWN, *rows.schema.fields[1:]])
 
-    def label():
+    def look():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([votes(signs(t)) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=shape.names)
+            found = [(votes(s), *featured(s, bits)) for s in map(signs, batch.column(0).to_pylist())]
+            own = [pa.array([p for p, *_ in found], pa.string()), pa.array([a for _, a, _ in found], pa.list_(pa.int32())), pa.array([x for *_, x in found], pa.list_(pa.float32()))]
+            return pa.RecordBatch.from_arrays([*own, *batch.columns[1:]], names=schema.names)
 
         return step
 
-    patterns = written(arrow_map(rows, label, shape).groupBy("pattern").agg(F.count("*").alias("n")), "patterns")
-    counts = {r["pattern"]: r["n"] for r in patterns.collect()}
+    return written(arrow_map(rows, look, schema, rows=500), "signs")
+
+
+def _arrays(at: pa.Array, x: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    ends, numbers, values = np.asarray(at.offsets), at.values.to_numpy(), x.values.to_numpy()
+    return [(numbers[a:b], values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _fitted(seen: DataFrame, bits: int, block: int, features: int | None, good_cost: float) -> QualityModel:
+    """The model of what ``_seen`` has: labels from all patterns, weights as means over blocks, the threshold from what no block was trained on."""
+    sums = {r["pattern"]: r for r in seen.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.size("at")).alias("size")).collect()}
+    counts = {p: r["n"] for p, r in sums.items()}
     labels = fit_labels(counts)
-    total = sum(counts.values())
-    most = int(min(1.0, sample / max(1, total)) * (1 << 62))
+    if not counts:
+        return QualityModel(labels, train([], bits), bits, cut({}, good_cost))
     posterior = {p: labels.posterior(p) for p in counts}
-    kind = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType())), T.StructField("y", T.DoubleType()), T.StructField("hash_", T.LongType())])
+    blocks = max(-(-sum(counts.values()) // block), -(-sum(r["size"] for r in sums.values()) // BLOCK_FEATURES))
+    rows = seen.select("pattern", "at", "x", "hash_")
+    if features is not None:
+        # only on demand: the first so many features in order of the hash
+        sizes = rows.groupBy("hash_").agg(F.first(F.size("at")).alias("n"))
+        last = sizes.withColumn("upto_", F.sum("n").over(W.orderBy("hash_"))).filter(F.col("upto_") <= features).agg(F.max("hash_")).first()[0]
+        rows, blocks = rows.filter(F.col("hash_") <= F.lit(last)) if last is not None else rows.filter("false"), 1
+    share = F.col("hash_").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))
+    rows = rows.withColumn("block_", F.least(F.floor(share * blocks), F.lit(blocks - 1)).cast("int")).repartition("block_")
+    rows = rows.groupBy("block_", "hash_").agg(*[F.first(c).alias(c) for c in ("pattern", "at", "x")])
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("hash_").combine_chunks()
+        pattern, at, x = (table[c].combine_chunks() for c in ("pattern", "at", "x"))
+        found = [(*ax, posterior[p]) for ax, p in zip(_arrays(at, x), pattern.to_pylist(), strict=True)]
+        weights = train([r for i, r in enumerate(found) if i % 5], bits)
+        used, apart = np.flatnonzero(weights), np.arange(0, len(found), 5)
+        none = lambda n, kind: pa.nulls(n, kind)
+        own = [pa.concat_arrays([pa.array(used, pa.int32()), none(len(apart), pa.int32())]), pa.concat_arrays([pa.array(np.rint(weights[used] * FIXED).astype(np.int64)), none(len(apart), pa.int64())])]
+        rest = [pa.concat_arrays([none(len(used), v.type), v.take(pa.array(apart))]) for v in (at, x, pa.array([y for *_, y in found], pa.float64()))]
+        return pa.table([*own, *rest], names=["number", "weight", "at", "x", "y"])
+
+    learned = written(rows.groupBy("block_").applyInArrow(learn, "number int, weight long, at array<int>, x array<float>, y double"), "learned")
+    # sums of whole numbers: the same in any order
+    means = learned.filter("number is not null").groupBy("number").agg(F.sum(F.col("weight").cast("decimal(20,0)")).cast("double").alias("w")).toArrow()
+    weights = np.zeros((1 << bits) + 1)
+    weights[means["number"].to_numpy()] = means["w"].to_numpy() / FIXED / blocks
+    shared = seen.sparkSession.sparkContext.broadcast(weights)
+
+    def place():
+        w = shared.value
 
-    def feature():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for t in batch.column(0).to_pylist():
-                s = signs(t)
-                p = votes(s)
-                out.append((*featured(s, bits), posterior[p] if p in posterior else labels.posterior(p)))
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _, _ in out], pa.list_(pa.int32())), pa.array([x for _, x, _ in out], pa.list_(pa.float32())), pa.array([y for *_, y in out], pa.float64()), batch.column(1)], names=kind.names)
+            return pa.RecordBatch.from_arrays([pa.array([step_of(chance(w, *ax)) for ax in _arrays(batch.column(0), batch.column(1))], pa.int32()), batch.column(2)], names=["step", "y"])
 
         return step
 
-    chosen = rows.filter(F.col("hash_").bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(most) if most < 1 << 62 else F.lit(True))
-    chosen = chosen.groupBy("hash_").agg(F.first("text_").alias("text_")).select("text_", "hash_")
-    table = written(arrow_map(chosen, feature, kind), "sample")
-    sizes = table.select("hash_", F.size("at").alias("n")).toPandas().sort_values("hash_")
-    last = sizes["hash_"][sizes["n"].cumsum() <= features].max() if len(sizes) else None
-    table = table.filter(F.col("hash_") <= F.lit(int(last)) if last == last and last is not None else F.lit(False)).toArrow().combine_chunks().sort_by("hash_")
-    at, x, y = (table[c].combine_chunks() for c in ("at", "x", "y"))
-    ends, numbers, values = np.asarray(at.offsets), at.values.to_numpy(), x.values.to_numpy()
-    found = [(numbers[ends[i] : ends[i + 1]], values[ends[i] : ends[i + 1]], float(label)) for i, label in enumerate(y.to_numpy())]
-    weights = train([r for i, r in enumerate(found) if i % 5], bits)
-    return QualityModel(labels, weights, bits, cut([(chance(weights, a, v), label) for a, v, label in found[::5]], good_cost))
+    kind = T.StructType([T.StructField("step", T.IntegerType()), T.StructField("y", T.DoubleType())])
+    held = arrow_map(learned.filter("number is null").select("at", "x", "y"), place, kind).groupBy("step", "y").agg(F.count("*").alias("n")).collect()
+    return QualityModel(labels, weights, bits, cut({(r["step"], r["y"]): r["n"] for r in held}, good_cost))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 10_000, bits: int = 17, features: int | None = None, good_cost: float = 4.0) -> QualityModel:
+    """Label model and scorer from all documents, equal ones (id and text) once.
+
+    Documents are dealt by a hash of id and text to blocks of about ``block`` (fewer
+    where texts are long). Each block is one task's stochastic descent in order of the
+    hash; the weights are the means over all blocks. Every fifth document of each
+    block is in no descent: all of these set the threshold, by the mean weights, where
+    losing a good document costs ``good_cost`` times keeping a bad one. What reaches the
+    driver is pattern counts (at most 3 to the number of labellers), one mean for each
+    weight and counts by hundredth and pattern. ``features``, if given, bounds what is
+    learned from. Null texts are empty ones, null ids choose like any other; other
+    columns aren't read; an empty table gives a model that knows nothing.
+    """
+    return _fitted(_seen(docs, id_col, text_col, bits), bits, block, features, good_cost)
+
+
+def fit_classify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", bits: int = 17, block: int = 10_000, good_cost: float = 4.0) -> DataFrame:
+    """``classify(docs, fit(docs))`` with the columns ``keep`` of ``docs``; texts are looked at once, what was seen of them is stored."""
+    seen = _seen(docs, id_col, text_col, bits, tuple(keep))
+    model = _fitted(seen, bits, block, None, good_cost)
+    rows = seen.select("pattern", "at", "x", *[F.col(f"`kept {i}`") for i in range(len(keep))])
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in _SCORES], *rows.schema.fields[3:]])
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.labels))
+    threshold = model.threshold
+
+    def score():
+        w, labels = shared.value
+        known: dict[str, float] = {}
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            patterns = batch.column(0).to_pylist()
+            known.update({p: labels.posterior(p) for p in {*patterns} - {*known}})
+            scores = [round(chance(w, *ax), 6) for ax in _arrays(batch.column(1), batch.column(2))]
+            own = [pa.array(scores, pa.float64()), pa.array([round(known[p], 6) for p in patterns], pa.float64()), pa.array([x >= threshold for x in scores], pa.bool_())]
+            return pa.RecordBatch.from_arrays([*own, *batch.columns[3:]], names=schema.names)
+
+        return step
+
+    found = arrow_map(rows, score, schema)
+    return found.select(*[F.col(f"`kept {i}`").alias(c) for i, c in enumerate(keep)], *[f.name for f in _SCORES])
 
 
 def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float | None = None) -> DataFrame:
@@ -274,7 +345,7 @@ def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", thres
     an empty table gives an empty table. The model's size is bounded by its bits.
     """
     threshold = model.threshold if threshold is None else threshold
-    more = [T.StructField("quality_score", T.DoubleType()), T.StructField("weak_label", T.DoubleType()), T.StructField("quality_kept", T.BooleanType())]
+    more = _SCORES
     rest = docs.drop(*[f.name for f in more])
     at = rest.columns.index(text_col)
     schema = T.StructType([*rest.schema.fields, *more])

@@ -6,6 +6,7 @@ import math
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from strikeloom.llm import hostrules, mixing, urls, weaklabels
@@ -210,3 +211,16 @@ def test_rules_like_sql(spark, sf):
         want = c.sql(text)
         got = QUERIES[name](spark, sf).select(*want.columns)
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall())), name
+
+
+def test_weights_and_threshold_come_from_all_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = weaklabels.fit(docs, block=30)
+    words = {k for r in docs.distinct().collect() for k in weaklabels.featured(weaklabels.signs(r.text or ""), 17)[0].tolist()}
+    # four fifths of each block are learned from, whatever its number
+    assert np.count_nonzero(model.weights[:-1]) > 0.6 * len(words)
+    whole = weaklabels.fit_classify(docs, ["doc_id"], block=30)
+    apart = weaklabels.classify(docs, model).select(*whole.columns)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, apart.collect()))
+    again = weaklabels.fit(docs.repartition(7), block=30)
+    assert (again.weights == model.weights).all() and again.threshold == model.threshold
