@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strikeloom.operators.quantiles import continuous_quantiles, matched
+from strikeloom.sources.scratch import written
 
 BANDS = ((1, 1, 2, "1"), (2, 5, 6, "2-5"), (6, 25, 26, "6-25"))  # fixed values: horizons from and to, spacing of origins
 CELL = ["panel", "ticker", "origin", "expiry", "horizon", "contract"]
@@ -233,7 +234,11 @@ def conditional(rows: DataFrame) -> DataFrame:
 
 
 def rule_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Dates, expiries, traded of either, reward a day, median, losses, excess a day, participation, quartiles of the cushion, weekday counts."""
+    """Dates, expiries, traded of either, reward a day, median, losses, excess a day, participation, quartiles of the cushion, weekday counts.
+
+    Rows are read several times: what is needed of them is written once, so that the joins behind them are made once.
+    """
+    rows = written(rows.select(*by, "origin", "expiry", "traded", "ret", "baseline_ret", "days", "cushion"), "rule-metrics")
     traded = F.col("traded")
     days = F.sum("days")
     sums = rows.groupBy(*by).agg(

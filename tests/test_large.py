@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 
+from pyspark.sql import functions as F
 
+from strikeloom.operators import inference
 from strikeloom.streaming import capture
 
 
@@ -16,3 +19,11 @@ def test_capture_states_without_python(spark):
     got = capture.capture_states(events)
     assert "Pandas" not in plan(got)
     assert sorted(map(tuple, got.collect())) == [(1, "a", "captured", 3), (1, "b", "pending", 1), (2, "a", "missed", 2)]
+
+
+def test_rule_metrics_make_the_joins_behind_them_once(spark):
+    day = F.lit(datetime.date(2000, 1, 3))
+    rows = spark.range(40).select((F.col("id") % 2).alias("rule"), day.alias("origin"), day.alias("expiry"), (F.col("id") % 3 > 0).alias("traded"), (F.col("id") / 100.0).alias("ret"), F.lit(0.0).alias("baseline_ret"), F.lit(2).alias("days"), (F.col("id") / 50.0).alias("cushion"))
+    got = inference.rule_metrics(rows, ["rule"])
+    assert "Range" not in plan(got)
+    assert sorted((r.rule, r.dates, r.traded, round(r.median, 9)) for r in got.collect()) == [(0, 20, 13, 0.19), (1, 20, 13, 0.2)]
