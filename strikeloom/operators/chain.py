@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strikeloom.functions import money as M
+from strikeloom.operators.quantiles import counted, matched
 
 MINIMUM_OPEN_INTEREST = 5
 
@@ -184,14 +185,19 @@ def panel_cells(quotes: DataFrame, contract: list[str]) -> DataFrame:
     Targets are 0, 10 and 20 % in and out of the money, in three bands of days.
     """
     spark = quotes.sparkSession
-    cells = spark.createDataFrame([(h, lo, hi, s, d) for h, (lo, hi) in enumerate([(1, 100), (101, 500), (501, 2000)]) for s in ("call", "put") for d in (-20, -10, 0, 10, 20)], "band int, lo int, hi int, side string, target int")
-    tickers = quotes.select("ticker").distinct()
-    grid = tickers.join(F.broadcast(cells.select("band", "side", "target")))
+    cells = spark.createDataFrame([(h, s, d) for h in range(3) for s in ("call", "put") for d in (-20, -10, 0, 10, 20)], "band int, side string, target int")
+    targets = [-20, -10, 0, 10, 20]
+    band = F.when(F.col("dte").between(1, 100), 0).when(F.col("dte").between(101, 500), 1).when(F.col("dte").between(501, 2000), 2)
     pct = F.when(F.col("side") == "call", F.try_divide("strike", "spot") - 1).otherwise(1 - F.try_divide("strike", "spot")) * 100
-    rows = quotes.filter("dte > 0").withColumn("pct_e6", M.half_up(pct, 1_000_000))
-    near = rows.join(F.broadcast(cells), "side").filter("dte between lo and hi")
-    gap = F.abs(F.col("pct_e6") - F.col("target") * 1_000_000)
-    best = near.groupBy("ticker", "band", "side", "target").agg(F.min(F.struct(gap.alias("gap"), F.col("dte"), *[F.col(c) for c in contract])).alias("b"))
+    rows = quotes.withColumns({"band": band, "pct_e6": M.half_up(pct, 1_000_000)})
+    gap = lambda t: F.abs(F.col("pct_e6") - t * 1_000_000)
+    # the least distances are numbers, for which no row is sorted; only rows that have one are compared in full
+    least = counted(rows.groupBy("ticker", "side", "band").agg(*[F.min(gap(t)).alias(f"least {k}") for k, t in enumerate(targets)]))
+    grid = least.select("ticker").distinct().join(F.broadcast(cells.select("band", "side", "target")))
+    has = F.filter(F.array(*[F.when(gap(t).eqNullSafe(F.col(f"least {k}")), F.struct(F.lit(t).alias("target"), gap(t).alias("gap"))) for k, t in enumerate(targets)]), lambda x: x.isNotNull())
+    near = matched(rows.filter("band is not null"), least, ["ticker", "side", "band"], "inner").withColumn("has_", has).filter(F.size("has_") > 0)
+    near = near.select("ticker", "band", "side", "dte", *contract, F.explode("has_").alias("has_")).select("*", "has_.*")
+    best = near.groupBy("ticker", "band", "side", "target").agg(F.min(F.struct("gap", F.col("dte"), *[F.col(c) for c in contract])).alias("b"))
     return grid.join(best, ["ticker", "band", "side", "target"], "left").select("ticker", "band", "side", "target", F.col("b.gap").alias("gap"), F.col("b.dte").alias("dte"), *[F.col(f"b.{c}").alias(c) for c in contract])
 
 

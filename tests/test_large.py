@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from strikeloom.operators import inference
+from strikeloom.operators import chain, inference
 from strikeloom.streaming import capture
 
 
@@ -27,3 +27,11 @@ def test_rule_metrics_make_the_joins_behind_them_once(spark):
     got = inference.rule_metrics(rows, ["rule"])
     assert "Range" not in plan(got)
     assert sorted((r.rule, r.dates, r.traded, round(r.median, 9)) for r in got.collect()) == [(0, 20, 13, 0.19), (1, 20, 13, 0.2)]
+
+
+def test_panel_takes_known_distances_before_unknown_ones(spark):
+    rows = [("a", "call", 100.0, 0.0, 50, 1), ("a", "call", 105.0, 100.0, 60, 2), ("a", "call", 95.0, 100.0, 60, 3), ("a", "put", 100.0, None, 50, 4), ("b", "put", 90.0, 100.0, 0, 5)]
+    got = {(r.ticker, r.band, r.side, r.target): (r.gap, r.id) for r in chain.panel_cells(spark.createDataFrame(rows, "ticker string, side string, strike double, spot double, dte int, id int"), ["id"]).collect()}
+    assert len(got) == 60
+    assert got["a", 0, "call", 0] == (5_000_000, 2) and got["a", 0, "call", -10] == (5_000_000, 3) and got["a", 0, "put", 0] == (None, 4)
+    assert got["a", 1, "call", 0] == (None, None) and got["b", 0, "put", 0] == (None, None)
