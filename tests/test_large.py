@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from strikeloom.operators import chain, inference
+from strikeloom.operators import chain, inference, wheel
 from strikeloom.streaming import capture
 
 
@@ -29,6 +29,30 @@ def test_rule_metrics_make_the_joins_behind_them_once(spark):
     assert sorted((r.rule, r.dates, r.traded, round(r.median, 9)) for r in got.collect()) == [(0, 20, 13, 0.19), (1, 20, 13, 0.2)]
 
 
+def test_descriptives_make_their_cells_once(spark):
+    day = datetime.date(2000, 1, 3)
+    keys = [F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("ticker"), *[F.lit("x").alias(c) for c in wheel.CELL[1:]]]
+    rows = spark.range(12).select(*keys, F.date_add(F.lit(day), (F.col("id") % 3).cast("int")).alias("origin"), F.when(F.col("id") > 1, F.lit(day)).alias("expiry"), F.lit(True).alias("scored"), F.lit(0.5).alias("ret"), F.lit(0.25).alias("time_yield"))
+    got = wheel.capture_descriptives(rows)
+    assert "Range" not in plan(got)
+    found = [(r.level, r.ticker, r.cells, r.origins, r.expiries, r.contracts, r.mean_return) for r in got.collect()]
+    assert {x for x in found if x[0] in (0, 4)} == {(0, "a", 4, 3, 1, 6, 0.5), (0, "b", 4, 3, 1, 6, 0.5), (4, None, 8, 3, 1, 12, 0.5)}
+
+
+def test_lookups_of_candidates_are_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        days = spark.sql("select 1L as contract, 'a' as ticker, 'call' as side, date'2000-01-03' as session, date'2000-01-05' as expiry, 90D as strike, 1D as mark, 5L as volume, true as valid, false as reconciliation_failed, 1D as opening")
+        stocks = spark.sql("select 'a' as ticker, explode(sequence(date'2000-01-03', date'2000-01-05')) as session, 100D as open, 101D as close, 0D as action")
+        got = wheel.candidates(days.union(days.withColumn("session", F.date_add("session", 1))), stocks, stocks.select("session"))
+        # of the six lookups only that of the contract's next day is dealt by key
+        assert sum("Join" in line for line in plan(got).split("Physical Plan")[1].splitlines()) - sum("BroadcastHashJoin" in line for line in plan(got).split("Physical Plan")[1].splitlines()) == 1
+        assert sorted((str(r.session), r.status, r.reason) for r in got.collect()) == [("2000-01-03", "scored", None), ("2000-01-04", "no_entry", "missing_opening_bucket")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_panel_takes_known_distances_before_unknown_ones(spark):
     rows = [("a", "call", 100.0, 0.0, 50, 1), ("a", "call", 105.0, 100.0, 60, 2), ("a", "call", 95.0, 100.0, 60, 3), ("a", "put", 100.0, None, 50, 4), ("b", "put", 90.0, 100.0, 0, 5)]
     got = {(r.ticker, r.band, r.side, r.target): (r.gap, r.id) for r in chain.panel_cells(spark.createDataFrame(rows, "ticker string, side string, strike double, spot double, dte int, id int"), ["id"]).collect()}
