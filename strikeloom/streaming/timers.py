@@ -68,13 +68,14 @@ class LabelTimers(StatefulProcessor):
         self.closes = handle.getListState("closes", "at long, source int, close double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        frame = pd.concat(list(rows)).sort_values(["at", "row"])
-        told = frame[frame["source"].isin([1, 2])]
-        if len(told):
-            self.closes.appendList([(int(a), int(s), float(c)) for a, s, c in zip(told["at"], told["source"], told["close"], strict=True)])
-        terms = frame[frame["source"] == 0]
-        if len(terms) and not self.terms.exists():
-            expiry = int(terms["expiry"].iloc[0])
+        # most contracts have a few rows: plain tuples cost less than a frame for each
+        events = sorted((e for f in rows for e in zip(*(f[c].tolist() for c in ("at", "row", "source", "close", "expiry")), strict=True)), key=lambda e: e[:2])
+        told = [(at, source, close) for at, _, source, close, _ in events if source in (1, 2)]
+        if told:
+            self.closes.appendList(told)
+        terms = [expiry for *_, source, _, expiry in events if source == 0]
+        if terms and not self.terms.exists():
+            expiry = int(terms[0])
             self.terms.update((expiry, expiry, 0))
             self.handle.registerTimer(max(expiry, timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
@@ -115,7 +116,8 @@ ADMITTED = "ticker string, window long, contract long, row long, at long, data_h
 class Admission(StatefulProcessor):
     """Of a ticker's attempts within a window, each fingerprint is taken once, and ``most`` of them at most; the others leave as rows that say so.
 
-    Attempts of a batch are taken in the order of their times. The state of a window
+    Attempts of a batch are taken in the order of their times. The fingerprints of a
+    window are read and added once a batch, not one by one. The state of a window
     goes when the watermark has passed its end.
     """
 
@@ -124,23 +126,27 @@ class Admission(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "fingerprint string", "taken boolean")
+        self.seen = handle.getListState("seen", "fingerprint string")
         self.taken = handle.getValueState("taken", "n long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         frame = pd.concat(list(rows)).sort_values(["at", "contract", "row"])
-        n = self.taken.get()[0] if self.taken.exists() else 0
-        if not self.taken.exists():
+        new = not self.taken.exists()
+        n, seen = (0, set()) if new else (self.taken.get()[0], {mark for (mark,) in self.seen.get()})
+        if new:
             self.handle.registerTimer(max(int(key[1]) + self.window, timerValues.getCurrentWatermarkInMs() + 1))
-        outcomes = []
-        for contract, data in zip(frame["contract"], frame["data_hash"], strict=True):
-            mark = (f"{contract}:{data}",)
-            if self.seen.containsKey(mark):
+        outcomes, fresh = [], []
+        for contract, data in zip(frame["contract"].tolist(), frame["data_hash"].tolist(), strict=True):
+            mark = f"{contract}:{data}"
+            if mark in seen:
                 outcomes.append("duplicate")
                 continue
-            self.seen.updateValue(mark, (n < self.most,))
+            seen.add(mark)
+            fresh.append((mark,))
             outcomes.append("taken" if n < self.most else "capacity")
             n += n < self.most
+        if fresh:
+            self.seen.appendList(fresh)
         self.taken.update((n,))
         frame["outcome"] = outcomes
         names = [c.split()[0] for c in ADMITTED.split(", ")]

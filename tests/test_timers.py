@@ -107,3 +107,48 @@ def test_every_attempt_is_accounted_for(spark, tmp_path):
         per_batch[r.batch][r.outcome] += 1
     assert sum(sum(c.values()) for c in per_batch.values()) == 1200 and {o for c in per_batch.values() for o in c} == {"issued", "capacity", "rejected"}
     assert all(sum(c.values()) % len(METHODS) == 0 for c in per_batch.values())
+
+
+def test_admission_reads_its_fingerprints_once_a_batch():
+    import pandas as pd
+
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            self.v = v
+
+    class Marks:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def get(self):
+            self.calls += 1
+            return iter(self.rows)
+
+        def appendList(self, rows):  # noqa: N802
+            self.calls += 1
+            self.rows += rows
+
+    class Handle:
+        def registerTimer(self, at):  # noqa: N802
+            pass
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 0
+
+    a = S.Admission(2, S.DAY)
+    a.handle, a.seen, a.taken = Handle(), Marks(), Value()
+    batch = lambda contracts: iter([pd.DataFrame([("t", 0, c, i, i, "x", 3) for i, c in enumerate(contracts)], columns=["ticker", "window", "contract", "row", "at", "data_hash", "horizon"])])
+    said = lambda contracts: [o for f in a.handleInputRows(("t", 0), batch(contracts), Now()) for o in f["outcome"]]
+    assert said([1, 1, 2, 3]) == ["taken", "duplicate", "taken", "capacity"]
+    assert said([3, 4, 1] * 50)[:3] == ["duplicate", "capacity", "duplicate"]
+    assert a.seen.calls <= 4
