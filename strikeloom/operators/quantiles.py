@@ -59,6 +59,17 @@ def ordered_values(rows: DataFrame, ranges: DataFrame, by: list[str], value: str
     """
     placed = bucketed(rows, ranges, by, value, buckets)
     counts = placed.groupBy(*by, "bucket_").agg(F.count("*").alias("n_"))
+    return values_in_buckets(placed, counts, ranges, by, value, ranks)
+
+
+def stepped(value: Column, steps: int = 32) -> Column:
+    """A bucket of ``value`` that needs no range: ``steps`` for each factor of e beyond a millionth. It never falls as ``value`` grows; null for null."""
+    step = F.floor(F.least(F.log1p(F.abs(value) * 1e6) * steps, F.lit(1e6))).cast("int")
+    return F.when(value < 0, -step).otherwise(step)
+
+
+def values_in_buckets(placed: DataFrame, counts: DataFrame, ranges: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """``ordered_values`` of rows with a ``bucket_``, counted by it (``counts``: by, bucket_, n_); ``ranges`` has by and count_ of each group."""
     w = W.partitionBy(*by).orderBy("bucket_")
     run = matched(counts.withColumn("upto_", F.sum("n_").over(w.rowsBetween(W.unboundedPreceding, 0))), ranges.select(*by, "count_"), by, "inner")
     asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strikeloom.operators.quantiles import bucketed, continuous_quantiles, counted, lower_quantile, matched, running
+from strikeloom.operators.quantiles import bucketed, continuous_quantiles, counted, matched, running, stepped, values_in_buckets
+from strikeloom.sources.scratch import written
 
 HAIRCUTS, FEES, SLIPPAGE = (0.0, 0.05, 0.10, 0.20), (0.0, 0.65), (0, 10, 25)
 
@@ -15,12 +16,14 @@ def cost_grid(entries: DataFrame, haircuts: tuple[float, ...] = HAIRCUTS, fees:
     """Each entry under every haircut, fee and (calls only) slippage, with its economics at expiry.
 
     ``entries``: side, strike, entry (stock price), premium, close. A grid of
-    24 or 8 rows for an entry is made by exploding a literal array, without a join.
+    24 or 8 rows for an entry is made by exploding one of two literal arrays, without a join.
     """
-    grid = [F.struct(F.lit(h).alias("haircut"), F.lit(f).alias("fee"), F.lit(s).alias("slip")) for h in haircuts for f in fees for s in slippage]
-    rows = entries.withColumn("g", F.explode(F.filter(F.array(*grid), lambda x: (F.col("side") == "call") | (x["slip"] == 0))))
-    rows = rows.select(*entries.columns, "g.*")
+    cells = [(h, f, s) for h in haircuts for f in fees for s in slippage]
+    grid = [F.struct(F.lit(h).alias("haircut"), F.lit(f).alias("fee"), F.lit(s).alias("slip")) for h, f, s in cells]
+    still = [g for g, (_, _, s) in zip(grid, cells, strict=True) if s == 0]
     call = F.col("side") == "call"
+    rows = entries.withColumn("g", F.explode(F.when(call, F.array(*grid)).otherwise(F.array(*still) if still else F.slice(F.array(*grid), 1, 0))))
+    rows = rows.select(*entries.columns, "g.*")
     paid = F.col("entry") * (1 + F.col("slip") / 10000.0)
     got = F.col("premium") * (1 - F.col("haircut"))
     profit = F.when(call, (F.least("close", "strike") - paid + got) * 100).otherwise((got - F.greatest(F.col("strike") - F.col("close"), F.lit(0.0))) * 100) - F.col("fee")
@@ -32,12 +35,17 @@ def cost_grid(entries: DataFrame, haircuts: tuple[float, ...] = HAIRCUTS, fees:
 def strategy_summary(grid: DataFrame, by: list[str]) -> DataFrame:
     """Count, means and the 5 % lower quantile of each cell of the grid.
 
-    The grid is made as it is read and meets only as sums, bucket counts and the
-    values of one bucket a cell.
+    The grid is made twice as it is read: for sums and counts in steps of the return, written
+    once, which give the means and the step of each cell's quantile, and for the values in that step.
     """
-    known = counted(grid.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), F.avg("excess").alias("mean_excess"), F.avg(F.col("assigned").cast("double")).alias("assigned"), F.avg((F.col("ret") < 0).cast("double")).alias("losses"), F.min("ret").alias("least_"), F.max("ret").alias("most_"), F.count("ret").alias("count_")))
-    q = lower_quantile(grid.select(*by, "ret").filter("ret is not null"), known.select(*by, "least_", "most_", "count_"), by, "ret", 0.05, "q05")
-    return matched(known.drop("least_", "most_", "count_"), q, by)
+    ret, hit = F.col("ret"), F.col("assigned").cast("long")
+    placed = grid.select(*by, "ret", "excess", "assigned").withColumn("bucket_", stepped(ret))
+    sums = {"ret_": F.sum(ret), "rets_": F.count(ret), "excess_": F.sum("excess"), "excesses_": F.count("excess"), "hits_": F.sum(hit), "known_": F.count(hit), "losses_": F.count_if(ret < 0)}
+    steps = written(placed.groupBy(*by, "bucket_").agg(F.count("*").alias("n_"), *[x.alias(name) for name, x in sums.items()]), "summary")
+    mean = lambda total, count, name: F.try_divide(F.sum(total), F.sum(count)).alias(name)
+    known = steps.groupBy(*by).agg(F.sum("n_").alias("n"), mean("ret_", "rets_", "mean_ret"), mean("excess_", "excesses_", "mean_excess"), mean("hits_", "known_", "assigned"), mean("losses_", "rets_", "losses"), F.sum("rets_").alias("count_"))
+    q = values_in_buckets(placed.filter("ret is not null").select(*by, "ret", "bucket_"), steps.filter("bucket_ is not null").select(*by, "bucket_", "n_"), known.select(*by, "count_"), by, "ret", {"q05": F.greatest(F.ceil(F.col("count_") * 0.05), F.lit(1))})
+    return matched(known.drop("count_"), q, by)
 
 
 def reward_per_day(rows: DataFrame, by: list[str]) -> DataFrame:

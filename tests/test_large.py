@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from strikeloom.operators import chain, inference, wheel
+from strikeloom.operators import chain, inference, quantiles, studies, wheel
 from strikeloom.streaming import capture
 
 
@@ -59,3 +59,25 @@ def test_panel_takes_known_distances_before_unknown_ones(spark):
     assert len(got) == 60
     assert got["a", 0, "call", 0] == (5_000_000, 2) and got["a", 0, "call", -10] == (5_000_000, 3) and got["a", 0, "put", 0] == (None, 4)
     assert got["a", 1, "call", 0] == (None, None) and got["b", 0, "put", 0] == (None, None)
+
+
+def test_grid_is_made_without_a_function_per_entry_and_cell(spark):
+    sides = ["call", "put", None]
+    entries = spark.createDataFrame([(x, 100.0, 95.0, 1.0, 101.0) for x in sides], "side string, strike double, entry double, premium double, close double")
+    grid = studies.cost_grid(entries)
+    assert "lambda" not in plan(grid)
+    assert {r["side"]: r["count"] for r in grid.groupBy("side").count().collect()} == {"call": 24, "put": 8, None: 8}
+    assert {r["side"]: r["count"] for r in studies.cost_grid(entries, slippage=(10,)).groupBy("side").count().collect()} == {"call": 8}
+
+
+def test_summary_counts_in_steps_of_any_size(spark):
+    values = [x * s for s in (1e-9, 1e-3, 1.0, 1e12) for x in (-2.0, -1.0, 0.0, 0.5, 3.0)] * 7 + [None, float("inf")]
+    rows = spark.createDataFrame([(g, x, x, None if x is None else x > 0) for g in ("a", None) for x in values], "g string, ret double, excess double, assigned boolean")
+    placed = [r.b for r in rows.filter("ret is not null").select("ret", quantiles.stepped(F.col("ret")).alias("b")).orderBy("ret").collect()]
+    assert placed == sorted(placed)
+    known = sorted(x for x in values if x is not None)
+    got = {r.g: r for r in studies.strategy_summary(rows, ["g"]).collect()}
+    assert set(got) == {"a", None}
+    for r in got.values():
+        assert (r.n, r.q05, r.assigned) == (142, known[-(-len(known) * 5 // 100) - 1], sum(x > 0 for x in known) / 141)
+        assert r.losses == sum(x < 0 for x in known) / 141
