@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeloom.functions import display as V
+from strikeloom.operators.quantiles import matched, stepped
+from strikeloom.sources.scratch import written
+
+#: Steps of all expiries that may be broadcast; they are counted first.
+MOST_STEPS = 200_000
 
 
 def page_fields(chains: DataFrame, stock: DataFrame, lows: DataFrame, rate: float = 0.04) -> DataFrame:
@@ -93,17 +98,27 @@ def day_order(rows: DataFrame, day: str) -> DataFrame:
 
 
 def fit_sample(quotes: DataFrame, most: int = 40) -> DataFrame:
-    """Of each expiry's quotes by strike, ``most`` evenly spaced ones (all, if there are no more), every fourth of them held out."""
+    """Of each expiry's quotes by strike, ``most`` evenly spaced ones (all, if there are no more), every fourth of them held out.
+
+    Quotes are counted in steps of the strike; only those in a step that a place falls
+    in are put in order, so that no expiry is sorted as a whole.
+    """
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("ticker", "expiry")
-    rows = quotes.withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy("strike", "seq")) - 1})
-    size = F.least("n", F.lit(most))
-    # the k-th place is floor(k (n - 1) / (size - 1)); a row is there if one of these is its own
-    k = F.ceil(F.col("i") * (size - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
-    taken = F.when(F.col("n") <= most, F.col("i")).otherwise(k)
-    there = (F.col("n") <= most) | (F.floor(k * (F.col("n") - 1) / (size - 1)) == F.col("i"))
-    return rows.filter(there).withColumn("k", taken.cast("long")).withColumn("held_out", F.col("k") % 4 == 3).drop("n", "i")
+    by = ["ticker", "expiry"]
+    rows = quotes.withColumn("bucket_", F.coalesce(stepped(F.col("strike"), 2048), F.lit(2**31 - 1)))
+    w = W.partitionBy(*by)
+    runs = rows.groupBy(*by, "bucket_").agg(F.count("*").alias("n_")).withColumns({"n": F.sum("n_").over(w), "start_": F.sum("n_").over(w.orderBy("bucket_")) - F.col("n_")})
+    # the k-th place is floor(k (n - 1) / (most - 1)); the first one at i or beyond is there if it's before the end
+    few = F.col("n") <= most
+    nth = lambda i: F.ceil(i * (most - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
+    place = lambda i: F.floor(nth(i) * (F.col("n") - 1) / (most - 1))
+    hit = written(runs.filter(few | (place(F.col("start_")) < F.col("start_") + F.col("n_"))).select(*by, "bucket_", "n", "start_"), "places")
+    rows = matched(rows, F.broadcast(hit) if hit.count() <= MOST_STEPS else hit, [*by, "bucket_"], "inner")
+    i = F.col("start_") + F.row_number().over(W.partitionBy(*by, "bucket_").orderBy("strike", "seq")) - 1
+    rows = rows.withColumn("i", i).filter(few | (place(F.col("i")) == F.col("i")))
+    k = F.when(few, F.col("i")).otherwise(nth(F.col("i"))).cast("long")
+    return rows.withColumn("k", k).withColumn("held_out", F.col("k") % 4 == 3).select(*quotes.columns, "k", "held_out")
 
 
 def latest_few(rows: DataFrame, by: list[str], at: str, key: str, n: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from strikeloom.operators import chain, inference, quantiles, studies, wheel
+from strikeloom.operators import chain, context, inference, quantiles, studies, wheel
 from strikeloom.streaming import capture
 
 
@@ -81,3 +81,17 @@ def test_summary_counts_in_steps_of_any_size(spark):
     for r in got.values():
         assert (r.n, r.q05, r.assigned) == (142, known[-(-len(known) * 5 // 100) - 1], sum(x > 0 for x in known) / 141)
         assert r.losses == sum(x < 0 for x in known) / 141
+
+
+def test_fit_sample_orders_only_the_steps_that_hold_a_place(spark):
+    groups = {("a", 1): [float(i % 97) for i in range(500)], ("a", 2): [5.0] * 300, (None, 1): [float(i) for i in range(40)], ("b", 1): [None, *[100 + i / 7 for i in range(41)]], ("b", 2): [1.0]}
+    rows = [(t, e, x, seq) for (t, e), xs in groups.items() for seq, x in enumerate(xs)]
+    got = context.fit_sample(spark.createDataFrame(rows, "ticker string, expiry int, strike double, seq int").repartition(5))
+    assert all("bucket_" in line for line in plan(got).split("Physical Plan")[1].splitlines() if "row_number" in line)
+    want = set()
+    for (t, e), xs in groups.items():
+        n, ordered = len(xs), sorted(enumerate(xs), key=lambda p: (p[1] is None, p[1] or 0.0, p[0]))
+        places = range(n) if n <= 40 else [k * (n - 1) // 39 for k in range(40)]
+        want |= {(t, e, ordered[i][1], ordered[i][0], k, k % 4 == 3) for k, i in enumerate(places)}
+    assert got.columns == ["ticker", "expiry", "strike", "seq", "k", "held_out"]
+    assert set(map(tuple, got.collect())) == want and got.count() == len(want)
